@@ -57,7 +57,7 @@ def exact_quantiles(
     while open_ranks:
         small = {vk: b for vk, b in open_ranks.items() if b[4] <= distinct_limit}
         large = {vk: b for vk, b in open_ranks.items() if b[4] > distinct_limit}
-        found.update(_order_statistics(numbers, small))
+        found.update(_order_statistics(numbers, small, counts))
         open_ranks = _narrow(numbers, large, accuracy, found) if large else {}
 
     out: dict[str, list[float | None]] = {}
@@ -77,7 +77,7 @@ def _inside(v: str, lo: float, hi: float):
     return F.when(F.col(v).between(F.lit(lo), F.lit(hi)), F.col(v))
 
 
-def _order_statistics(numbers: DataFrame, brackets: dict) -> dict:
+def _order_statistics(numbers: DataFrame, brackets: dict, counts: dict[str, int]) -> dict:
     """The exact value at each rank, for brackets with few distinct values, in one pass."""
     if not brackets:
         return {}
@@ -87,15 +87,16 @@ def _order_statistics(numbers: DataFrame, brackets: dict) -> dict:
     keys = list(grouped)
     aggregates = []
     for i, (v, lo, hi, below, inside) in enumerate(keys):
+        if inside < counts[v]:
+            numbers = numbers.withColumn(f"b{i}", _inside(v, lo, hi))
         # Half a rank up, so that rounding cannot reach a neighbouring rank.
-        for k in grouped[keys[i]]:
-            share = (k - below + 0.5) / inside
-            numbers = numbers.withColumn(f"b{i}", _inside(v, lo, hi)) if f"b{i}" not in numbers.columns else numbers
-            aggregates.append(
-                F.expr(f"percentile_disc({share!r}D) WITHIN GROUP (ORDER BY b{i})").alias(f"q{i}_{k}")
-            )
+        shares = ", ".join(f"{(k - below + 0.5) / inside!r}D" for k in grouped[keys[i]])
+        column = f"b{i}" if inside < counts[v] else v
+        aggregates.append(
+            F.expr(f"percentile_disc(array({shares})) WITHIN GROUP (ORDER BY {column})").alias(f"q{i}")
+        )
     row = numbers.agg(*aggregates).first()
-    return {(keys[i][0], k): row[f"q{i}_{k}"] for i in range(len(keys)) for k in grouped[keys[i]]}
+    return {(keys[i][0], k): row[f"q{i}"][j] for i in range(len(keys)) for j, k in enumerate(grouped[keys[i]])}
 
 
 def _narrow(numbers: DataFrame, brackets: dict, accuracy: int, found: dict) -> dict:

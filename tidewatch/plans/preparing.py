@@ -146,10 +146,19 @@ def _line_features(spark, folder, made):
 _PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
 
 
+def _ratio_sql(i: int, j: int) -> str:
+    return f"{_X[i]} / ({_X[j]} + 1e-8)"
+
+
 @query("interactions", f"SELECT {_LINE_KEY}, " + ", ".join(
-    f"round({_X[i]} * {_X[j]}, 4) AS x{i}_times_x{j}, round({_X[i]} / ({_X[j]} + 1e-8), 4) AS x{i}_over_x{j}" for i, j in _PAIRS) + " FROM lineitem")
+    f"round({_X[i]} * {_X[j]}, 4) AS x{i}_times_x{j}, "
+    f"CASE WHEN {_ratio_sql(i, j)} < 1e6 THEN round({_ratio_sql(i, j)}, 4) ELSE round({_ratio_sql(i, j)}, 0) END AS x{i}_over_x{j}"
+    for i, j in _PAIRS) + " FROM lineitem")
 def interactions(spark, folder):
-    return _line_features(spark, folder, interaction_features(LINE_NUMBERS))
+    """Division by an almost-zero column gives values around 1e12, which keep fewer decimals."""
+    made = interaction_features(LINE_NUMBERS)
+    shown = {n: F.when(c < 1e6, F.round(c, 4)).otherwise(F.round(c, 0)) if "_over_" in n else c for n, c in made.items()}
+    return _line_features(spark, folder, shown)
 
 
 @query("row_stats", f"""
