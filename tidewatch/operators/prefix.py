@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.numeric import quoted, sql_double
+
 BUCKETS = 64
 
 
@@ -15,16 +17,16 @@ def bucket_edges(df: DataFrame, column: str, buckets: int = BUCKETS, error: floa
     return sorted(set(found))
 
 
-def bucket_of(column: Column, edges: list[float]) -> Column:
+def bucket_of(column: str, edges: list[float]) -> Column:
     """How many edges lie below the value, as a balanced tree of comparisons."""
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(column <= F.lit(edges[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return f"CASE WHEN {column} <= {sql_double(edges[mid])} THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return tree(0, len(edges))
+    return F.expr(tree(0, len(edges)))
 
 
 def running_totals(
@@ -36,7 +38,7 @@ def running_totals(
     each range is summed by its own task and shifted by the total of the ranges
     before it.
     """
-    bucketed = df.withColumn("__bucket", bucket_of(F.col(order).cast("double"), edges))
+    bucketed = df.withColumn("__bucket", bucket_of(quoted(order), edges))
     totals = bucketed.groupBy(*by, "__bucket").agg(*[F.sum(v).alias(f"__{v}") for v in values])
     bucket_order = F.col("__bucket").desc() if descending else F.col("__bucket").asc()
     # One row per group and range: at most len(edges) + 1 rows per group.

@@ -74,7 +74,7 @@ def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int
     edges = exact_quantiles(df, columns, [i / bins for i in range(1, bins)])
     cells = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"),
-                 bucket_of(F.col(quoted(c)).cast("double"), sorted({e for e in edges[c] if e is not None})).alias("bin"))
+                 bucket_of(quoted(c), sorted({e for e in edges[c] if e is not None})).alias("bin"))
         for i, c in enumerate(columns)
     ])
     joint = (

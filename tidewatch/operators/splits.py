@@ -28,8 +28,8 @@ def row_hash(key: Column | str, seed: int) -> Column:
 
 
 def hash_fraction(*parts) -> Column:
-    """A number in [0, 1) from the md5 of the parts joined by ``:``."""
-    text = F.concat_ws(":", *[as_column(p).cast("string") if isinstance(p, (Column, str)) else F.lit(str(p)) for p in parts])
+    """A number in [0, 1) from the md5 of the parts (columns or constants) joined by ``:``."""
+    text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
