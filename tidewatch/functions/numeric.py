@@ -28,23 +28,36 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(~F.isnan(col), col)
 
 
-def nonfinite_to_null(c: Column | str) -> Column:
+def finite_sql(expression: str) -> str:
+    """The value of a numeric expression, null when it is NaN or infinite (NaN is above every number)."""
+    return f"CASE WHEN abs({expression}) < double('Infinity') THEN {expression} END"
+
+
+def nonfinite_to_null(name: str) -> Column:
     """NaN and both infinities become null.
 
     Has to come before any statistic: Spark sorts NaN above every number and
     lets it swallow averages.
     """
-    col = as_column(c)
-    return F.when(~F.isnan(col) & ~is_infinite(col), col)
+    return F.expr(finite_sql(quoted(name)))
 
 
-def nonfinite_to_zero(c: Column | str) -> Column:
-    return F.coalesce(nonfinite_to_null(c), F.lit(0.0))
+def finite_double(name: str) -> Column:
+    """A numeric column as double, with null for whatever is not finite."""
+    return F.expr(finite_sql(f"double({quoted(name)})"))
+
+
+def nonfinite_to_zero(name: str) -> Column:
+    return F.expr(f"coalesce({finite_sql(f'double({quoted(name)})')}, 0D)")
 
 
 def array_nonfinite_to_zero(c: Column | str) -> Column:
     """The same repair for every element of an array column."""
-    return F.transform(as_column(c), lambda x: nonfinite_to_zero(x.cast("double")))
+    def repaired(x: Column) -> Column:
+        value = x.cast("double")
+        return F.when(F.abs(value) < F.lit(INFINITY), value).otherwise(F.lit(0.0))
+
+    return F.transform(as_column(c), repaired)
 
 
 def shifted_ratio(a: Column | str, b: Column | str, epsilon: float = EPSILON) -> Column:

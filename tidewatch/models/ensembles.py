@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,3 +80,90 @@ def optimise_weights(df: DataFrame, truth: str, members: list[str], trials: int
     if best is None or best.f1_weighted <= 0:
         return normalised(None, len(members)), 0.0
     return weights[best.trial], best.f1_weighted
+
+
+def add_scores(df: DataFrame, models: dict[str, object]) -> DataFrame:
+    """Class scores and predictions of fitted models side by side: ``name`` (array) and ``name_pred``."""
+    out, kept = df, list(df.columns)
+    for name, model in models.items():
+        scored = model.transform(out)
+        out = scored.select(
+            *kept, vector_to_array("probability").alias(name), F.col("prediction").cast("int").alias(f"{name}_pred")
+        )
+        kept += [name, f"{name}_pred"]
+    return out
+
+
+class VotingEnsemble:
+    """Fits its members on the same rows and combines their votes."""
+
+    def __init__(self, members: dict[str, object], voting: str = "soft", weights: list[float] | None = None, classes: int = 2):
+        self.members, self.voting, self.weights, self.classes = members, voting, weights, classes
+
+    def fit(self, df: DataFrame) -> "VotingModel":
+        data = df.persist()
+        try:
+            return VotingModel({n: m.fit(data) for n, m in self.members.items()}, self.voting, self.weights, self.classes)
+        finally:
+            data.unpersist()
+
+
+class VotingModel:
+    def __init__(self, models: dict[str, object], voting: str, weights: list[float] | None, classes: int):
+        self.models, self.voting, self.weights, self.classes = models, voting, weights, classes
+
+    def optimise(self, validation: DataFrame, trials: int = 100, seed: int = 42) -> float:
+        """Take over the best random weighting on held-out rows; returns its weighted F1."""
+        scored = add_scores(validation, self.models)
+        self.weights, best = optimise_weights(scored, "label", list(self.models), trials, seed)
+        return best
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        names = list(self.models)
+        scored = add_scores(df, self.models)
+        if self.voting == "hard":
+            voted = hard_vote(scored, [f"{n}_pred" for n in names], self.classes, self.weights)
+        else:
+            voted = soft_vote(scored, names, self.weights).withColumn("probability", array_to_vector("probability"))
+        return voted.withColumn("prediction", F.col("prediction").cast("double")).drop(*names, *[f"{n}_pred" for n in names])
+
+
+class StackingEnsemble:
+    """Out-of-fold class scores of the members feed a logistic regression.
+
+    ``fold`` names a column 0..folds-1. The members are fitted once per fold on the
+    other folds, and once more on all rows for later scoring.
+    """
+
+    def __init__(self, members: dict[str, object], fold: str, folds: int = 5, classes: int = 2, iterations: int = 1000):
+        self.members, self.fold, self.folds, self.classes, self.iterations = members, fold, folds, classes, iterations
+
+    def _assembled(self, scored: DataFrame) -> DataFrame:
+        names = list(self.members)
+        # Two class scores sum to one, so the positive one says it all.
+        parts = [F.slice(n, 2, 1) if self.classes == 2 else F.col(n) for n in names]
+        return scored.withColumn("__meta", array_to_vector(F.concat(*parts)))
+
+    def fit(self, df: DataFrame) -> "StackingModel":
+        data = df.persist()
+        try:
+            held_out = None
+            for i in range(self.folds):
+                fitted = {n: m.fit(data.where(F.col(self.fold) != i)) for n, m in self.members.items()}
+                part = add_scores(data.where(F.col(self.fold) == i).select("features", "label"), fitted)
+                held_out = part if held_out is None else held_out.unionByName(part)
+            meta = LogisticRegression(featuresCol="__meta", maxIter=self.iterations).fit(
+                self._assembled(held_out).select("__meta", "label"))
+            return StackingModel(self, {n: m.fit(data) for n, m in self.members.items()}, meta)
+        finally:
+            data.unpersist()
+
+
+class StackingModel:
+    def __init__(self, settings: StackingEnsemble, models: dict[str, object], meta):
+        self.settings, self.models, self.meta = settings, models, meta
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        names = list(self.models)
+        scored = self.settings._assembled(add_scores(df, self.models))
+        return self.meta.transform(scored).drop("__meta", *names, *[f"{n}_pred" for n in names])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import (
-    is_infinite, nan_to_null, nonfinite_to_null, nonfinite_to_zero, quoted, sql_double, to_number,
+    finite_double, is_infinite, nan_to_null, nonfinite_to_null, nonfinite_to_zero, quoted, sql_double, to_number,
 )
 from tidewatch.operators.fitted import FittedColumns
 from tidewatch.operators.quantiles import exact_quantiles
@@ -27,7 +27,7 @@ def medians(df: DataFrame, columns: list[str]) -> dict[str, float]:
 def fit_median_imputer(df: DataFrame, columns: list[str] | None = None) -> FittedColumns:
     """Missing and infinite numbers take the median of the finite ones."""
     columns = numeric_columns(df) if columns is None else columns
-    middle = medians(df.withColumns({c: nonfinite_to_null(F.col(c).cast("double")) for c in columns}), columns)
+    middle = medians(df.select(*[finite_double(c).alias(c) for c in columns]), columns)
     return FittedColumns(
         {c: f"CASE WHEN abs(double({quoted(c)})) < double('Infinity') THEN double({quoted(c)}) "
             f"ELSE {sql_double(m)} END" for c, m in middle.items()},
@@ -41,7 +41,7 @@ def impute_median(df: DataFrame, columns: list[str] | None = None, fit_on: DataF
 
 def fit_coercing_imputer(df: DataFrame, columns: list[str]) -> FittedColumns:
     """Text is parsed to numbers first; infinities take part in the median and are replaced afterwards."""
-    middle = medians(df.withColumns({c: nan_to_null(to_number(c)) for c in columns}), columns)
+    middle = medians(df.select(*[to_number(quoted(c)).alias(c) for c in columns]), columns)
     return FittedColumns(
         {c: f"CASE WHEN abs(try_cast({quoted(c)} AS DOUBLE)) < double('Infinity') "
             f"THEN try_cast({quoted(c)} AS DOUBLE) ELSE {sql_double(m)} END" for c, m in middle.items()},
@@ -55,7 +55,7 @@ def fill_unknown(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def fill_zero(df: DataFrame, columns: list[str]) -> DataFrame:
     """Last sweep before a matrix is built: nothing missing or infinite is left."""
-    return df.withColumns({c: nonfinite_to_zero(F.col(c).cast("double")) for c in columns})
+    return df.withColumns({c: nonfinite_to_zero(c) for c in columns})
 
 
 def _is_missing(df: DataFrame, name: str) -> Column:

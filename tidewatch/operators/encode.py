@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.numeric import nonfinite_to_null, quoted, sql_double, sql_string
+from tidewatch.functions.numeric import finite_sql, quoted, sql_double, sql_string
 from tidewatch.functions.text import or_unknown, strip
 from tidewatch.operators.fitted import FittedColumns
 
@@ -84,20 +84,16 @@ def fit_onehot(df: DataFrame, columns: list[str], prefix: bool = True) -> Fitted
     )
 
 
-def column_statistics(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
+STATISTICS = {"n": "count", "mean": "avg", "std": "stddev_pop", "min": "min", "max": "max"}
+
+
+def column_statistics(df: DataFrame, columns: list[str], wanted: tuple[str, ...] = tuple(STATISTICS)) -> dict[str, dict[str, float]]:
     """Count, mean, population deviation, minimum and maximum of every column, from one pass."""
-    values = df.select(*[nonfinite_to_null(F.col(quoted(c)).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
-    row = values.agg(*[
-        f(v).alias(f"{v}_{f.__name__}")
-        for v in values.columns for f in (F.count, F.avg, F.stddev_pop, F.min, F.max)
+    values = df.selectExpr(*[f"{finite_sql(f'double({quoted(c)})')} AS v{i}" for i, c in enumerate(columns)])
+    row = values.selectExpr(*[
+        f"{STATISTICS[name]}(v{i}) AS {name}_{i}" for i in range(len(columns)) for name in wanted
     ]).first()
-    return {
-        c: {
-            "n": row[f"v{i}_count"], "mean": row[f"v{i}_avg"], "std": row[f"v{i}_stddev_pop"],
-            "min": row[f"v{i}_min"], "max": row[f"v{i}_max"],
-        }
-        for i, c in enumerate(columns)
-    }
+    return {c: {name: row[f"{name}_{i}"] for name in wanted} for i, c in enumerate(columns)}
 
 
 def fit_scaler(
@@ -112,14 +108,15 @@ def fit_scaler(
         return FittedColumns({outputs[c]: f"double({quoted(c)})" for c in columns})
     if method not in ("standard", "minmax"):
         raise ValueError(f"unknown scaling method: {method}")
-    stats = column_statistics(df, columns)
+    centre_name, width_name = ("mean", "std") if method == "standard" else ("min", "max")
+    stats = column_statistics(df, columns, (centre_name, width_name))
     expressions = {}
     for c in columns:
-        s = stats[c]
-        centre = s["mean"] if method == "standard" else s["min"]
-        width = s["std"] if method == "standard" else None if s["n"] == 0 else s["max"] - s["min"]
+        centre, width = stats[c][centre_name] or 0.0, stats[c][width_name] or 0.0
+        if method == "minmax":
+            width -= centre
         expressions[outputs[c]] = (
-            f"(double({quoted(c)}) - {sql_double(centre or 0.0)}) / {sql_double(width or 1.0)}"
+            f"(double({quoted(c)}) - {sql_double(centre)}) / {sql_double(width or 1.0)}"
         )
     return FittedColumns(expressions, stats)
 

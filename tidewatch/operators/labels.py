@@ -58,16 +58,16 @@ def label_wsn(df: DataFrame, label: str = "Attack_type") -> DataFrame:
 
 
 def label_cyber(df: DataFrame, label: str = "Attack Type", binary: bool = True) -> tuple[DataFrame, bool]:
-    """Returns the labelled table and whether the target is binary.
+    """Returns the labelled table and whether it got a binary ``target``.
 
     Without a single normal row a binary target would be constant, so the
-    categories become the classes instead; finding out takes one count.
+    categories have to serve as classes instead; finding out takes one count.
     """
     category = lookup(strip(label), fixed.label_to_category(fixed.CYBER_CATEGORIES), F.lit("Intrusion"))
     df = df.withColumn("attack_category", category)
     if binary and df.agg(F.count_if(F.col("attack_category") == "Normal")).first()[0] > 0:
         return df.withColumn("target", not_normal("attack_category")), True
-    return encode_label(df, "attack_category", "target"), False
+    return df, False
 
 
 def encode_label(df: DataFrame, column: str, output: str) -> DataFrame:

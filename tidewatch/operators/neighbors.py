@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, small_table
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 1024
@@ -99,8 +99,8 @@ def _block_table(points: DataFrame, block_rows: int) -> dict[tuple[str, int], di
 def _with_blocks(points: DataFrame, table: dict, name: str) -> DataFrame:
     """The block number of each point: its cell's first block plus a hash of the vector."""
     spark = points.sparkSession
-    cells = spark.createDataFrame(
-        [(g, c, t["start"], t["blocks"]) for (g, c), t in table.items()], "grp string, cell int, start long, blocks long"
+    cells = small_table(
+        spark, [(g, c, t["start"], t["blocks"]) for (g, c), t in table.items()], "grp string, cell int, start long, blocks long"
     )  # at most MAX_PIVOTS rows per group
     placed = points.join(F.broadcast(cells), ["grp", "cell"])
     return placed.withColumn(name, F.col("start") + F.pmod(F.xxhash64("vid"), F.col("blocks"))).drop("start", "blocks")
@@ -241,8 +241,8 @@ def nearest(
     placed_queries = _with_blocks(query_cells.select("grp", "vid", "vec", "cell"), query_blocks, "qblock")
 
     # The home block: one block of the query's own cell, if that cell has reference points.
-    homes = queries.sparkSession.createDataFrame(
-        [(g, c, t["start"], t["blocks"]) for (g, c), t in ref_blocks.items()], "grp string, cell int, start long, blocks long"
+    homes = small_table(
+        queries.sparkSession, [(g, c, t["start"], t["blocks"]) for (g, c), t in ref_blocks.items()], "grp string, cell int, start long, blocks long"
     )
     at_home = placed_queries.join(F.broadcast(homes), ["grp", "cell"], "left").withColumn(
         "rblock", F.col("start") + F.pmod(F.xxhash64("vid"), F.col("blocks"))

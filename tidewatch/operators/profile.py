@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.numeric import as_column, nonfinite_to_null, quoted
+from tidewatch.functions.numeric import as_column, finite_double, quoted
 
 
 def class_distribution(df: DataFrame, label: str, top: int | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
 
 
 def class_means(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
-    return df.groupBy(label).agg(*[F.avg(nonfinite_to_null(F.col(quoted(c)).cast("double"))).alias(f"mean_{c}") for c in columns])
+    return df.groupBy(label).agg(*[F.avg(finite_double(c)).alias(f"mean_{c}") for c in columns])
 
 
 def class_shares(df: DataFrame, label: str, category: Column | str) -> DataFrame:

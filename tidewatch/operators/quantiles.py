@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.numeric import nan_to_null
+from tidewatch.functions.numeric import quoted
 
 # ``percentile`` keeps one counter per distinct value; up to this many it is used directly.
 DISTINCT_LIMIT = 1_000_000
@@ -30,7 +30,7 @@ def exact_quantiles(
     """
     if not columns:
         return {}
-    numbers = df.select(*[nan_to_null(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
+    numbers = df.selectExpr(*[f"nullif(double({quoted(c)}), double('NaN')) AS v{i}" for i, c in enumerate(columns)])
     names = numbers.columns
     head = numbers.agg(
         *[F.count(v).alias(f"{v}_n") for v in names],

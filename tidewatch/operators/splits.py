@@ -15,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.numeric import as_column
+from tidewatch.functions.numeric import as_column, quoted
+from tidewatch.session import small_table
 
 PREFIX_DIGITS = 4  # 65,536 prefixes, so a prefix holds about 1/65,536 of a class
 NO_CLASS = "\u0000"
@@ -33,6 +34,27 @@ def hash_fraction(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def with_content_key(df: DataFrame, output: str = "row_key", chunk: int = 100_000) -> DataFrame:
+    """A unique key for tables without one: the hash of the whole row and the number of the copy.
+
+    Copies are counted (which reduces them before the shuffle) and then written out
+    again with their numbers. A row with very many copies is written out by several
+    tasks, ``chunk`` copies each. The keys depend on the contents only.
+    """
+    columns = [F.col(quoted(c)) for c in df.columns]
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__copies")).withColumn("__first", F.lit(0).cast("long"))
+    many = F.col("__copies") > chunk
+    pieces = F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1, F.lit(chunk).cast("long"))
+    hot = counted.where(many).withColumn("__first", F.explode(pieces))
+    hot = hot.withColumn("__copies", F.least(F.col("__copies"), F.col("__first") + chunk)).repartition(*columns, "__first")
+    rest = counted.where(~many)
+    numbered = rest.unionByName(hot).withColumn("__copy", F.explode(F.sequence("__first", F.col("__copies") - 1)))
+    content = F.md5(F.to_json(F.struct(*columns)))
+    return numbered.withColumn(output, F.concat(content, F.lit("-"), F.col("__copy").cast("string"))).drop(
+        "__copies", "__first", "__copy"
+    )
+
+
 def _class_text(label: str | None) -> Column:
     return F.lit(NO_CLASS) if label is None else F.coalesce(F.col(label).cast("string"), F.lit(NO_CLASS))
 
@@ -67,7 +89,7 @@ def hash_cuts(
         if not targets:
             return cuts
         running = per_prefix.withColumn("upto", F.sum("n").over(Window.partitionBy("cls").orderBy("prefix")))
-        ranks = df.sparkSession.createDataFrame(targets, "cls string, cut int, rank long")
+        ranks = small_table(df.sparkSession, targets, "cls string, cut int, rank long")
         located = (
             running.join(F.broadcast(ranks), "cls")
             .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
@@ -77,8 +99,8 @@ def hash_cuts(
     finally:
         per_prefix.unpersist()
     # As many rows as there are cuts, so both lists are sent along with the job.
-    places = df.sparkSession.createDataFrame(located, "cls string, prefix string, cut int, nth long")
-    held = places.select("cls", "prefix").distinct()
+    places = small_table(df.sparkSession, located, "cls string, prefix string, cut int, nth long")
+    held = small_table(df.sparkSession, sorted({(r.cls, r.prefix) for r in located}), "cls string, prefix string")
     in_order = Window.partitionBy("cls", "prefix").orderBy("h")
     found = (
         rows.withColumn("prefix", prefix)

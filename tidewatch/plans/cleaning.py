@@ -398,7 +398,8 @@ def cyber_labels(spark, folder):
 def cyber_labels_without_normal(spark, folder):
     """Without normal rows the categories become the classes."""
     attacks = derived.spark_from_events(spark, folder, derived.CYBER).where("trim(`Attack Type`) <> 'Benign'")
-    df, _ = labels.label_cyber(attacks)
+    df, binary = labels.label_cyber(attacks)
+    df = df if binary else labels.encode_label(df, "attack_category", "target")
     return df.select(F.col("Row").alias("flow_id"), "attack_category", "target")
 
 

@@ -55,3 +55,19 @@ def cut_lineage(df):
     path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str):
+    """A few driver-side values as an inline table, without a job of their own."""
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    if not rows:
+        return spark.createDataFrame([], schema)
+
+    def literal(value, kind: str) -> str:
+        if value is None:
+            return f"CAST(NULL AS {kind})"
+        text = "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return text if kind == "string" else f"CAST({text} AS {kind})"
+
+    values = ", ".join("(" + ", ".join(literal(v, k) for v, (_, k) in zip(row, fields)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(n for n, _ in fields)})")
