@@ -241,16 +241,6 @@ def median_impute_with_infinite(spark, folder):
     return rounded(repaired.select("flow_id", "anomaly_score"), ["anomaly_score"])
 
 
-@query("train_median_impute", f"""
-    WITH f AS ({FLOWS_SQL}), m AS (SELECT flow_id, CASE WHEN isinf(anomaly_score) THEN NULL ELSE anomaly_score END AS v FROM f)
-    SELECT flow_id, round(coalesce(v, (SELECT quantile_cont(v, 0.5) FROM m WHERE flow_id % 5 <> 0)), 6) AS anomaly_score FROM m""")
-def train_median_impute(spark, folder):
-    """The same with the median of the training rows only."""
-    df = flows(spark, folder).withColumn("split", F.when(F.col("flow_id") % 5 == 0, "test").otherwise("train"))
-    repaired = clean.impute_median(df, ["anomaly_score"], fit_on=df.where("split = 'train'"))
-    return rounded(repaired.select("flow_id", "anomaly_score"), ["anomaly_score"])
-
-
 @query("column_medians", "SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in LINE_NUMBERS) + " FROM lineitem")
 def column_medians(spark, folder):
     found = clean.medians(table(spark, folder, "lineitem"), LINE_NUMBERS)

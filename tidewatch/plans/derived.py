@@ -61,7 +61,7 @@ def _score_columns(m: int, boost: int) -> dict[str, str]:
     return {
         "event_id": "event_id", "y": _Y, "pred": first,
         **{f"p{c}": f"{x} / {total}" for c, x in enumerate(w)},
-        "binary_score": f"{w[1]} / cast({w[0]} + {w[1]} as double)",
+        "binary_score": f"({' + '.join(w[1:])}) / {total}",  # any class but the first
     }
 
 

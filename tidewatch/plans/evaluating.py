@@ -106,16 +106,9 @@ def auc_sql(source: str, score: str, positive: str, by: str = "") -> str:
             SELECT {b}{score} AS s, count(*) FILTER ({positive}) AS pos, count(*) FILTER (NOT ({positive})) AS neg FROM ({source}) GROUP BY ALL)) {group}"""
 
 
-BINARY = f"SELECT * FROM ({S}) WHERE y IN (0, 1)"
-
-
-def _binary(spark, folder):
-    return scores(spark, folder).where("y IN (0, 1)")
-
-
-@query("roc_auc", f"SELECT round(roc_auc, 6) AS roc_auc FROM ({auc_sql(BINARY, 'binary_score', 'y = 1')})")
+@query("roc_auc", f"SELECT round(roc_auc, 6) AS roc_auc FROM ({auc_sql(S, 'binary_score', 'y > 0')})")
 def roc_auc(spark, folder):
-    return rounded(curves.auc(_binary(spark, folder), "binary_score", F.col("y") == 1), ["roc_auc"])
+    return rounded(curves.auc(scores(spark, folder), "binary_score", F.col("y") > 0), ["roc_auc"])
 
 
 @query("roc_auc_lines", f"""SELECT round(roc_auc, 6) AS roc_auc FROM (
@@ -171,27 +164,23 @@ def curve_sql(source: str, score: str, positive: str, shown: str, by: str = "")
         FROM (SELECT {b}{score} AS s, count(*) FILTER ({positive}) AS pos, count(*) FILTER (NOT ({positive})) AS neg FROM ({source}) GROUP BY ALL))"""
 
 
-ALL_BINARY = f"SELECT * FROM ({ALL_SCORES_SQL}) WHERE y IN (0, 1)"
-
-
-@query("roc_points", curve_sql(ALL_BINARY, "binary_score", "y = 1", "round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr", "model"))
+@query("roc_points", curve_sql(ALL_SCORES_SQL, "binary_score", "y > 0", "round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr", "model"))
 def roc_points(spark, folder):
     """Every point of the ROC curve of three models."""
-    df = all_scores(spark, folder).where("y IN (0, 1)")
-    points = curves.roc_points(df, "binary_score", F.col("y") == 1, ["model"])
+    points = curves.roc_points(all_scores(spark, folder), "binary_score", F.col("y") > 0, ["model"])
     return rounded(rounded(points, ["fpr", "tpr"]), ["threshold"], 9)
 
 
-@query("pr_points", curve_sql(BINARY, "binary_score", "y = 1", "round(tp / (tp + fp), 6) AS precision, round(tp / p, 6) AS recall"))
+@query("pr_points", curve_sql(S, "binary_score", "y > 0", "round(tp / (tp + fp), 6) AS precision, round(tp / p, 6) AS recall"))
 def pr_points(spark, folder):
-    points = curves.pr_points(_binary(spark, folder), "binary_score", F.col("y") == 1)
+    points = curves.pr_points(scores(spark, folder), "binary_score", F.col("y") > 0)
     return rounded(rounded(points, ["precision", "recall"]), ["threshold"], 9)
 
 
 @query("roc_points_thinned", None)
 def roc_points_thinned(spark, folder):
     """At most about a hundred points for drawing."""
-    return curves.roc_points(_binary(spark, folder), "binary_score", F.col("y") == 1, max_points=100)
+    return curves.roc_points(scores(spark, folder), "binary_score", F.col("y") > 0, max_points=100)
 
 
 # --- comparison -------------------------------------------------------------
@@ -208,15 +197,16 @@ def model_compare(spark, folder):
     return rounded(found, [*SUMMARY, "roc_auc_ovr", "roc_auc_ovo"])
 
 
-BINARY_MODELS = f"SELECT * REPLACE ((binary_score >= 0.5)::int AS pred) FROM ({ALL_BINARY})"
+BINARY_MODELS = f"SELECT * REPLACE ((y > 0)::int AS y, (binary_score >= 0.75)::int AS pred) FROM ({ALL_SCORES_SQL})"
 
 
 @query("model_compare_binary", f"""
     SELECT s.*, round(roc_auc, 6) AS roc_auc FROM ({summary_sql(BINARY_MODELS, 'model')}) s
     JOIN ({auc_sql(BINARY_MODELS, 'binary_score', 'y = 1', 'model')}) USING (model)""")
 def model_compare_binary(spark, folder):
-    df = all_scores(spark, folder).where("y IN (0, 1)").withColumn("pred", (F.col("binary_score") >= 0.5).cast("int"))
-    df = df.withColumn("other", 1 - F.col("binary_score"))
+    df = all_scores(spark, folder).withColumns({
+        "y": (F.col("y") > 0).cast("int"), "pred": (F.col("binary_score") >= 0.75).cast("int"), "other": 1 - F.col("binary_score"),
+    })
     return rounded(compare.compare_models(df, "y", "pred", ["other", "binary_score"]), [*SUMMARY, "roc_auc"])
 
 

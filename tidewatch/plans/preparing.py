@@ -8,7 +8,7 @@ from tidewatch.functions.clock import time_features
 from tidewatch.functions.network import address_features, port_features, same_subnet
 from tidewatch.functions.rowwise import interaction_features, power_features, ratio_features, row_statistics
 from tidewatch.functions.text import WHITESPACE, device_flags, text_length, word_count
-from tidewatch.operators import encode, outliers, select, splits
+from tidewatch.operators import clean, encode, outliers, select, splits
 from tidewatch.operators.features import fit_log_features
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.plans import derived
@@ -182,7 +182,6 @@ def powers(spark, folder):
 # --- encoding, scaling, clipping --------------------------------------------
 
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-_TRAIN = "o_orderkey % 5 <> 0"
 
 
 @query("onehot_encode", "SELECT o_orderkey, " + ", ".join(
@@ -217,33 +216,6 @@ def dictionary_encode(spark, folder):
     return encode.encode_with_dictionary(df, "c_name", encode.code_dictionary(df, "c_name"), "code").drop("c_name")
 
 
-def _scaled(spark, folder, method):
-    df = table(spark, folder, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"),
-                                               F.col("o_custkey").cast("double").alias("cust"), F.lit(3.0).alias("flat"))
-    scaler = encode.fit_scaler(df.where(_TRAIN), ["price", "cust", "flat"], method)
-    return rounded(scaler.transform(df), ["price", "cust", "flat"])
-
-
-@query("standard_scale", f"""
-    WITH s AS (SELECT avg(o_totalprice) AS mp, stddev_pop(o_totalprice) AS sp, avg(o_custkey) AS mc, stddev_pop(o_custkey) AS sc FROM orders WHERE {_TRAIN})
-    SELECT o_orderkey, round((o_totalprice - mp) / sp, 6) AS price, round((o_custkey - mc) / sc, 6) AS cust, cast(0 AS double) AS flat FROM orders, s""")
-def standard_scale(spark, folder):
-    """Fitted on the training rows, applied to all; a constant column becomes 0."""
-    return _scaled(spark, folder, "standard")
-
-
-@query("minmax_scale", f"""
-    WITH s AS (SELECT min(o_totalprice) AS lp, max(o_totalprice) AS hp, min(o_custkey) AS lc, max(o_custkey) AS hc FROM orders WHERE {_TRAIN})
-    SELECT o_orderkey, round((o_totalprice - lp) / (hp - lp), 6) AS price, round((o_custkey - lc) / (hc - lc), 6) AS cust, cast(0 AS double) AS flat FROM orders, s""")
-def minmax_scale(spark, folder):
-    return _scaled(spark, folder, "minmax")
-
-
-@query("unscaled", "SELECT o_orderkey, round(o_totalprice, 6) AS price, round(cast(o_custkey AS double), 6) AS cust, cast(3 AS double) AS flat FROM orders")
-def unscaled(spark, folder):
-    return _scaled(spark, folder, None)
-
-
 @query("table_preparation", f"""
     WITH f AS ({FLOWS_SQL}), t AS (SELECT *, coalesce(protocol, 'Unknown') AS p,
               CASE WHEN isinf(anomaly_score) THEN NULL ELSE anomaly_score END AS a FROM f),
@@ -356,6 +328,52 @@ def undersample(spark, folder):
     return splits.undersample(table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id", "toxic")
 
 
+def _scaled(spark, folder, method):
+    df = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"),
+                                               F.col("o_custkey").cast("double").alias("cust"), F.lit(3.0).alias("flat"))
+    parts = splits.split(df, "o_orderkey", "o_orderstatus")
+    scaler = encode.fit_scaler(parts.where("split = 'train'"), ["price", "cust", "flat"], method)
+    return rounded(scaler.transform(df).drop("o_orderstatus"), ["price", "cust", "flat"])
+
+
+def scaled_sql(statistics: str, price: str, cust: str) -> str:
+    return f"""
+    WITH o AS ({split_sql("SELECT o_orderkey, o_orderstatus, o_totalprice, o_custkey FROM orders", "o_orderkey", "o_orderstatus")}),
+    s AS (SELECT {statistics} FROM o WHERE split = 'train')
+    SELECT o_orderkey, round({price}, 6) AS price, round({cust}, 6) AS cust, cast(0 AS double) AS flat FROM o, s"""
+
+
+@query("standard_scale", scaled_sql(
+    "avg(o_totalprice) AS mp, stddev_pop(o_totalprice) AS sp, avg(o_custkey) AS mc, stddev_pop(o_custkey) AS sc",
+    "(o_totalprice - mp) / sp", "(o_custkey - mc) / sc"))
+def standard_scale(spark, folder):
+    """Fitted on the training rows, applied to all; a constant column becomes 0."""
+    return _scaled(spark, folder, "standard")
+
+
+@query("minmax_scale", scaled_sql(
+    "min(o_totalprice) AS lp, max(o_totalprice) AS hp, min(o_custkey) AS lc, max(o_custkey) AS hc",
+    "(o_totalprice - lp) / (hp - lp)", "(o_custkey - lc) / (hc - lc)"))
+def minmax_scale(spark, folder):
+    return _scaled(spark, folder, "minmax")
+
+
+@query("unscaled", "SELECT o_orderkey, round(o_totalprice, 6) AS price, round(cast(o_custkey AS double), 6) AS cust, cast(3 AS double) AS flat FROM orders")
+def unscaled(spark, folder):
+    return _scaled(spark, folder, None)
+
+
+@query("train_median_impute", f"""
+    WITH s AS ({split_sql(FLOWS_SQL, 'flow_id', 'raw_label')}),
+    m AS (SELECT flow_id, split, CASE WHEN isinf(anomaly_score) THEN NULL ELSE anomaly_score END AS v FROM s)
+    SELECT flow_id, round(coalesce(v, (SELECT quantile_cont(v, 0.5) FROM m WHERE split = 'train')), 6) AS anomaly_score FROM m""")
+def train_median_impute(spark, folder):
+    """Missing and infinite values take the median of the training rows."""
+    df = splits.split(flows(spark, folder), "flow_id", "raw_label")
+    repaired = clean.impute_median(df, ["anomaly_score"], fit_on=df.where("split = 'train'"))
+    return rounded(repaired.select("flow_id", "anomaly_score"), ["anomaly_score"])
+
+
 # --- selection --------------------------------------------------------------
 
 _LONG = f"SELECT y, feature, x FROM (SELECT l_returnflag AS y, {', '.join(_X)} FROM lineitem) UNPIVOT (x FOR feature IN ({', '.join(_X)}))"
