@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,13 +12,14 @@ from tidewatch.functions.numeric import as_column, flag
 
 # Fixed value: every character that counts as whitespace when text is stripped or split.
 WHITESPACE = (
-    r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 
 def strip(c: Column | str) -> Column:
     """Remove all leading and trailing whitespace, not only blanks."""
-    return F.regexp_replace(as_column(c), f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(as_column(c), F.lit(WHITESPACE))
 
 
 def strip_lower(c: Column | str) -> Column:
@@ -38,15 +39,20 @@ def text_length(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    """Whitespace-separated words; empty and blank text have none."""
-    stripped = strip(or_empty(c))
-    return F.when(stripped == "", F.lit(0)).otherwise(F.size(F.split(stripped, f"{WHITESPACE}+")))
+    """Whitespace-separated words; empty and blank text have none.
+
+    Every kind of whitespace is mapped to a blank first, because splitting at a
+    fixed character is several times faster than at a pattern.
+    """
+    blanks = F.translate(or_empty(c), WHITESPACE, " " * len(WHITESPACE))
+    return F.size(F.array_remove(F.split(blanks, " "), ""))
 
 
 def mentions(c: Column | str, *words: str) -> Column:
     """1 when any of the words occurs, whatever the case."""
-    pattern = "|".join(re.escape(w) for w in words)
-    return flag(or_empty(c).rlike(f"(?i){pattern}"))
+    lowered = F.lower(or_empty(c))
+    found = [lowered.contains(w.lower()) for w in words]
+    return flag(reduce(lambda a, b: a | b, found))
 
 
 def device_flags(c: Column | str) -> dict[str, Column]:

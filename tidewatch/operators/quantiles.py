@@ -3,136 +3,129 @@
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.numeric import quoted
+from tidewatch.functions.numeric import quoted, sql_double
 
-# ``percentile`` keeps one counter per distinct value; up to this many it is used directly.
-DISTINCT_LIMIT = 1_000_000
-# Accuracy of the sketch that brackets a rank when there are more.
+# An exact counter (one entry per distinct value) only ever sees this many values.
+COUNTED_VALUES = 100_000
+# Accuracy of the sketch that brackets a rank, and how far it may be raised.
 SKETCH_ACCURACY = 10_000
+FINEST_ACCURACY = 1_000_000
+
+
+class Bracket(NamedTuple):
+    """Values in [lo, hi] hold the wanted rank; ``below`` of the others are smaller, ``inside`` lie in it."""
+
+    lo: float
+    hi: float
+    below: int
+    inside: int
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: list[str],
     probabilities: list[float],
-    distinct_limit: int = DISTINCT_LIMIT,
+    counted_values: int = COUNTED_VALUES,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Quantiles per column, equal to sorting each column and interpolating; null and NaN are left out.
 
-    Columns with few distinct values go through ``percentile``. For the others a
-    sketch brackets every wanted rank, one pass counts what lies below the
-    bracket, and the bracket is narrowed until it holds few enough values.
+    A sketch brackets every wanted rank, one pass counts what lies below and inside
+    the brackets, and this repeats until a bracket is a single value or holds few
+    enough values to be counted exactly.
     """
     if not columns:
         return {}
     numbers = df.selectExpr(*[f"nullif(double({quoted(c)}), double('NaN')) AS v{i}" for i, c in enumerate(columns)])
     names = numbers.columns
-    head = numbers.agg(
-        *[F.count(v).alias(f"{v}_n") for v in names],
-        *[F.approx_count_distinct(v).alias(f"{v}_d") for v in names],
-    ).first()
-    counts = {v: head[f"{v}_n"] for v in names}
+    head = numbers.agg(*[F.count(v).alias(v) for v in names]).first()
 
     # A wanted quantile is a weighted pair of order statistics.
-    wanted: dict[str, list[tuple[int, int, float]]] = {}
-    ranks: dict[str, set[int]] = {}
-    for v in names:
-        n = counts[v]
-        for p in probabilities if n else []:
-            at = (n - 1) * p
-            low, high = math.floor(at), math.ceil(at)
-            wanted.setdefault(v, []).append((low, high, at - low))
-            ranks.setdefault(v, set()).update((low, high))
-
-    # One bracket per wanted rank: values in [lo, hi], ``below`` of them smaller than lo.
+    pairs = {
+        v: [(math.floor((head[v] - 1) * p), math.ceil((head[v] - 1) * p), (head[v] - 1) * p) for p in probabilities]
+        for v in names if head[v]
+    }
     open_ranks = {
-        (v, k): (-math.inf, math.inf, 0, counts[v], head[f"{v}_d"]) for v, ks in ranks.items() for k in ks
+        (v, k): Bracket(-math.inf, math.inf, 0, head[v]) for v, ps in pairs.items() for low, high, _ in ps for k in (low, high)
     }
     found: dict[tuple[str, int], float] = {}
     while open_ranks:
-        small = {vk: b for vk, b in open_ranks.items() if b[4] <= distinct_limit}
-        large = {vk: b for vk, b in open_ranks.items() if b[4] > distinct_limit}
-        found.update(_order_statistics(numbers, small, counts))
-        open_ranks = _narrow(numbers, large, accuracy, found) if large else {}
+        final = {vk: b for vk, b in open_ranks.items() if b.inside <= counted_values or accuracy > FINEST_ACCURACY}
+        found.update(_order_statistics(numbers, final))
+        wide = {vk: b for vk, b in open_ranks.items() if vk not in final}
+        open_ranks, stuck = _narrow(numbers, wide, accuracy, found) if wide else ({}, False)
+        accuracy = accuracy * 10 if stuck else accuracy
 
     out: dict[str, list[float | None]] = {}
     for c, v in zip(columns, names):
-        if not counts[v]:
-            out[c] = [None] * len(probabilities)
-            continue
-        out[c] = [
-            found[v, low] if low == high or found[v, low] == found[v, high]
-            else (1 - w) * found[v, low] + w * found[v, high]
-            for low, high, w in wanted[v]
-        ]
+        values = []
+        for low, high, at in pairs.get(v, []):
+            a, b = found[v, low], found[v, high]
+            values.append(a if a == b else (high - at) * a + (at - low) * b)
+        out[c] = values or [None] * len(probabilities)
     return out
 
 
-def _inside(v: str, lo: float, hi: float):
-    return F.when(F.col(v).between(F.lit(lo), F.lit(hi)), F.col(v))
+def _inside(v: str, b: Bracket) -> str:
+    if (b.lo, b.hi) == (-math.inf, math.inf):
+        return v
+    return f"CASE WHEN {v} BETWEEN {sql_double(b.lo)} AND {sql_double(b.hi)} THEN {v} END"
+
 
+def _shares(ks: list[int], b: Bracket, slack: float = 0.0) -> str:
+    """Where the ranks lie inside the bracket; half a rank up, so rounding cannot reach a neighbour."""
+    at = [(k - b.below + 0.5) / b.inside + s for k in ks for s in ((-slack, slack) if slack else (0.0,))]
+    return "array(" + ", ".join(f"{min(1.0, max(0.0, x))!r}D" for x in at) + ")"
 
-def _order_statistics(numbers: DataFrame, brackets: dict, counts: dict[str, int]) -> dict:
-    """The exact value at each rank, for brackets with few distinct values, in one pass."""
-    if not brackets:
+
+def _by_bracket(brackets: dict) -> list[tuple[str, Bracket, list[int]]]:
+    grouped: dict[tuple[str, Bracket], list[int]] = {}
+    for (v, k), b in brackets.items():
+        grouped.setdefault((v, b), []).append(k)
+    return [(v, b, ks) for (v, b), ks in grouped.items()]
+
+
+def _order_statistics(numbers: DataFrame, brackets: dict) -> dict:
+    """The value at each rank, for brackets that hold few values, in one pass."""
+    groups = _by_bracket(brackets)
+    if not groups:
         return {}
-    grouped: dict[tuple[str, float, float, int, int], list[int]] = {}
-    for (v, k), (lo, hi, below, inside, _) in brackets.items():
-        grouped.setdefault((v, lo, hi, below, inside), []).append(k)
-    keys = list(grouped)
-    aggregates = []
-    for i, (v, lo, hi, below, inside) in enumerate(keys):
-        if inside < counts[v]:
-            numbers = numbers.withColumn(f"b{i}", _inside(v, lo, hi))
-        # Half a rank up, so that rounding cannot reach a neighbouring rank.
-        shares = ", ".join(f"{(k - below + 0.5) / inside!r}D" for k in grouped[keys[i]])
-        column = f"b{i}" if inside < counts[v] else v
-        aggregates.append(
-            F.expr(f"percentile_disc(array({shares})) WITHIN GROUP (ORDER BY {column})").alias(f"q{i}")
+    row = numbers.selectExpr(*[f"{_inside(v, b)} AS b{i}" for i, (v, b, _) in enumerate(groups)]).selectExpr(*[
+        f"percentile_disc({_shares(ks, b)}) WITHIN GROUP (ORDER BY b{i}) AS q{i}" for i, (_, b, ks) in enumerate(groups)
+    ]).first()
+    return {(v, k): row[f"q{i}"][j] for i, (v, _, ks) in enumerate(groups) for j, k in enumerate(ks)}
+
+
+def _narrow(numbers: DataFrame, brackets: dict, accuracy: int, found: dict) -> tuple[dict, bool]:
+    """Shrink each bracket around its rank; returns the open ones and whether one did not shrink."""
+    groups = _by_bracket(brackets)
+    edges = numbers.selectExpr(*[f"{_inside(v, b)} AS b{i}" for i, (v, b, _) in enumerate(groups)]).selectExpr(*[
+        f"percentile_approx(b{i}, {_shares(ks, b, 2.0 / accuracy)}, {accuracy}) AS e{i}" for i, (_, b, ks) in enumerate(groups)
+    ]).first()
+    tighter = {
+        (v, k): (edges[f"e{i}"][2 * j], edges[f"e{i}"][2 * j + 1]) for i, (v, _, ks) in enumerate(groups) for j, k in enumerate(ks)
+    }
+    spans = sorted({(v, *span) for (v, _), span in tighter.items()})
+    row = numbers.selectExpr(*[
+        f"{what} AS {name}{i}" for i, (v, lo, hi) in enumerate(spans) for name, what in (
+            ("below", f"count_if({v} < {sql_double(lo)})"),
+            ("inside", f"count_if({v} BETWEEN {sql_double(lo)} AND {sql_double(hi)})"),
         )
-    row = numbers.agg(*aggregates).first()
-    return {(keys[i][0], k): row[f"q{i}"][j] for i in range(len(keys)) for j, k in enumerate(grouped[keys[i]])}
-
-
-def _narrow(numbers: DataFrame, brackets: dict, accuracy: int, found: dict) -> dict:
-    """Shrink each bracket around its rank; ranks whose bracket is a single value are done."""
-    keys = list(brackets)
-    slack = 2.0 / accuracy
-    sketches = []
-    for i, vk in enumerate(keys):
-        lo, hi, below, inside, _ = brackets[vk]
-        share = (vk[1] - below + 0.5) / inside
-        around = ", ".join(repr(min(1.0, max(0.0, share + s))) + "D" for s in (-slack, slack))
-        numbers = numbers.withColumn(f"b{i}", _inside(vk[0], lo, hi))
-        sketches.append(F.expr(f"percentile_approx(b{i}, array({around}), {accuracy})").alias(f"s{i}"))
-    edges = numbers.agg(*sketches).first()
-    counted = []
-    for i, vk in enumerate(keys):
-        lo, hi = edges[f"s{i}"]
-        v = F.col(vk[0])
-        counted += [
-            F.count_if(v < F.lit(lo)).alias(f"below{i}"),
-            F.count_if(v.between(F.lit(lo), F.lit(hi))).alias(f"inside{i}"),
-            F.approx_count_distinct(_inside(vk[0], lo, hi)).alias(f"distinct{i}"),
-        ]
-    row = numbers.agg(*counted).first()
-    rest = {}
-    for i, vk in enumerate(keys):
-        lo, hi = edges[f"s{i}"]
-        below, inside = row[f"below{i}"], row[f"inside{i}"]
-        if not below <= vk[1] < below + inside:
-            # The sketch missed the rank: keep the old bracket and let the counters take it.
-            old = brackets[vk]
-            rest[vk] = (old[0], old[1], old[2], old[3], 0)
+    ]).first()
+    counted = {span: (row[f"below{i}"], row[f"inside{i}"]) for i, span in enumerate(spans)}
+    still_open, stuck = {}, False
+    for (v, k), (lo, hi) in tighter.items():
+        below, inside = counted[v, lo, hi]
+        if not below <= k < below + inside or (lo, hi) == brackets[v, k][:2]:
+            still_open[v, k] = brackets[v, k]  # missed, or as wide as before: try a finer sketch
+            stuck = True
         elif lo == hi:
-            found[vk] = lo
-        elif (lo, hi) == brackets[vk][:2]:
-            rest[vk] = (lo, hi, below, inside, 0)
+            found[v, k] = lo
         else:
-            rest[vk] = (lo, hi, below, inside, row[f"distinct{i}"])
-    return rest
+            still_open[v, k] = Bracket(lo, hi, below, inside)
+    return still_open, stuck

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.clock import time_features
 from tidewatch.functions.network import address_features, port_features, same_subnet
 from tidewatch.functions.rowwise import interaction_features, power_features, ratio_features, row_statistics
-from tidewatch.functions.text import WHITESPACE, device_flags, text_length, word_count
+from tidewatch.functions.text import device_flags, text_length, word_count
 from tidewatch.operators import clean, encode, outliers, select, splits
 from tidewatch.operators.features import fit_log_features
 from tidewatch.operators.quantiles import exact_quantiles
@@ -43,6 +43,10 @@ def address_sql(ip: str, prefix: str) -> str:
 SUBNET_SQL = "(" + " AND ".join(f"{_octet('src_ip', i)} = {_octet('dst_ip', i)}" for i in (1, 2, 3)) + ")::int AS same_subnet"
 
 
+# The same characters as a pattern for the SQL twin.
+WHITESPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def words_sql(text: str) -> str:
     return (f"len(list_filter(regexp_split_to_array(coalesce({text}, ''), '{WHITESPACE}+'), lambda w: w <> ''))::int")
 
