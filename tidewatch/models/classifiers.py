@@ -44,7 +44,7 @@ def extra_trees(trees: int = FOREST_TREES, depth: int = TREE_DEPTH, seed: int =
 def linear_svm(classes: int = 2, iterations: int = SVM_ITERATIONS):
     """Hinge loss, no probabilities; one against the rest for more than two classes."""
     svm = LinearSVC(maxIter=iterations, tol=SVM_TOLERANCE)
-    return svm if classes == 2 else OneVsRest(classifier=svm)
+    return svm if classes == 2 else OneVsRest(classifier=svm, parallelism=4)
 
 
 def boosted_trees(classes: int = 2, rounds: int = 200, depth: int = 7, rate: float = 0.1, seed: int = 42):

@@ -14,14 +14,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.metrics import confusion, summary_scores
 
-# Scores are compared after rounding, so that adding in another order changes no tie.
-TIE_DIGITS = 9
-
 
 def argmax(scores: Column) -> Column:
     """Position of the largest entry, the first one on ties."""
-    even = F.transform(scores, lambda x: F.round(x, TIE_DIGITS))
-    return F.array_position(even, F.array_max(even)).cast("int") - 1
+    return F.array_position(scores, F.array_max(scores)).cast("int") - 1
 
 
 def normalised(weights: list[float] | None, members: int) -> list[float]:

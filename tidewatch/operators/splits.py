@@ -150,9 +150,14 @@ def split(
     val_size: float = 0.1,
     seed: int = 42,
     output: str = "split",
+    among: Column | None = None,
 ) -> DataFrame:
-    """Adds ``train``/``val``/``test``; stratified when a label is given."""
-    cuts = hash_cuts(df, key, label, seed, lambda sizes: split_quotas(sizes, test_size, val_size))
+    """Adds ``train``/``val``/``test``; stratified when a label is given.
+
+    ``among`` restricts which rows count towards the sizes; what the others get has no meaning.
+    """
+    counted = df if among is None else df.where(among)
+    cuts = hash_cuts(counted, key, label, seed, lambda sizes: split_quotas(sizes, test_size, val_size))
     if not cuts:
         return df.withColumn(output, F.lit(None).cast("string"))
     h = row_hash(key, seed)

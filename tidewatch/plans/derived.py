@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch import fixed_values as fixed
 from tidewatch.plans.registry import table
+from tidewatch.sources.readers import spread_out
 
 _A = "case event_id % 5 when 0 then 10 when 1 then 192 when 2 then 172 else (event_id * 7 + user_id) % 256 end"
 _B = "case when event_id % 5 = 1 then 168 else (event_id * 13) % 256 end"
@@ -160,7 +161,7 @@ def spark_from_events(spark: SparkSession, folder: str, columns: dict[str, str])
         f"{e.replace('strftime(ts, ', 'date_format(ts, ').replace('%Y-%m-%d %H:%M:%S', 'yyyy-MM-dd HH:mm:ss')} as `{name}`"
         for name, e in columns.items()
     ]
-    return table(spark, folder, "events").selectExpr(*spelled)
+    return spread_out(table(spark, folder, "events")).selectExpr(*spelled)
 
 
 def flows(spark: SparkSession, folder: str) -> DataFrame:

@@ -301,8 +301,8 @@ def wide_scores(spark, folder):
 def vote_sql(weights: dict[str, float]) -> str:
     total = sum(weights.values())
     mean = [" + ".join(f"{m}_{c} * {w / total!r}::double" for m, w in weights.items()) for c in range(len(CLASSES))]
-    best = "greatest(" + ", ".join(f"round({x}, 9)" for x in mean) + ")"
-    choice = "CASE " + " ".join(f"WHEN round({x}, 9) = {best} THEN {c}" for c, x in enumerate(mean)) + " END"
+    best = "greatest(" + ", ".join(mean) + ")"
+    choice = "CASE " + " ".join(f"WHEN {x} = {best} THEN {c}" for c, x in enumerate(mean)) + " END"
     return f"SELECT event_id, {choice} AS prediction, round({mean[0]}, 6) AS first_class FROM ({WIDE_SQL})"
 
 
@@ -335,7 +335,7 @@ _WEIGHT_ROWS = ", ".join(f"({i}, {', '.join(f'{w!r}::double' for w in ws)})" for
 
 @query("weight_search", f"""
     WITH t(trial, w0, w1, w2) AS (VALUES {_WEIGHT_ROWS}),
-    s AS (SELECT trial, y, {", ".join(f"round(weak_{c} * w0 + medium_{c} * w1 + strong_{c} * w2, 9) AS q{c}" for c in range(len(CLASSES)))} FROM ({WIDE_SQL}), t),
+    s AS (SELECT trial, y, {", ".join(f"weak_{c} * w0 + medium_{c} * w1 + strong_{c} * w2 AS q{c}" for c in range(len(CLASSES)))} FROM ({WIDE_SQL}), t),
     p AS (SELECT trial, y, CASE {" ".join(f"WHEN q{c} = greatest(q0, q1, q2, q3, q4) THEN {c}" for c in range(len(CLASSES)))} END AS pred FROM s)
     SELECT trial::int AS trial, f1_weighted FROM ({summary_sql('SELECT * FROM p', 'trial')})""")
 def weight_search(spark, folder):

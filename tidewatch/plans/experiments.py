@@ -102,17 +102,20 @@ class Scaled:
 
 def split_and_scale(prepared: Prepared, test_size: float = 0.2, val_size: float = 0.1, seed: int = 42) -> Scaled:
     """Exact stratified split, scaling fitted on the training rows, one vector per row."""
-    data = prepared.data
-    if "part" in data.columns:  # the test file is given; the rest is divided 90/10
-        given = splits.split(data.where("part = 'train'"), "key", "target", val_size, 0, seed)
-        relabelled = given.withColumn("split", F.when(F.col("split") == "test", "val").otherwise("train"))
-        data = relabelled.unionByName(data.where("part = 'test'").withColumn("split", F.lit("test")))
-    else:
-        data = splits.split(data, "key", "target", test_size, val_size, seed)
-    slim = data.select("key", F.col("target").cast("double").alias("label"), "split", *[F.col(f"`{c}`") for c in prepared.features])
     safe = {c: f"f{i}" for i, c in enumerate(prepared.features)}  # names a vector assembler can address
-    # Stored once: the scaler is fitted on it, and every model reads it.
-    slim = cut_lineage(clean.fill_zero(slim.withColumnsRenamed(safe), list(safe.values())))
+    part = [c for c in ("part",) if c in prepared.data.columns]
+    wide = prepared.data.select("key", F.col("target").cast("double").alias("label"), *part,
+                                *[F.col(f"`{c}`").alias(safe[c]) for c in prepared.features])
+    # Features are computed once; the split, the scaler and every model read the stored table.
+    stored = cut_lineage(clean.fill_zero(wide, list(safe.values())))
+    if part:  # the test file is given; the rest is divided 90/10
+        in_train_file = F.col("part") == "train"
+        divided = splits.split(stored, "key", "label", val_size, 0, seed, among=in_train_file)
+        name = F.when(~in_train_file, "test").when(F.col("split") == "test", "val").otherwise("train")
+        data = divided.withColumn("split", name)
+    else:
+        data = splits.split(stored, "key", "label", test_size, val_size, seed)
+    slim = data.select("key", "label", "split", *safe.values())
     scaler = fit_scaler(slim.where("split = 'train'"), list(safe.values()))
     assembler = VectorAssembler(inputCols=list(safe.values()), outputCol="features")
     rows = assembler.transform(scaler.transform(slim)).select("key", "label", "split", "features")

@@ -15,6 +15,7 @@ from tidewatch.plans import derived
 from tidewatch.plans.cleaning import LINE_NUMBERS, _HASH
 from tidewatch.plans.derived import FLOWS_SQL, flows
 from tidewatch.plans.registry import query, rounded, table
+from tidewatch.sources.readers import spread_out
 from tidewatch.sources.columns import ADDRESS_NAMES, PORT_NAMES, TIME_NAMES, cyber_features, cyber_mixed_features
 
 # --- row-wise features ------------------------------------------------------
@@ -83,7 +84,7 @@ def text_feature_query(spark, folder):
     SELECT doc_id, length(text)::int AS text_length, {words_sql('text')} AS words,
            regexp_matches(text, '(?i)msie|trident')::int AS is_msie FROM documents""")
 def document_text_features(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread_out(table(spark, folder, "documents"))
     return docs.select("doc_id", text_length("text").alias("text_length"), word_count("text").alias("words"),
                        device_flags("text")["is_msie"].alias("is_msie"))
 
@@ -144,7 +145,7 @@ _X = LINE_NUMBERS
 
 def _line_features(spark, folder, made):
     return rounded(
-        table(spark, folder, "lineitem").select(*_LINE_KEY.split(", "), *[c.alias(n) for n, c in made.items()]), list(made), 4)
+        spread_out(table(spark, folder, "lineitem")).select(*_LINE_KEY.split(", "), *[c.alias(n) for n, c in made.items()]), list(made), 4)
 
 
 _PAIRS = [(i, j) for i in range(4) for j in range(i + 1, 4)]
