@@ -82,3 +82,14 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         links = cut_lineage(small.where("u <> v").distinct())
+
+
+def text_blocks(text: str, size: int = BLOCK_BYTES) -> Iterator[str]:
+    """A text in pieces of about ``size`` characters that end before white space."""
+    start = 0
+    while start < len(text):
+        end = start + size
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[start:end]
+        start = end
