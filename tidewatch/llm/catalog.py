@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from tidewatch.llm import simhash, url_filter  # noqa: F401
+from tidewatch.llm import decontaminate, license_scan, quality, simhash, toxicity, url_filter  # noqa: F401
 from tidewatch.llm.registry import QUERIES, SQL  # noqa: F401
