@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from tidewatch.llm import decontaminate, license_scan, mixing, quality, simhash, substrings, tokens, toxicity, url_filter  # noqa: F401
+from tidewatch.llm import decontaminate, license_scan, mixing, quality, simhash, substrings, tokens, toxicity, url_filter, vectors  # noqa: F401
 from tidewatch.llm.registry import QUERIES, SQL  # noqa: F401
