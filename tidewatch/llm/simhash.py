@@ -141,6 +141,19 @@ def groups(prints: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
     return prints.join(ids, "fp")
 
 
+def one_per_group(docs: DataFrame, size: int = 3, radius: int = 3, parts: int = 2) -> DataFrame:
+    """The rows of ``docs`` that have the smallest (doc_id, hash of the text) of their component; one row of equal ones. Null ids are the largest."""
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
+    prints = cut_lineage(fingerprints(rows, ["doc_id", "tie"], size=size))
+    fps = cut_lineage(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie")).alias("first")))
+    linked = components(links(fps.select("fp"), radius, parts)).withColumnRenamed("node", "fp")
+    kept = fps.join(linked, "fp", "left").groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("__id"), F.col("first.tie").alias("__tie")).distinct()
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (tie == F.col("__tie")), "left_semi")
+    return stay.withColumn("__tie", tie).dropDuplicates(["doc_id", "__tie"]).drop("__tie")
+
+
 @query("op1_simhash")
 def op1_simhash(spark, folder):
     """doc_id, fingerprint and component of every document, by three-word shingles and three bits.

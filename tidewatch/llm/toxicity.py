@@ -123,14 +123,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories=C
     return chosen, names, [np.frombuffer(r.weights, "<f8") for r in got], got[0].threshold
 
 
-def score(docs: DataFrame, keep: list[str], model, text: str = "text") -> DataFrame:
-    """``keep``, a chance ``p_<category>`` for each category, and ``rejected``: the last chance reaches the threshold.
+def score(docs: DataFrame, keep: list[str], model, text: str = "text", prefix: str = "") -> DataFrame:
+    """``keep``, a chance ``p_<category>`` for each category, and ``rejected``: the last chance reaches the threshold. New names start with ``prefix``.
 
     Null and empty texts hold no terms. Without a model (no labels of both kinds) nothing is rejected and chances are null.
     """
     if model is None:
         names = [*CATEGORIES, "toxic"]
-        return docs.select(*keep, *[F.lit(None).cast("double").alias(f"p_{n}") for n in names], F.lit(False).alias("rejected"))
+        return docs.select(*keep, *[F.lit(None).cast("double").alias(f"{prefix}p_{n}") for n in names], F.lit(False).alias(f"{prefix}rejected"))
     chosen, names, weights, threshold = model
     at, size = {t: i for i, t in enumerate(chosen)}, len(chosen)
 
@@ -146,7 +146,7 @@ def score(docs: DataFrame, keep: list[str], model, text: str = "text") -> DataFr
             return [*out, [p >= threshold for p in out[-1]]]
         return compute
 
-    return map_texts(docs, keep, text, [*[(f"p_{n}", "double") for n in names], ("rejected", "boolean")], make)
+    return map_texts(docs, keep, text, [*[(f"{prefix}p_{n}", "double") for n in names], (f"{prefix}rejected", "boolean")], make)
 
 
 @query("op9_toxicity")
