@@ -81,13 +81,15 @@ class NearestNeighborsModel:
     def transform(self, df: DataFrame) -> DataFrame:
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
+        # Each distinct vector is asked for once, and rows find the answer by their vector: keys may repeat.
         key = self.settings.key
-        queries = df.select(key, vector_to_array("features").alias("__x"), F.lit(None).cast("double").alias("__y"))
-        joined = nearest(queries, self.train, key, "__x", self.settings.k, label="__y")
+        asked = df.withColumn("__asked", F.md5(F.to_json(vector_to_array("features"))))
+        queries = asked.select(F.col("__asked").alias(key), vector_to_array("features").alias("__x"), F.lit(None).cast("double").alias("__y"))
+        joined = nearest(queries.dropDuplicates([key]), self.train, key, "__x", self.settings.k, label="__y")
         votes = joined.select(
-            key, vote(joined).alias("prediction"), array_to_vector(vote_shares(joined, self.classes)).alias("probability")
+            F.col(key).alias("__asked"), vote(joined).alias("prediction"), array_to_vector(vote_shares(joined, self.classes)).alias("probability")
         )
-        return df.join(votes, key)
+        return asked.join(votes, "__asked").drop("__asked")
 
 
 def standard_models(classes: int, inputs: int, key: str = "key", seed: int = 42, small: bool = False) -> dict[str, object]:

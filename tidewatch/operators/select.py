@@ -23,42 +23,35 @@ RFE_STEP = 0.1
 FOREST_TREES = 100
 
 
-def _class_sums(df: DataFrame, columns: list[str], label: str, value, extra=None) -> DataFrame:
-    """(feature, class, n, s[, q]) from one aggregation with one row per class."""
-    aggregates = [F.count(F.lit(1)).alias("n")]
-    for i, c in enumerate(columns):
-        x = value(F.col(quoted(c)).cast("double"))
-        aggregates.append(F.sum(x).alias(f"s{i}"))
-        if extra is not None:
-            aggregates.append(F.sum(extra(x)).alias(f"q{i}"))
-    wide = df.groupBy(F.col(label).alias("cls")).agg(*aggregates)
+def _per_class(df: DataFrame, columns: list[str], label: str, **statistics) -> DataFrame:
+    """(feature, position, class, and each statistic) from one aggregation with one row per class."""
+    numbers = [F.col(quoted(c)).cast("double") for c in columns]
+    wide = df.groupBy(F.col(label).alias("cls")).agg(*[f(x).alias(f"{name}{i}") for i, x in enumerate(numbers) for name, f in statistics.items()])
     cells = F.array(*[
-        F.struct(
-            F.lit(c).alias("feature"), F.lit(i).alias("position"), F.col(f"s{i}").alias("s"),
-            (F.col(f"q{i}") if extra is not None else F.lit(0.0)).alias("q"),
-        )
+        F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), *[F.col(f"{name}{i}").alias(name) for name in statistics])
         for i, c in enumerate(columns)
     ])
-    return wide.select("cls", "n", F.explode(cells).alias("c")).select("cls", "n", "c.*")
+    return wide.select("cls", F.explode(cells).alias("c")).select("cls", "c.*")
 
 
 def anova_f(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Between-class over within-class variance; null for a constant feature."""
-    sums = _class_sums(df, columns, label, lambda x: x, lambda x: x * x)
-    per_feature = sums.groupBy("feature", "position").agg(
-        F.count(F.lit(1)).cast("double").alias("classes"), F.sum("n").cast("double").alias("rows"),
-        F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("class_part"),
-    )
-    between = F.col("class_part") - F.col("s") * F.col("s") / F.col("rows")
-    within = F.col("q") - F.col("class_part")
-    total = F.col("q") - F.col("s") * F.col("s") / F.col("rows")
-    score = F.try_divide(between / (F.col("classes") - 1), within / (F.col("rows") - F.col("classes")))
-    return per_feature.select("feature", "position", F.when(total > 0, score).alias("score"))
+    """Between-class over within-class variance; null for a constant feature.
+
+    Both come from means and variances per class, so a large common offset does not swamp them.
+    """
+    classes = _per_class(df, columns, label, n=F.count, mean=F.avg, var=F.var_pop, lo=F.min, hi=F.max).where("n > 0")
+    whole = classes.groupBy("feature", "position").agg(
+        F.count(F.lit(1)).cast("double").alias("classes"), F.sum("n").cast("double").alias("rows"), F.sum(F.col("n") * F.col("var")).alias("within"),
+        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    gaps = classes.select("feature", "n", "mean").join(whole.select("feature", "grand"), "feature").groupBy("feature").agg(
+        F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), 2)).alias("between"))
+    score = F.try_divide(F.col("between") / (F.col("classes") - 1), F.col("within") / (F.col("rows") - F.col("classes")))
+    return whole.join(gaps, "feature", "left").select("feature", "position", F.when(F.col("lo") < F.col("hi"), score).alias("score"))
 
 
 def chi2_score(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """Chi-square of per-class sums of absolute values against class share times total."""
-    sums = _class_sums(df, columns, label, F.abs)
+    sums = _per_class(df, columns, label, n=lambda x: F.count(F.lit(1)), s=lambda x: F.sum(F.abs(x)))
     totals = sums.groupBy("feature", "position").agg(F.sum("s").alias("total"), F.sum("n").alias("rows"))
     expected = F.col("n") / F.col("rows") * F.col("total")
     term = F.try_divide((F.col("s") - expected) * (F.col("s") - expected), expected)

@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.numeric import as_column, quoted
 from tidewatch.session import small_table
@@ -34,6 +35,17 @@ def hash_fraction(*parts) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _spelled(column: Column, kind: T.DataType) -> Column:
+    """A value as text that no other value of the column has: null or not, length, and all digits of numbers and times."""
+    if isinstance(kind, T.BinaryType):
+        text = F.hex(column)
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        text = F.concat(F.to_json(column), F.lit("|"), column.cast("string"))
+    else:
+        text = column.cast("string")
+    return F.when(column.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+
+
 def with_content_key(df: DataFrame, output: str = "row_key", chunk: int = 100_000) -> DataFrame:
     """A unique key for tables without one: the hash of the whole row and the number of the copy.
 
@@ -49,7 +61,7 @@ def with_content_key(df: DataFrame, output: str = "row_key", chunk: int = 100_00
     hot = hot.withColumn("__copies", F.least(F.col("__copies"), F.col("__first") + chunk)).repartition(*columns, "__first")
     rest = counted.where(~many)
     numbered = rest.unionByName(hot).withColumn("__copy", F.explode(F.sequence("__first", F.col("__copies") - 1)))
-    content = F.md5(F.to_json(F.struct(*columns)))
+    content = F.md5(F.concat(*[_spelled(c, df.schema[n].dataType) for c, n in zip(columns, df.columns)]))
     return numbered.withColumn(output, F.concat(content, F.lit("-"), F.col("__copy").cast("string"))).drop(
         "__copies", "__first", "__copy"
     )
