@@ -113,13 +113,70 @@ def test_quotes_in_categories(spark):
     assert sorted(values(codes.transform(df), "code")) == [0, 1, 2]
 
 
-def test_too_many_levels_are_refused_not_truncated(spark):
-    df = spark.range(20).select(F.col("id").cast("string").alias("c"))
+def test_one_hot_columns_are_bounded_and_codes_are_not(spark, monkeypatch):
+    df = spark.range(50_000).select(F.format_string("v%05d", "id").alias("c"), (F.col("id") % 3).cast("string").alias("d"))
+    monkeypatch.setattr(encode, "WIDEST", 100)
     with pytest.raises(ValueError):
-        encode.levels_of(df, ["c"], limit=10)
+        encode.fit_onehot(df, ["c", "d"])
+    assert len(encode.fit_onehot(df, ["d"]).expressions) == 3
+    coded = encode.fit_codes(df, ["c", "d"]).transform(df)
+    assert coded.where("c_encoded <> cast(substr(c, 2) AS int) OR d_encoded <> cast(d AS int)").count() == 0
+    assert coded.select("c_encoded").distinct().count() == coded.count() == 50_000
     dictionary = encode.code_dictionary(df, "c")
-    assert dictionary.count() == 20
-    assert encode.encode_with_dictionary(df, "c", dictionary, "code").agg(F.sum("code")).first()[0] == 190
+    assert dictionary.count() == 50_000
+    assert encode.encode_with_dictionary(df, "c", dictionary, "code").agg(F.sum("code")).first()[0] == 50_000 * 49_999 // 2
+
+
+def test_variance_ratio_of_constant_and_shifted_columns(spark):
+    from tidewatch.operators.select import anova_f
+
+    made = spark.range(30_000).select(
+        (F.col("id") % 3).alias("y"), F.lit(0.1).alias("a"), (F.xxhash64("id") % 1000 / 1000).alias("b"), F.lit(None).cast("double").alias("d"))
+    made = made.withColumn("c", F.col("b") + 1e9)
+    score = {r.feature: r.score for r in anova_f(made, ["a", "b", "c", "d"], "y").collect()}
+    assert score["a"] is None and score.get("d") is None and score["b"] > 0 and abs(score["c"] / score["b"] - 1) < 1e-3
+
+
+def test_content_keys_tell_microseconds_and_gaps_apart(spark):
+    rows = [("2020-01-01 00:00:00.000001", None, b"a", "x"), ("2020-01-01 00:00:00.000002", None, b"a", "x"), ("2020-01-01 00:00:00.000002", "", b"a", "x"),
+            ("2020-01-01 00:00:00.000002", "-", b"a", "x"), ("2020-01-01 00:00:00.000002", None, b"b", "x"), ("2020-01-01 00:00:00.000002", "x", b"a", None)]
+    df = spark.createDataFrame(rows, "t string, s string, b binary, e string")
+    for kind in ("timestamp", "timestamp_ntz"):
+        keyed = splits.with_content_key(df.withColumn("t", F.col("t").cast(kind)))
+        assert keyed.select("row_key").distinct().count() == len(rows)
+
+
+def test_neighbour_votes_do_not_multiply_rows(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from tidewatch.models.classifiers import NearestNeighbors
+
+    rows = [(str(i % 10), [float(i % 20), float(i % 3)], i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, x array<double>, label int").select("key", array_to_vector("x").alias("features"), "label")
+    scored = NearestNeighbors("key", 3).fit(df).transform(df)
+    assert scored.count() == 40 and scored.columns == ["key", "features", "label", "prediction", "probability"]
+
+
+def test_one_rare_row_is_copied_by_many_tasks(spark):
+    from tidewatch.operators.balance import smote
+
+    df = spark.range(20_001).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"), (F.col("id") == 0).cast("int").alias("y"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    made = smote(df, "id", "x", "y").where("copy > 0").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in made) == 19_999 and len(made) >= 4
+
+
+def test_quantiles_by_halving(spark, monkeypatch):
+    from tidewatch.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FINEST_ACCURACY", 0)
+    values = [float(v) for v in [-1e300, -5, -5, -5, 0, 1e-300, 1, 2, 3, 1e300] * 7]
+    got = quantiles.exact_quantiles(spark.createDataFrame([(v,) for v in values], "a double"), ["a"], [0.0, 0.3, 0.5, 0.9, 1.0], counted_values=0)
+    import numpy as np
+
+    assert got["a"] == [float(v) for v in np.quantile(values, [0.0, 0.3, 0.5, 0.9, 1.0])]
+
 
 
 def test_constant_columns(spark):

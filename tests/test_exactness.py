@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import balance, neighbors, splits
 from tidewatch.operators.curves import auc, roc_points
-from tidewatch.operators.prefix import bucket_edges, running_totals
+from tidewatch.operators.prefix import running_totals
 from tidewatch.operators.quantiles import exact_quantiles
 
 
@@ -108,14 +108,18 @@ def test_quantiles_with_hot_values(spark):
     assert out["c"] == [None] * len(shares)
 
 
-def test_running_totals_whatever_the_edges(spark):
+def test_running_totals_whatever_the_ranges(spark):
     rng = np.random.default_rng(8)
     order = rng.permutation(500)
     df = spark.createDataFrame([("g%d" % (i % 3), float(o), int(o) % 7) for i, o in enumerate(order)], "g string, o double, w int")
-    for edges in ([], [250.0], bucket_edges(df, "o", 32), [-1.0, 1e9]):
-        out = running_totals(df, ["g"], "o", ["w"], edges).toPandas().sort_values(["g", "o"])
+    for ranges in (1, 8, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", ranges)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", ranges == 8)
+        out = running_totals(df, ["g"], "o", ["w"]).toPandas().sort_values(["g", "o"])
         expected = out.groupby("g")["w"].cumsum() - out["w"]
         assert (out["w_before"].to_numpy() == expected.to_numpy()).all()
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_auc_of_ties_inversions_and_single_classes(spark):

@@ -8,54 +8,61 @@ from pyspark.sql import functions as F
 from tidewatch.functions.numeric import finite_sql, quoted, sql_double, sql_string
 from tidewatch.functions.text import or_unknown, strip
 from tidewatch.operators.fitted import FittedColumns
+from tidewatch.operators.prefix import numbered
+from tidewatch.session import cut_lineage
 
-# Up to this many distinct values a dictionary is written into the expression.
-LITERAL_LEVELS = 10_000
+#: A one-hot table has one column per value; a column with more values than this is refused.
+WIDEST = 10_000
 
 
-def levels_of(df: DataFrame, columns: list[str], limit: int = LITERAL_LEVELS) -> dict[str, list[str]]:
-    """Sorted distinct values per column, from one job; about ``limit`` per column at most."""
-    pairs = (
+def _distinct(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, value): the distinct values of all columns, from one pass."""
+    return (
         df.select(F.explode(F.array(*[
             F.struct(F.lit(c).alias("name"), F.col(quoted(c)).cast("string").alias("value")) for c in columns
         ])).alias("p"))
         .select("p.*").where("value IS NOT NULL").distinct()
     )
-    rows = pairs.limit(limit * len(columns) + 1).collect()
-    if len(rows) > limit * len(columns):
-        raise ValueError(f"more than {limit} values in {columns}: use code_dictionary and join it")
+
+
+def levels_of(df: DataFrame, columns: list[str]) -> dict[str, list[str]]:
+    """Sorted distinct values per column, for class names and one-hot columns: the driver holds them all."""
     found: dict[str, list[str]] = {c: [] for c in columns}
-    for r in rows:
+    for r in _distinct(df, columns).toLocalIterator():
         found[r.name].append(r.value)
     return {c: sorted(v) for c, v in found.items()}
 
 
+class JoinedCodes:
+    """Codes of any number of values, looked up by a join with the dictionary (name, value, code)."""
+
+    def __init__(self, dictionary: DataFrame, outputs: dict[str, str], unknown: int | None):
+        self.dictionary, self.outputs, self.unknown = dictionary, outputs, unknown
+        self.expressions = {output: None for output in outputs.values()}
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for c, output in self.outputs.items():
+            known = self.dictionary.where(F.col("name") == c).select(F.col("value").alias("__value"), F.col("code").cast("int").alias("__code"))
+            code = F.col("__code") if self.unknown is None else F.coalesce("__code", F.lit(self.unknown))
+            df = df.join(known, F.col(quoted(c)).cast("string") == F.col("__value"), "left").withColumn(output, code).drop("__value", "__code")
+        return df
+
+    def size(self, column: str) -> int:
+        return self.dictionary.where(F.col("name") == column).count()
+
+
 def fit_codes(
     df: DataFrame, columns: list[str], outputs: dict[str, str] | None = None, unknown: int | None = None
-) -> FittedColumns:
+) -> JoinedCodes:
     """Code = rank of the value among the sorted distinct ones; other values get ``unknown``."""
-    outputs = outputs or {c: f"{c}_encoded" for c in columns}
-    levels = levels_of(df, columns)
-    other = "CAST(NULL AS INT)" if unknown is None else str(unknown)
-    expressions = {}
-    for c in columns:
-        if levels[c]:
-            pairs = ", ".join(f"{sql_string(v)}, {i}" for i, v in enumerate(levels[c]))
-            expressions[outputs[c]] = f"coalesce(try_element_at(map({pairs}), CAST({quoted(c)} AS STRING)), {other})"
-        else:
-            expressions[outputs[c]] = other
-    return FittedColumns(expressions, levels)
+    dictionary = numbered(_distinct(df, columns), ["name"], "value", "code")
+    return JoinedCodes(cut_lineage(dictionary), outputs or {c: f"{c}_encoded" for c in columns}, unknown)
 
 
 def code_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code) for any number of distinct values.
-
-    The distinct values are range-sorted across tasks and numbered from the task
-    counts, so nothing is collected; join it to the table to encode.
-    """
+    """(value, code) for any number of distinct values; join it to the table to encode."""
     values = df.select(F.col(quoted(column)).cast("string").alias("value")).where("value IS NOT NULL").distinct()
-    numbered = values.orderBy("value").rdd.zipWithIndex().map(lambda p: (p[0].value, p[1]))
-    return df.sparkSession.createDataFrame(numbered, "value string, code long")
+    return numbered(values, [], "value", "code").select("value", "code")
 
 
 def encode_with_dictionary(df: DataFrame, column: str, dictionary: DataFrame, output: str, unknown: int = -1) -> DataFrame:
@@ -74,6 +81,9 @@ def clean_categories(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def fit_onehot(df: DataFrame, columns: list[str], prefix: bool = True) -> FittedColumns:
     """One 0/1 column per value; a value that was not seen gives only zeros."""
+    wide = [r.name for r in _distinct(df, columns).groupBy("name").count().where(F.col("count") > WIDEST).collect()]
+    if wide:
+        raise ValueError(f"more than {WIDEST} values in {wide}: use codes")
     levels = levels_of(df, columns)
     return FittedColumns(
         {

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import quoted, sql_double
+from tidewatch.session import cut_lineage
 
-BUCKETS = 64
 
+def in_ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` as a stored table with ``__bucket``: the number of the range of ``order`` that a row fell into.
 
-def bucket_edges(df: DataFrame, column: str, buckets: int = BUCKETS, error: float = 0.002) -> list[float]:
-    """Approximate quantiles; they only balance the work, any edges give the same totals."""
-    shares = [i / buckets for i in range(1, buckets)]
-    found = df.select(F.col(column).cast("double").alias("v")).approxQuantile("v", shares, error)
-    return sorted(set(found))
+    The ranges are the partitions of a range shuffle, so their number follows the size of the data and the session, and equal
+    values share one.
+    """
+    return cut_lineage(df.repartitionByRange(*[F.col(quoted(c)) for c in order]).withColumn("__bucket", F.spark_partition_id()))
 
 
 def bucket_of(column: str, edges: list[float]) -> Column:
@@ -29,19 +30,17 @@ def bucket_of(column: str, edges: list[float]) -> Column:
     return F.expr(tree(0, len(edges)))
 
 
-def running_totals(
-    df: DataFrame, by: list[str], order: str, values: list[str], edges: list[float], descending: bool = False
-) -> DataFrame:
+def running_totals(df: DataFrame, by: list[str], order: str, values: list[str], descending: bool = False) -> DataFrame:
     """Adds ``<value>_before``: the sum over all rows of the group that come earlier.
 
     ``order`` must be unique within a group. The rows are cut into value ranges;
     each range is summed by its own task and shifted by the total of the ranges
     before it.
     """
-    bucketed = df.withColumn("__bucket", bucket_of(quoted(order), edges))
+    bucketed = in_ranges(df, order)
     totals = bucketed.groupBy(*by, "__bucket").agg(*[F.sum(v).alias(f"__{v}") for v in values])
     bucket_order = F.col("__bucket").desc() if descending else F.col("__bucket").asc()
-    # One row per group and range: at most len(edges) + 1 rows per group.
+    # One row per group and range.
     earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy(bucket_order)
     offsets = totals.select(
         *by, "__bucket",
@@ -55,3 +54,9 @@ def running_totals(
         .withColumns({f"{v}_before": F.col(f"__{v}_run") + F.col(f"__{v}_offset") for v in values})
         .drop("__bucket", *[f"__{v}_run" for v in values], *[f"__{v}_offset" for v in values])
     )
+
+
+def numbered(values: DataFrame, by: list[str], order: str, output: str) -> DataFrame:
+    """Adds the place of each row in its group, counted from 0; ``order`` must be unique within a group."""
+    ranked = running_totals(values.withColumn("__one", F.lit(1).cast("long")), by, order, ["__one"])
+    return ranked.withColumnRenamed("__one_before", output).drop("__one")

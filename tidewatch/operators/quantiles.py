@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import struct
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -37,7 +38,7 @@ def exact_quantiles(
 
     A sketch brackets every wanted rank, one pass counts what lies below and inside
     the brackets, and this repeats until a bracket is a single value or holds few
-    enough values to be counted exactly.
+    enough values to be counted exactly. Where the finest sketch is too coarse, brackets are halved by value.
     """
     if not columns:
         return {}
@@ -55,9 +56,12 @@ def exact_quantiles(
     }
     found: dict[tuple[str, int], float] = {}
     while open_ranks:
-        final = {vk: b for vk, b in open_ranks.items() if b.inside <= counted_values or accuracy > FINEST_ACCURACY}
+        final = {vk: b for vk, b in open_ranks.items() if b.inside <= counted_values}
         found.update(_order_statistics(numbers, final))
         wide = {vk: b for vk, b in open_ranks.items() if vk not in final}
+        if accuracy > FINEST_ACCURACY:
+            open_ranks = _halve(numbers, wide, found) if wide else {}
+            continue
         open_ranks, stuck = _narrow(numbers, wide, accuracy, found) if wide else ({}, False)
         accuracy = accuracy * 10 if stuck else accuracy
 
@@ -129,3 +133,35 @@ def _narrow(numbers: DataFrame, brackets: dict, accuracy: int, found: dict) -> t
         else:
             still_open[v, k] = Bracket(lo, hi, below, inside)
     return still_open, stuck
+
+
+def _place(x: float) -> int:
+    """The place of a number among all doubles; -0.0 shares that of 0.0."""
+    bits = struct.unpack("<q", struct.pack("<d", x))[0]
+    return bits if bits >= 0 else -(bits & (1 << 63) - 1)
+
+
+def _at(place: int) -> float:
+    x = struct.unpack("<d", struct.pack("<q", abs(place)))[0]
+    return x if place >= 0 else -x
+
+
+def _halve(numbers: DataFrame, brackets: dict, found: dict) -> dict:
+    """The half of each bracket that holds its rank. A half has half as many doubles, so a bracket is one number after 64 rounds at most."""
+    ends = numbers.selectExpr(*[f"{what}({v}) AS {what}_{v}" for v in numbers.columns for what in ("min", "max")]).first()
+    cut = {}
+    for (v, k), b in brackets.items():
+        lo, hi = _place(max(b.lo, ends[f"min_{v}"])), _place(min(b.hi, ends[f"max_{v}"]))
+        cut[v, k] = (lo, (lo + hi) // 2, hi)
+    spans = sorted({(v, lo, mid) for (v, _), (lo, mid, _) in cut.items()})
+    row = numbers.selectExpr(*[f"count_if({v} BETWEEN {sql_double(_at(lo))} AND {sql_double(_at(mid))}) AS n{i}" for i, (v, lo, mid) in enumerate(spans)]).first()
+    lower = {span: row[f"n{i}"] for i, span in enumerate(spans)}
+    still_open = {}
+    for (v, k), (lo, mid, hi) in cut.items():
+        b, n = brackets[v, k], lower[v, lo, mid]
+        first, last, below, inside = (lo, mid, b.below, n) if k < b.below + n else (mid + 1, hi, b.below + n, b.inside - n)
+        if first == last:
+            found[v, k] = _at(first)
+        else:
+            still_open[v, k] = Bracket(_at(first), _at(last), below, inside)
+    return still_open

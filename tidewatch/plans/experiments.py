@@ -41,7 +41,7 @@ def _target(df: DataFrame, binary: bool) -> tuple[DataFrame, int]:
     if binary:
         return df, 2
     codes = fit_codes(df, ["attack_category"], {"attack_category": "target"})
-    return codes.transform(df), len(codes.statistics["attack_category"])
+    return codes.transform(df), codes.size("attack_category")
 
 
 def prepare_cicids(spark: SparkSession, folder: str, types: dict[str, str] | None = None, default_type: str | None = None,

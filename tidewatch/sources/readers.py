@@ -14,16 +14,6 @@ from tidewatch.sources.columns import clean_name, clean_names, keep_first_names,
 HEADER_THREADS = 16
 
 
-def spread_out(df: DataFrame) -> DataFrame:
-    """Deal the rows out to all cores when the input has fewer splits than there are cores.
-
-    A file with a single row group is read by one task, which would then also do all
-    the work on its rows. Inputs with enough splits are returned unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def nsl_kdd_schema() -> T.StructType:
     def kind(name: str) -> T.DataType:
         if name in fixed.NSL_KDD_TEXT_COLUMNS or name == "label":
