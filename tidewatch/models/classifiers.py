@@ -75,7 +75,7 @@ class NearestNeighborsModel:
 
         self.settings = settings
         key = settings.key
-        self.train = train.select(key, vector_to_array("features").alias("__x"), F.col("label").cast("double").alias("__y"))
+        self.train = train.select(F.col(key).cast("string").alias(key), vector_to_array("features").alias("__x"), F.col("label").cast("double").alias("__y"))
         self.classes = [float(c) for c in range(int(train.agg(F.max("label")).first()[0]) + 1)]
 
     def transform(self, df: DataFrame) -> DataFrame:

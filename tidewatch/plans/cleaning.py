@@ -361,9 +361,12 @@ def nsl_kdd_labels(spark, folder):
     return labels.label_nsl_kdd(raw).groupBy("label", "attack_category", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
+WSN_CATEGORY = _case('trim("Attack_type")', fixed.label_to_category(fixed.WSN_CATEGORIES), "'Normal'")
+
+
 @query("wsn_labels", f"""
     SELECT id, attack_category, CASE attack_category WHEN 'Normal' THEN 0 ELSE 1 END AS target FROM (
-        SELECT id, {_case('trim("Attack_type")', fixed.label_to_category(fixed.WSN_CATEGORIES), "'Normal'")} AS attack_category
+        SELECT id, {WSN_CATEGORY} AS attack_category
         FROM ({derived.from_events(derived.WSN)}))""")
 def wsn_labels(spark, folder):
     df = labels.label_wsn(derived.spark_from_events(spark, folder, derived.WSN))
