@@ -140,3 +140,43 @@ def test_stream_equals_batch(spark, folder):
 @pytest.mark.parametrize("name", ["cyber_run", "boosted_categories", "recursive_elimination", "training_history"])
 def test_runs_give_rows(spark, folder, name):
     assert catalog.QUERIES[name](spark, folder).count() > 0
+
+
+def test_extra_trees_do_not_depend_on_the_size_of_a_round(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+
+    from tidewatch.models import extra_trees
+
+    rows = [([float(i * 7 % 31), float(i % 5), float(i * i % 17)], (i * 3 % 11) // 4) for i in range(300)]
+    df = spark.createDataFrame(rows, "x array<double>, label int").select(array_to_vector("x").alias("features"), "label")
+
+    def nodes():
+        found = extra_trees.ExtraTrees(5, 6, 1).fit(df).nodes
+        return sorted(zip(found["tree"], found["feature"], found["threshold"], found["shares"].map(tuple)))
+
+    whole = nodes()
+    monkeypatch.setattr(extra_trees, "SLOTS_PER_ROUND", 3)
+    assert nodes() == whole and len(whole) > 50
+
+
+def test_samples_of_a_folder_are_exact_per_file(spark, tmp_path):
+    from tidewatch.sources import readers
+
+    for name, n in (("a", 100), ("b", 40)):
+        (tmp_path / f"{name}.csv").write_text("x,y\n" + "".join(f"{i % 7},{name}\n" for i in range(n)))
+    (tmp_path / "c.csv").write_text("\n")
+    got = readers.read_csv_folder(spark, str(tmp_path), default_type="string", sample_frac=0.25).groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in got} == {"a": 25, "b": 10}
+    skipped = readers.skipped_files(spark, str(tmp_path)).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.problem) for r in skipped] == [("c.csv", "empty")]
+
+
+def test_repeated_sensor_ids_do_not_multiply_rows(spark, tmp_path):
+    from tidewatch import fixed_values as fixed
+    from tidewatch.plans import experiments
+
+    names = ["id", *fixed.WSN_FEATURES, "Attack type"]
+    rows = "".join(f"{i % 10}," + ",".join(str(i + j) for j in range(len(names) - 2)) + f",{'Normal' if i % 2 else 'Flooding'}\n" for i in range(60))
+    (tmp_path / "w.csv").write_text(",".join(names) + "\n" + rows)
+    prepared = experiments.prepare_wsn(spark, str(tmp_path / "w.csv"))
+    assert prepared.data.count() == 60 == prepared.data.select("key").distinct().count()

@@ -51,15 +51,6 @@ def nonfinite_to_zero(name: str) -> Column:
     return F.expr(f"coalesce({finite_sql(f'double({quoted(name)})')}, 0D)")
 
 
-def array_nonfinite_to_zero(c: Column | str) -> Column:
-    """The same repair for every element of an array column."""
-    def repaired(x: Column) -> Column:
-        value = x.cast("double")
-        return F.when(F.abs(value) < F.lit(INFINITY), value).otherwise(F.lit(0.0))
-
-    return F.transform(as_column(c), repaired)
-
-
 def shifted_ratio(a: Column | str, b: Column | str, epsilon: float = EPSILON) -> Column:
     """``a / (b + epsilon)``; null where the shifted denominator is zero."""
     return F.try_divide(as_column(a).cast("double"), as_column(b).cast("double") + F.lit(epsilon))

@@ -21,14 +21,15 @@ SLOTS_PER_ROUND = 400_000  # (node, candidate) pairs whose statistics are held a
 
 
 class _Tree:
-    """Parallel arrays; a node is a leaf while its feature is -1."""
+    """Parallel arrays; a node is a leaf while its feature is -1. ``place`` is 1 for the root, 2p and 2p + 1 for the children of p."""
 
     def __init__(self, counts: np.ndarray):
-        self.feature, self.threshold, self.left, self.right, self.counts = [-1], [0.0], [-1], [-1], [counts]
+        self.feature, self.threshold, self.left, self.right, self.counts, self.place = [-1], [0.0], [-1], [-1], [counts], [1]
 
     def split(self, node: int, feature: int, threshold: float, left: np.ndarray) -> tuple[int, int]:
         kids = len(self.feature), len(self.feature) + 1
-        for counts in (left, self.counts[node] - left):
+        for side, counts in enumerate((left, self.counts[node] - left)):
+            self.place.append(2 * self.place[node] + side)
             self.feature.append(-1), self.threshold.append(0.0), self.left.append(-1), self.right.append(-1)
             self.counts.append(counts)
         self.feature[node], self.threshold[node], self.left[node], self.right[node] = feature, threshold, *kids
@@ -116,25 +117,26 @@ class ExtraTrees:
         root = np.array([sizes.get(c, 0) for c in range(classes)], dtype=np.int64)
         width = len(data.select("x").first()[0])
         tried = max(1, int(np.sqrt(width)))
-        rng = np.random.default_rng(self.seed)
         forest = [_Tree(root) for _ in range(self.trees)]
         flat: dict[tuple[int, int], set[int]] = {}  # features known to be constant in a node
         importance = np.zeros(width)
         frontier = [(t, 0, 0) for t in range(self.trees) if np.count_nonzero(root) > 1]
         while frontier:
             now, frontier = frontier[: SLOTS_PER_ROUND // tried], frontier[SLOTS_PER_ROUND // tried :]
-            frontier += self._grow(data, forest, now, flat, classes, width, tried, rng, importance)
+            frontier += self._grow(data, forest, now, flat, classes, width, tried, importance)
         total = importance.sum()
         return ExtraTreesModel.from_trees(df.sparkSession, forest, classes, importance / total if total else importance)
 
-    def _grow(self, data, forest, now, flat, classes, width, tried, rng, importance) -> list[tuple[int, int, int]]:
+    def _grow(self, data, forest, now, flat, classes, width, tried, importance) -> list[tuple[int, int, int]]:
         """Split the given open nodes; returns the nodes to go on with."""
         spark = data.sparkSession
-        candidates = np.empty((len(now), tried), dtype=np.int64)
+        candidates, draws = np.empty((len(now), tried), dtype=np.int64), np.empty((len(now), tried))
         for i, (t, node, _) in enumerate(now):
             left_over = [f for f in range(width) if f not in flat.get((t, node), ())]
-            picked = rng.permutation(left_over)[:tried]
-            candidates[i] = np.resize(picked, tried)
+            # Neither the order of nodes nor the size of a round has a say in what a node draws.
+            rng = np.random.default_rng([self.seed, t, forest[t].place[node], width - len(left_over)])
+            candidates[i] = np.resize(rng.permutation(left_over)[:tried], tried)
+            draws[i] = rng.random(tried)
         layout: dict[int, tuple[list, list]] = {}
         for i, (t, node, _) in enumerate(now):
             slots, nodes = layout.setdefault(t, ([], []))
@@ -146,7 +148,7 @@ class ExtraTrees:
                 "slot").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
             low, high = np.zeros(candidates.size), np.zeros(candidates.size)
             low[ranges["slot"]], high[ranges["slot"]] = ranges["low"], ranges["high"]
-            thresholds = low + rng.random(candidates.size) * (high - low)
+            thresholds = low + draws.ravel() * (high - low)
             thresholds = np.where(thresholds >= high, low, thresholds)  # never send every row left
             counted = data.mapInPandas(
                 _count_job(shared, layout, candidates, thresholds, classes), "slot long, cls int, n long"

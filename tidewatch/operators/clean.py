@@ -109,7 +109,3 @@ def drop_constant_columns(df: DataFrame, columns: list[str]) -> DataFrame:
         return df
     flat = [r.column_name for r in constant_flags(df, columns).where("is_constant").collect()]
     return df.drop(*flat)
-
-
-def replace_infinite(df: DataFrame, values: dict[str, float]) -> DataFrame:
-    return df.withColumns({c: F.when(is_infinite(c), F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})

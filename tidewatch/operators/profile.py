@@ -27,13 +27,6 @@ def dataset_profile(df: DataFrame, label: str) -> DataFrame:
     )
 
 
-def type_counts(df: DataFrame) -> dict[str, int]:
-    kinds: dict[str, int] = {}
-    for _, kind in df.dtypes:
-        kinds[kind] = kinds.get(kind, 0) + 1
-    return kinds
-
-
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     count = F.approx_count_distinct if approximate else F.count_distinct
     row = df.agg(*[count(quoted(c)).alias(c) for c in columns])

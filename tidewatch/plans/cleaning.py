@@ -79,6 +79,18 @@ def csv_folder_scan(spark, folder):
     )
 
 
+@query("skipped_files", "SELECT DISTINCT l_returnflag AS flag, 'empty' AS problem FROM lineitem")
+def skipped_files(spark, folder):
+    """Files of line items beside an empty file for each return flag: the empty ones are named."""
+    base = scratch_path(spark, "skipped")
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_returnflag")
+    items.write.option("header", True).csv(f"{base}/flag=all")
+    flags = items.select(F.col("l_returnflag").alias("flag")).distinct()
+    flags.withColumn("value", F.lit("")).write.mode("append").partitionBy("flag").text(base)
+    found = readers.skipped_files(spark, base, "part-*")
+    return found.select(F.regexp_extract("path", "flag=([^/]+)", 1).alias("flag"), "problem")
+
+
 def write_wsn(spark, folder) -> str:
     data = derived.spark_from_events(spark, folder, derived.WSN).withColumnsRenamed(derived.WSN_HEADER)
     path = scratch_path(spark, "wsn")

@@ -68,7 +68,10 @@ def prepare_nsl_kdd(spark: SparkSession, train_path: str, test_path: str, binary
 
 
 def prepare_wsn(spark: SparkSession, path: str, schema=None, binary: bool = True, sample_frac: float | None = None) -> Prepared:
-    raw = _keyed(splits.sample(readers.read_wsn(spark, path, schema), "id", sample_frac), "id")
+    read = readers.read_wsn(spark, path, schema)
+    # The id only names a row while it is unique; otherwise the whole row does.
+    unique = read.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty() and read.where("id IS NULL").isEmpty()
+    raw = splits.sample(_keyed(read, "id" if unique else None), "key", sample_frac)
     labelled, classes = _target(labels.label_wsn(raw), binary)
     features = columns.wsn_features(labelled)
     return Prepared(clean.impute_median(labelled, features), features, classes, "WSN-DS")

@@ -6,9 +6,12 @@ from concurrent.futures import ThreadPoolExecutor
 from csv import reader as csv_fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch import fixed_values as fixed
+from tidewatch.operators import splits
+from tidewatch.session import cut_lineage
 from tidewatch.sources.columns import clean_name, clean_names, keep_first_names, rename_variants
 
 HEADER_THREADS = 16
@@ -42,12 +45,25 @@ def _csv_paths(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return sorted(r.path for r in listing.select("path").collect())
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> tuple[str, tuple[str, ...]] | None:
+def _header(spark: SparkSession, path: str, encoding: str) -> tuple[str, tuple[str, ...] | None, str]:
+    """(path, header, problem); a file without a header has none."""
     try:
         first = spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="").head()
-        return (path, tuple(next(csv_fields([first[0]])))) if first and first[0] else None
-    except Exception:  # an unreadable file is left out, as the others are still wanted
-        return None
+        return (path, tuple(next(csv_fields([first[0]]))), "") if first and first[0] else (path, None, "empty")
+    except Exception as problem:  # noqa: BLE001 - reported, and the other files are still wanted
+        return path, None, f"{type(problem).__name__}: {str(problem).splitlines()[0]}"
+
+
+def csv_headers(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> list[tuple[str, tuple[str, ...] | None, str]]:
+    """(path, header, problem) of every matching file; only the start of a file is read."""
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        return list(pool.map(lambda p: _header(spark, p, encoding), _csv_paths(spark, folder, pattern)))
+
+
+def skipped_files(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
+    """(path, problem) of the files that ``read_csv_folder`` leaves out; Spark lists no files of zero bytes."""
+    found = [(p, problem) for p, header, problem in csv_headers(spark, folder, pattern, encoding) if header is None]
+    return spark.createDataFrame(found, "path string, problem string")
 
 
 def read_csv_folder(
@@ -64,14 +80,13 @@ def read_csv_folder(
 
     Files are grouped by header so that each group is one scan. With ``types`` or
     ``default_type`` nothing is inferred and the data is read once. Empty and
-    unreadable files are left out; rows that do not fit give nulls.
+    unreadable files are left out and named by ``skipped_files``; rows that do not
+    fit give nulls. ``sample_frac`` keeps exactly that share of each file.
     """
-    paths = _csv_paths(spark, folder, pattern)
-    with ThreadPoolExecutor(HEADER_THREADS) as pool:
-        headers = list(pool.map(lambda p: _header(spark, p, encoding), paths))
     groups: dict[tuple[str, ...], list[str]] = {}
-    for found in filter(None, headers):
-        groups.setdefault(found[1], []).append(found[0])
+    for path, header, _ in csv_headers(spark, folder, pattern, encoding):
+        if header is not None:
+            groups.setdefault(header, []).append(path)
     if not groups:
         raise FileNotFoundError(f"no readable {pattern} below {folder}")
 
@@ -86,7 +101,8 @@ def read_csv_folder(
             scan = scan.option("inferSchema", True)
         part = keep_first_names(scan.csv(files), names)
         if sample_frac and 0 < sample_frac < 1:
-            part = part.sample(fraction=sample_frac, seed=seed)
+            keyed = splits.with_content_key(part.withColumn("__file", F.input_file_name()), "__key")
+            part = splits.sample(cut_lineage(keyed), "__key", sample_frac, seed, "__file").drop("__file", "__key")
         parts.append(part)
 
     combined = parts[0]
