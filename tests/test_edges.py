@@ -278,3 +278,14 @@ def test_unknown_methods_are_named(spark):
         resample(df, "id", "v", "y", "other")
     with pytest.raises(ValueError, match="unknown selection method"):
         fit_selection(df, ["y"], "y", "other")
+
+
+def test_cuts_do_not_depend_on_how_prefixes_are_divided(spark, monkeypatch):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 9 == 0, "a").otherwise("b").alias("y"))
+    def parts():
+        return {r.id: r.split for r in splits.split(df, "id", "y").collect()}
+
+    whole = parts()
+    monkeypatch.setattr(splits, "PREFIX_DIGITS", 1)
+    monkeypatch.setattr(splits, "SORTED_ROWS", 2)
+    assert parts() == whole

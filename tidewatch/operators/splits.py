@@ -20,6 +20,7 @@ from tidewatch.functions.numeric import as_column, quoted
 from tidewatch.session import small_table
 
 PREFIX_DIGITS = 4  # 65,536 prefixes, so a prefix holds about 1/65,536 of a class
+SORTED_ROWS = 200_000  # a prefix with more rows is divided by further digits before its rows are put in order
 NO_CLASS = "\u0000"
 BEFORE_ALL = ""
 AFTER_ALL = "g"  # sorts behind every hexadecimal digit
@@ -105,14 +106,19 @@ def hash_cuts(
         located = (
             running.join(F.broadcast(ranks), "cls")
             .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
-            .select("cls", "prefix", "cut", (F.col("rank") - F.col("upto") + F.col("n")).alias("nth"))
+            .select("cls", "prefix", "cut", (F.col("rank") - F.col("upto") + F.col("n")).alias("nth"), "n")
             .collect()
         )
     finally:
         per_prefix.unpersist()
+    digits = PREFIX_DIGITS
+    while digits < 32 and max(r.n for r in located) > SORTED_ROWS:
+        located, digits = _located_within(df.sparkSession, rows, located, digits, digits + 2), digits + 2
+    located = [(r.cls, r.prefix, r.cut, r.nth) for r in located]
+    prefix = F.substring("h", 1, digits)
     # As many rows as there are cuts, so both lists are sent along with the job.
     places = small_table(df.sparkSession, located, "cls string, prefix string, cut int, nth long")
-    held = small_table(df.sparkSession, sorted({(r.cls, r.prefix) for r in located}), "cls string, prefix string")
+    held = small_table(df.sparkSession, sorted({(c, p) for c, p, _, _ in located}), "cls string, prefix string")
     in_order = Window.partitionBy("cls", "prefix").orderBy("h")
     found = (
         rows.withColumn("prefix", prefix)
@@ -127,6 +133,22 @@ def hash_cuts(
     return cuts
 
 
+def _located_within(spark, rows: DataFrame, located: list, digits: int, finer: int) -> list:
+    """The longer prefixes that hold the cuts of ``located`` (cls, prefix, cut, nth, n)."""
+    wanted = small_table(spark, [(r.cls, r.prefix, r.cut, r.nth) for r in located], "cls string, start string, cut int, rank long")
+    held = small_table(spark, sorted({(r.cls, r.prefix) for r in located}), "cls string, start string")
+    counted = (
+        rows.withColumn("start", F.substring("h", 1, digits)).join(F.broadcast(held), ["cls", "start"])
+        .groupBy("cls", "start", F.substring("h", 1, finer).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(Window.partitionBy("cls", "start").orderBy("prefix")))
+    )
+    return (
+        counted.join(F.broadcast(wanted), ["cls", "start"])
+        .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n")))
+        .select("cls", "prefix", "cut", (F.col("rank") - F.col("upto") + F.col("n")).alias("nth"), "n").collect()
+    )
+
+
 def _cut_column(cuts: dict[str, list[str]], cut: int, label: str | None) -> Column:
     pairs = [F.lit(x) for c, hs in cuts.items() for x in (c, hs[cut])]
     return F.try_element_at(F.create_map(*pairs), _class_text(label))

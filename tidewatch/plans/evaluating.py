@@ -177,10 +177,12 @@ def pr_points(spark, folder):
     return rounded(rounded(points, ["precision", "recall"]), ["threshold"], 9)
 
 
-@query("roc_points_thinned", None)
+@query("roc_points_thinned", curve_sql(S, "binary_score", "y > 0", "round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr") + """
+    WHERE floor((tp + fp) * 100 / (p + n)) > floor((tp + fp - pos - neg) * 100 / (p + n)) OR tp + fp = p + n""")
 def roc_points_thinned(spark, folder):
     """At most about a hundred points for drawing."""
-    return curves.roc_points(scores(spark, folder), "binary_score", F.col("y") > 0, max_points=100)
+    points = curves.roc_points(scores(spark, folder), "binary_score", F.col("y") > 0, max_points=100)
+    return rounded(rounded(points, ["fpr", "tpr"]), ["threshold"], 9)
 
 
 # --- comparison -------------------------------------------------------------
