@@ -239,7 +239,8 @@ def best_model(spark, folder):
     return compare.best_model(_summary(spark, folder).withColumn("ordinal", F.expr(_ORDINAL)), "f1_weighted", "ordinal")
 
 
-@query("best_model_without_metric", "SELECT 'weak' AS best_model")
+@query("best_model_without_metric", f"""
+    SELECT model AS best_model FROM (SELECT *, {_ORDINAL} AS o FROM ({summary_sql(ALL_SCORES_SQL, 'model')})) ORDER BY o LIMIT 1""")
 def best_model_without_metric(spark, folder):
     """An unknown metric falls back to the first model."""
     return compare.best_model(_summary(spark, folder).withColumn("ordinal", F.expr(_ORDINAL)), "no_such_metric", "ordinal")
