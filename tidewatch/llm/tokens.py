@@ -24,12 +24,12 @@ VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tik
 #: How that vocabulary splits text (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH = 256
-SHARD_BYTES = 64_000_000
+SHARD_BYTES = 32_000_000
 KEY = 0x5EED_2026
 COPIES = 4
 ROUNDS = 6
-#: Stands for a null id in a record.
-NO_ID = -(1 << 63)
+#: Set in the count of a record whose document has no id.
+NO_ID = 1 << 31
 #: Before the ids: doc_id, chunk and count; after them two zero bytes.
 HEADER = [("doc_id", "<i8"), ("chunk", "<u4"), ("count", "<u4")]
 END = "\0\0"
@@ -135,8 +135,8 @@ def sequences(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary:
                     rows = np.zeros(n, kind)
                     whole = np.full(n * length, last_id, "<u2")
                     whole[: len(ids)] = np.frombuffer(ids, np.uint16)
-                    rows["doc_id"], rows["chunk"], rows["ids"] = NO_ID if doc is None else doc, np.arange(n), whole.reshape(n, length)
-                    rows["count"] = np.minimum(len(ids) - length * np.arange(n), length)
+                    rows["doc_id"], rows["chunk"], rows["ids"] = doc or 0, np.arange(n), whole.reshape(n, length)
+                    rows["count"] = np.minimum(len(ids) - length * np.arange(n), length) + (NO_ID if doc is None else 0)
                     at = spread - 1 if doc is None else doc - low
                     at = (at * 0x9E3779B97F4A7C15 % (2**64) if folded else at) % spread
                     places.append(permuted((at * COPIES + copy % COPIES) * chunks + np.arange(n), size, key))
@@ -176,26 +176,27 @@ def shards(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
 
 
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
-    """(slot, shard, doc_id, chunk, count, ids) of every sequence, read back from the files."""
+    """(slot, shard, doc_id, chunk, count, ids) of every sequence, read back from the files, one shard after the other in a task."""
     kind = record_type(length)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select(
         F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("shard"), "content")
-    known = shards(spark, path, length).select("shard", "first_slot")
+    firsts = {r.shard: r.first_slot for r in shards(spark, path, length).collect()}
     schema = T._parse_datatype_string("slot bigint, shard int, doc_id bigint, chunk bigint, count int, ids binary")
 
     def run(batches):
         for batch in batches:
-            for shard, content, first in zip(*(batch.column(c) for c in ("shard", "content", "first_slot"))):
-                rows = np.frombuffer(content.as_buffer(), kind)
-                for start in range(0, len(rows), 10_000):
-                    part = rows[start: start + 10_000]
+            for shard, content in zip(batch.column("shard"), batch.column("content")):
+                shard, rows = shard.as_py(), np.frombuffer(content.as_buffer(), kind)
+                for start in range(0, len(rows), 5_000):
+                    part = rows[start: start + 5_000]
+                    unknown = part["count"] >= NO_ID
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(first.as_py() + start + np.arange(len(part))), pa.array(np.full(len(part), shard.as_py(), np.int32)),
-                        pa.array(part["doc_id"].astype(np.int64)), pa.array(part["chunk"].astype(np.int64)), pa.array(part["count"].astype(np.int32)),
-                        pa.array([x.tobytes() for x in part["ids"]], pa.binary())], ["slot", "shard", "doc_id", "chunk", "count", "ids"])
+                        pa.array(firsts[shard] + start + np.arange(len(part))), pa.array(np.full(len(part), shard, np.int32)),
+                        pa.array(part["doc_id"].astype(np.int64), mask=unknown), pa.array(part["chunk"].astype(np.int64)),
+                        pa.array((part["count"] & (NO_ID - 1)).astype(np.int32)), pa.array([x.tobytes() for x in part["ids"]], pa.binary()),
+                    ], ["slot", "shard", "doc_id", "chunk", "count", "ids"])
 
-    rows = files.join(known, "shard").mapInArrow(run, schema)
-    return rows.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    return files.mapInArrow(run, schema)
 
 
 def materialise(docs: DataFrame, name: str) -> DataFrame:
