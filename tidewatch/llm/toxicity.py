@@ -19,7 +19,7 @@ CATEGORIES = {
     "contempt": ["scum", "trash", "worthless", "pathetic", "disgusting"],
 }
 #: Bounds of the fit: labelled rows, chosen terms, and the least number of documents that hold a term.
-SAMPLE, TERMS, LEAST, FOLDS = 12_000, 512, 4, 3
+SAMPLE, TERMS, LEAST, FOLDS = 12_000, 1024, 3, 3
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"\w+")
 
@@ -50,40 +50,63 @@ def vocabulary(rows: DataFrame, size: int = TERMS) -> list[str]:
     return [r.term for r in best.collect()]
 
 
-def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 120) -> np.ndarray:
-    """Weights with the intercept last, by accelerated gradient steps."""
+class Sparse:
+    """Rows of 0/1 terms by their numbers, with a few dense columns beside them."""
+
+    def __init__(self, rows: list[np.ndarray], size: int, beside: np.ndarray | None = None):
+        self.rows, self.size = rows, size
+        self.terms = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+        self.lengths = np.array([len(r) for r in rows], np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.beside = np.zeros((len(rows), 0)) if beside is None else beside
+
+    def __getitem__(self, chosen: np.ndarray) -> "Sparse":
+        return Sparse([self.rows[i] for i in np.flatnonzero(chosen)], self.size, self.beside[chosen])
+
+    def with_column(self, values: np.ndarray) -> "Sparse":
+        return Sparse(self.rows, self.size, np.column_stack([self.beside, values]))
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(w[self.terms])])
+        return sums[self.ends[1:]] - sums[self.ends[:-1]] + self.beside @ w[self.size:-1] + w[-1]
+
+    def back(self, errors: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.terms, np.repeat(errors, self.lengths), self.size), errors @ self.beside, [errors.sum()]])
+
+    def chances(self, w: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.times(w), -30, 30)))
+
+
+def _fit_logistic(x: Sparse, y: np.ndarray, ridge: float = 1e-5, rounds: int = 600) -> np.ndarray:
+    """Weights of the terms, the columns beside them and last the intercept, by accelerated gradient steps."""
     n = max(len(y), 1)
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x.shape[1], np.float64)
+    w = np.zeros(x.size + x.beside.shape[1] + 1)
     w[-1] = np.log((y.sum() + 0.5) / (n - y.sum() + 0.5))
-    scale = 4.0 / max(float((x.astype(np.float64) ** 2).sum(1).mean()), 1e-9)
+    scale = 4.0 / (x.lengths.mean() + (x.beside**2).sum(1).mean() + 1) if len(y) else 0.0
+    inner = np.arange(len(w)) < len(w) - 1
     ahead, t = w.copy(), 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(x.dtype), -30, 30)))
-        step = ahead - scale * (x.T @ (p - y).astype(x.dtype) / n + ridge * ahead * (np.arange(len(w)) < len(w) - 1))
+        step = ahead - scale * (x.back(x.chances(ahead) - y) / n + ridge * ahead * inner)
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead, w = step + (old - 1) / t * (step - w), step
     return w
 
 
-def _chances(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-
-
-def fit_chain(x: np.ndarray, targets: np.ndarray, folds: int = FOLDS) -> tuple[list[np.ndarray], float]:
+def fit_chain(x: Sparse, targets: np.ndarray, folds: int = FOLDS) -> tuple[list[np.ndarray], float]:
     """One weight vector per category, and the threshold for the last one.
 
     A category's training column for the models after it is predicted out of fold, so that those models see chances as uncertain
     as they will be on new texts. The threshold has the best F1 out of fold, the middle one among equals.
     """
-    fold = np.random.default_rng(3).permutation(len(x)) % folds
-    weights, chances = [], np.zeros(len(x))
+    n = len(targets)
+    fold = np.random.default_rng(3).permutation(n) % folds
+    weights, chances = [], np.zeros(n)
     for k in range(targets.shape[1]):
-        y, chances = targets[:, k].astype(np.float64), np.zeros(len(x))
+        y, chances = targets[:, k].astype(np.float64), np.zeros(n)
         for f in range(folds):
-            chances[fold == f] = _chances(x[fold == f], _fit_logistic(x[fold != f], y[fold != f]))
+            chances[fold == f] = x[fold == f].chances(_fit_logistic(x[fold != f], y[fold != f]))
         weights.append(_fit_logistic(x, y))
-        x = np.hstack([x, chances[:, None].astype(x.dtype)])
+        x = x.with_column(chances)
     levels = np.linspace(0.2, 0.8, 25)
     f1 = np.array([2 * ((chances >= t) & (y > 0)).sum() / max(((chances >= t).sum() + (y > 0).sum()), 1) for t in levels])
     best = levels[f1 >= f1.max() - 1e-9]
@@ -110,9 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", categories=C
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("doc_id", kind="stable")
-        x = np.zeros((len(part), len(chosen)), np.float32)
-        for i, b in enumerate(part["found"]):
-            x[i, np.frombuffer(b, "<i4")] = 1
+        x = Sparse([np.frombuffer(b, "<i4") for b in part["found"]], len(chosen))
         y = part["y"].to_numpy()
         hits = np.array(part["hits"].tolist(), np.int64).reshape(len(part), len(lists))
         weights, threshold = fit_chain(x, np.column_stack([hits * (y > 0)[:, None], y > 0]))
