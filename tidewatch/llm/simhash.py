@@ -17,7 +17,7 @@ from tidewatch.session import cut_lineage
 SEED = 42
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: A bucket with more fingerprints than this, or many times the mean, is searched in blocks by tasks of their own.
-CROWDED, CROWDED_TIMES_MEAN, BLOCK = 128, 16, 1024
+CROWDED, CROWDED_TIMES_MEAN, BLOCK = 16, 8, 1024
 
 
 def simhash(text: str | None, size: int) -> int:
