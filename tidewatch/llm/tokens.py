@@ -139,12 +139,12 @@ def sequences(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary:
                     rows["count"] = np.minimum(len(ids) - length * np.arange(n), length) + (NO_ID if doc is None else 0)
                     at = spread - 1 if doc is None else doc - low
                     at = (at * 0x9E3779B97F4A7C15 % (2**64) if folded else at) % spread
-                    places.append(permuted((at * COPIES + copy % COPIES) * chunks + np.arange(n), size, key))
+                    places.append((at * COPIES + copy % COPIES) * chunks + np.arange(n))
                     ties += [tie] * n
                     stride, data = kind.itemsize, rows.tobytes()
                     records += [data[i * stride: (i + 1) * stride - len(END)] for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(places)), pa.array(ties, pa.int64()), pa.array(records, pa.binary())], ["place", "tie", "record"])
+                    [pa.array(permuted(np.concatenate(places), size, key)), pa.array(ties, pa.int64()), pa.array(records, pa.binary())], ["place", "tie", "record"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
     return rows.mapInArrow(run, schema), size
