@@ -137,7 +137,8 @@ def groups(prints: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
     linked = components(links(fps.select("fp"), radius, parts)).withColumnRenamed("node", "fp")
     firsts = linked.join(fps, "fp").groupBy("root").agg(F.min("first_id").alias("lowest"))
     linked = linked.join(firsts, "root").select("fp", "lowest")
-    ids = fps.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id"))
+    # Stored, so that the join below is one of two plain shuffles and Spark can split the rows of a fingerprint that very many documents share.
+    ids = cut_lineage(fps.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id")))
     return prints.join(ids, "fp")
 
 
