@@ -45,8 +45,9 @@ def runs(text: str | None, least_sentences: int, least_words: int) -> list[tuple
 def later_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, tie, spans): for each document the (first, last) sentences of its runs that occur before.
 
-    The first occurrence of a run is the one with the smallest (doc_id, hash of the text, place), null ids before all others. Hash counts
-    are summed before the shuffle, so a run that occurs in very many documents is one row per task; its occurrences are only joined to that row.
+    The first occurrence of a run is the one with the smallest (doc_id, hash of the text, place), null ids before all others. Counts and first
+    places are summed before the shuffle, so a run that occurs in very many documents is one row per task. Its occurrences are joined to a stored
+    table with one row per run, so that Spark can split them over tasks.
     """
 
     def make():
@@ -60,8 +61,10 @@ def later_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_w
     spans = map_texts(rows, ["doc_id", "tie"], "text", [("runs", "array<struct<h:bigint,g:bigint,i:int,j:int>>")], make)
     spans = cut_lineage(spans.select("doc_id", "tie", F.inline("runs")))
     place = F.struct("doc_id", "tie", "i")
-    repeated = spans.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h", "g", "first")
-    later = spans.join(repeated, ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
+    repeated = cut_lineage(spans.groupBy("h", "g").count().where("count > 1").select("h", "g"))
+    found = cut_lineage(spans.join(repeated, ["h", "g"]))
+    firsts = cut_lineage(found.groupBy("h", "g").agg(F.min(place).alias("first")))
+    later = found.join(firsts, ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("i", "j")).alias("spans"))
 
 
