@@ -127,6 +127,36 @@ def test_repeated_passages_equal_brute_force(spark, seed):
     assert got == expected and sum(k[3] for k in got) > 50
 
 
+def every_run(text, least_words):
+    pieces = [(i, s.lower().split()) for i, s in enumerate(substrings.sentences(text)) if s.split()]
+    for a in range(len(pieces)):
+        for b in range(a + 2, len(pieces) + 1):
+            if sum(len(w) for _, w in pieces[a:b]) >= least_words:
+                yield "\n".join(" ".join(w) for _, w in pieces[a:b]), pieces[a][0], pieces[b - 1][0]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_no_part_of_a_repeated_passage_is_left(spark, seed):
+    pick = random.Random(seed)
+    sentence = lambda: " ".join(pick.choice("abcdefghij") for _ in range(pick.randint(0, 9))) + pick.choice([".", "!", "\n", "?!", " "])
+    shared = ["".join(sentence() for _ in range(5)) for _ in range(4)]
+    docs = [(i, "".join(pick.choice([sentence(), sentence(), pick.choice(shared)]) for _ in range(pick.randint(0, 6)))) for i in range(60)]
+    first = {}
+    for d, t in docs:
+        for run, i, _ in every_run(t, 6):
+            first[run] = min(first.get(run, (d, i)), (d, i))
+    expected = {d: {k for run, i, j in every_run(t, 6) if first[run] != (d, i) for k in range(i, j + 1)} for d, t in docs}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: {k for s in r.removed for k in range(s["first"], s["last"] + 1)} for r in substrings.without_repeats(frame, 2, 6, ends=True).collect()}
+    assert got == expected and sum(map(len, got.values())) > 50
+
+
+def test_the_query_removes_the_last_sentences_of_a_copy(spark, tmp_path):
+    text = "".join(f" {' '.join(f'{c}{i}' for i in range(n))}." for c, n in zip("abcd", (20, 20, 3, 4)))
+    spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in substrings.op8_substring_dedup(spark, str(tmp_path)).collect()} == {1: text, 2: ""}
+
+
 def test_passages_at_the_edges(edge, nothing):
     got = substrings.without_repeats(edge)
     assert got.count() == len(EDGE) and {r.text for r in got.collect() if r.doc_id == 6} == {LONG}

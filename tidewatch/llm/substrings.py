@@ -12,7 +12,7 @@ from tidewatch.llm.common import map_texts
 from tidewatch.llm.registry import query, table
 from tidewatch.session import cut_lineage
 
-#: A run starts at any sentence and takes the fewest sentences that reach both bounds.
+#: A run starts or ends at any sentence and takes the fewest sentences that reach both bounds.
 LEAST_SENTENCES, LEAST_WORDS = 2, 15
 _SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 
@@ -22,27 +22,39 @@ def sentences(text: str | None) -> list[str]:
     return _SENTENCE.findall(text or "")
 
 
-def runs(text: str | None, least_sentences: int, least_words: int) -> list[tuple[bytes, int, int]]:
+def runs(text: str | None, least_sentences: int, least_words: int, ends: bool = False) -> list[tuple[bytes, int, int]]:
     """(digest, first sentence, last sentence) of every run. Words are compared in small letters, whatever white space is between them.
 
-    Sentences without words are part of the run around them, but no run starts or ends with one.
+    Sentences without words are part of the run around them, but no run starts or ends with one. With ``ends`` the shortest run that ends
+    at a sentence is one too, so the runs inside a passage that reaches the bounds cover all of it; else only the shortest from each start.
     """
     pieces = [(i, words) for i, words in enumerate(s.lower().split() for s in sentences(text)) if words]
     lines = [" ".join(words).encode("utf-8", "surrogatepass") for _, words in pieces]
     sizes = [len(words) for _, words in pieces]
-    out, end, held = [], 0, 0
+    digest = lambda a, b: (xxhash.xxh3_128_digest(b"\n".join(lines[a:b + 1])), pieces[a][0], pieces[b][0])
+    out, closed, end, held = [], set(), 0, 0
     for start in range(len(pieces)):
         while end < len(pieces) and (held < least_words or end - start < least_sentences):
             held += sizes[end]
             end += 1
         if held < least_words or end - start < least_sentences:
             break
-        out.append((xxhash.xxh3_128_digest(b"\n".join(lines[start:end])), pieces[start][0], pieces[end - 1][0]))
+        out.append(digest(start, end - 1))
+        closed.add(end - 1)
         held -= sizes[start]
+    start, held = 0, 0
+    for end in range(len(pieces) if ends else 0):
+        held += sizes[end]
+        while end - start >= least_sentences and held - sizes[start] >= least_words:
+            held -= sizes[start]
+            start += 1
+        # Where a run from a start ends, the shortest run to that end is among them.
+        if held >= least_words and end - start + 1 >= least_sentences and end not in closed:
+            out.append(digest(start, end))
     return out
 
 
-def later_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
+def later_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, ends: bool = False) -> DataFrame:
     """(doc_id, tie, spans): for each document the (first, last) sentences of its runs that occur before.
 
     The first occurrence of a run is the one with the smallest (doc_id, hash of the text, place), null ids before all others. Counts and first
@@ -52,7 +64,7 @@ def later_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_w
 
     def make():
         def compute(texts):
-            found = [runs(t, least_sentences, least_words) for t in texts]
+            found = [runs(t, least_sentences, least_words, ends) for t in texts]
             return [[[{"h": int.from_bytes(d[:8], "little", signed=True), "g": int.from_bytes(d[8:], "little", signed=True), "i": a, "j": b} for d, a, b in f]
                      for f in found]]
         return compute
@@ -68,13 +80,13 @@ def later_spans(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_w
     return later.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("i", "j")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, ends: bool = False) -> DataFrame:
     """doc_id, text, n_sentences, n_removed and removed (first and last sentence of each stretch) of every row of (doc_id, text).
 
-    A sentence goes if any run that covers it occurs before, in another document or earlier in its own. Equal rows (same id and text)
-    count as one document and are treated alike. A null text stays null.
+    A sentence goes if any run that covers it occurs before, in another document or earlier in its own; with ``ends`` that is any sequence of
+    sentences that reaches the bounds. Equal rows (same id and text) count as one document and are treated alike. A null text stays null.
     """
-    spans = later_spans(docs, least_sentences, least_words).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "spans")
+    spans = later_spans(docs, least_sentences, least_words, ends).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "spans")
     rows = docs.select("doc_id", "text").join(
         spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie")), "left").select("doc_id", "text", "spans")
     packed = rows.select("doc_id", F.struct("text", "spans").alias("both"))
@@ -109,4 +121,4 @@ def without_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, lea
 @query("op8_substring_dedup")
 def op8_substring_dedup(spark, folder):
     """Every document without the sentences of passages that occur before; see :func:`without_repeats`."""
-    return without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return without_repeats(table(spark, folder, "documents").select("doc_id", "text"), ends=True)
