@@ -9,8 +9,9 @@ from tidewatch.llm import decontaminate, mixing, simhash, tokens, toxicity
 from tidewatch.llm.registry import table
 from tidewatch.session import cut_lineage
 
-#: Near copies: fingerprints of five-word shingles with at most this many of 64 bits apart, searched through four segments.
-SHINGLE, RADIUS, SEGMENTS = 5, 7, 4
+#: Near copies: texts with this Jaccard similarity of five-word shingles. Fingerprints with at most this many of 64 bits apart, searched through
+#: four segments, and shared MinHash bands say which texts are compared.
+SHINGLE, RADIUS, SEGMENTS, SIMILARITY = 5, 7, 4, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id, and of equal ids the smallest hash of the text."""
-    return simhash.one_per_group(docs, SHINGLE, RADIUS, SEGMENTS)
+    return simhash.one_per_similar_group(docs, SHINGLE, RADIUS, SEGMENTS, SIMILARITY)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
