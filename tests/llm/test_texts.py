@@ -55,6 +55,13 @@ def test_exact_places_and_words(spark, edge, nothing):
     assert license_scan.scan(nothing, ["doc_id"]).count() == 0
 
 
+def test_the_mit_phrase_starts_at_under(spark, tmp_path):
+    docs = [(1, "Code under the MIT License."), (2, "Code has the MIT License."), (3, "x, Under the-MIT license; and the MIT license")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_base, r.first_word, r.last_word, r.base_labels) for r in license_scan.op5_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1, 1, "mit"), 2: (0, None, None, ""), 3: (1, 1, 1, "mit")}
+
+
 def distance(item, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):

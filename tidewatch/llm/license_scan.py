@@ -11,7 +11,7 @@ from tidewatch.llm.common import map_texts, word_blocks
 from tidewatch.llm.registry import query, table
 
 #: Exact phrases and their labels.
-PHRASES = [("the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 #: Notices searched with edits, and their labels.
 NOTICES = [
     ("released under the mit license", "mit"),
