@@ -17,7 +17,7 @@ def test_query_equals_its_sql(spark, duck, folder, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
     entry = importlib.import_module("__spark_entry__")
     assert {*catalog.QUERIES, "pipeline"} <= set(entry.queries())
 
