@@ -33,13 +33,15 @@ def test_long_texts_are_cut_where_ids_do_not_change():
 
 def test_round_trip_with_edges(spark, edge):
     path = scratch_path(spark, "test-shards")
-    tokens.write_shards(edge.select("doc_id", "text"), path, shard_bytes=300_000)
-    rows = tokens.read_shards(spark, path).collect()
+    per_shard = tokens.write_shards(edge.select("doc_id", "text"), path, shard_bytes=300_000)
+    rows = tokens.read_shards(spark, path, per_shard).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows))) and len({r.shard for r in rows}) > 3
+    assert all(r.shard == r.slot // per_shard for r in rows)
     known = tokens.shards(spark, path).orderBy("shard").collect()
     assert sum(s.sequences for s in known) == len(rows)
     last = np.memmap(known[-1].path.removeprefix("file:"), tokens.record_type(tokens.LENGTH), "r")
     assert len(last) == known[-1].sequences and not last["end"].any()
+    assert {s.sequences for s in known[:-1]} == {per_shard} and (last["slot"] == known[-1].shard * per_shard + np.arange(len(last))).all()
     closing = max(encoding()._mergeable_ranks.values()) + 1
     texts = {}
     for r in rows:
@@ -57,10 +59,9 @@ def test_the_order_depends_on_data_and_key_alone(spark, folder):
     assert first == order(docs.repartition(5)) and first != order(docs, key=5) and first != sorted(first)
 
 
-def _written(spark, docs, **more):
+def _written(spark, docs, length=tokens.LENGTH, **more):
     path = scratch_path(spark, "test-shards")
-    tokens.write_shards(docs, path, **more)
-    return tokens.read_shards(spark, path)
+    return tokens.read_shards(spark, path, tokens.write_shards(docs, path, length, **more), length)
 
 
 def test_repeated_rows_are_spread_as_copies(spark):
@@ -69,5 +70,22 @@ def test_repeated_rows_are_spread_as_copies(spark):
     assert sorted(got) == [i // 3 for i in range(300)] and sum(a == b for a, b in zip(got, got[1:])) < 20
 
 
+def test_every_slot_is_the_permuted_number_for_any_layout(spark):
+    texts = {d: " ".join(f"w{d} {i}" for i in range(40 * (d % 5))) for d in range(40)}
+    rows = [(d, texts[d]) for d in range(40) for _ in range(3)] + [(None, "no id"), (None, None), (None, "no id"), (7, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {(r.doc_id, r.text): r.tie for r in docs.selectExpr("doc_id", "text", "xxhash64(coalesce(text, '')) AS tie").collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tie[r]))
+    expected, number = [], 0
+    counts = [-(-(len(encoding().encode_ordinary(t or "")) + 1) // 8) for _, t in ordered]
+    for (doc, _), n in zip(ordered, counts):
+        slots = tokens.permuted(np.arange(number, number + n), sum(counts)).tolist()
+        expected += [(s, doc, c) for c, s in enumerate(slots)]
+        number += n
+    for layout in (docs.coalesce(1), docs.repartition(3), docs.repartition(11, "doc_id")):
+        got = _written(spark, layout, length=8, shard_bytes=2_000)
+        assert sorted((r.slot, r.doc_id, r.chunk) for r in got.collect()) == sorted(expected)
+
+
 def test_nothing(spark, nothing):
     assert tokens.materialise(nothing.select("doc_id", "text"), "test-shards").count() == 0

@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import base64
 import functools
-import math
+import itertools
 import os
 import re
+import uuid
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.llm.registry import query, table
-from tidewatch.session import scratch_path
+from tidewatch.operators.prefix import running_totals
+from tidewatch.session import cut_lineage, scratch_path
 
 #: Byte-level vocabulary as ranks; the id after the last rank is free and ends a document.
 VOCABULARY = os.environ.get("TOKENIZER_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -26,12 +29,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LENGTH = 256
 SHARD_BYTES = 32_000_000
 KEY = 0x5EED_2026
-COPIES = 4
 ROUNDS = 6
+#: Records that a task packs at a time, and that are written or read at a time.
+HELD, WRITTEN = 32_768, 2_000
 #: Set in the count of a record whose document has no id.
 NO_ID = 1 << 31
-#: Before the ids: doc_id, chunk and count; after them two zero bytes.
-HEADER = [("doc_id", "<i8"), ("chunk", "<u4"), ("count", "<u4")]
+#: Before the ids: slot, doc_id, chunk and count; after them two zero bytes.
+HEADER = [("slot", "<i8"), ("doc_id", "<i8"), ("chunk", "<u4"), ("count", "<u4")]
 END = "\0\0"
 
 
@@ -92,13 +96,10 @@ def encoded(encoding: tiktoken.Encoding, text: str, block: int = 1 << 20) -> arr
     return out
 
 
-def sequences(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary: str = VOCABULARY) -> tuple[DataFrame, int]:
-    """Rows (place, tie, record) of every sequence of (doc_id, text), and the number of places.
+def _stored_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """A stored table (pid, pos, doc_id, tie, n_ids, ids): the ids of each text and one closing id, by task and place in the task.
 
-    A document's ids and one closing id are cut into sequences of ``length`` ids, the last one filled up with closing ids. A place is
-    the permuted number of (doc_id, copy, sequence in the document), so it depends on nothing but the data and the key. Rows that follow
-    each other with one id are numbered as copies; other rows with one id share places and are ordered by ``tie``, a hash of the text.
-    Null ids come after all others; null and empty texts are one sequence without text.
+    Texts are encoded once; whatever follows reads this table. It is bucketed by ``pid``, so that joining by it moves no ids.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
@@ -109,106 +110,182 @@ def sequences(docs: DataFrame, length: int = LENGTH, key: int = KEY, vocabulary:
     if last_id >= 1 << 16:
         raise ValueError("ids are written in two bytes")
     sent = spark.sparkContext.broadcast(content)
-    seen = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(F.octet_length("text")).alias("longest")).first()
-    low, high = seen.low or 0, seen.high or 0
-    chunks = (seen.longest or 0) // length + 1
-    spread = high - low + 2
-    folded = spread * COPIES * chunks >= 1 << 62
-    if folded:
-        spread = (1 << 61) // (COPIES * chunks)
-    size = spread * COPIES * chunks
-    kind = record_type(length)
-    schema = T._parse_datatype_string("place bigint, tie bigint, record binary")
 
     def run(batches):
-        encoding, before, copy = _encoding(sent.value), (None, None), 0
+        encoding, pid, pos = _encoding(sent.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 200):
-                part = batch.slice(start, 200)
-                places, ties, records = [], [], []
-                for doc, text, tie in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "tie"))):
-                    copy = copy + 1 if before == (doc, tie) else 0
-                    before = (doc, tie)
-                    ids = encoded(encoding, text or "")
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                found = [encoded(encoding, t or "") for t in part.column("text").to_pylist()]
+                for ids in found:
                     ids.append(last_id)
-                    n = -(-len(ids) // length)
-                    rows = np.zeros(n, kind)
-                    whole = np.full(n * length, last_id, "<u2")
-                    whole[: len(ids)] = np.frombuffer(ids, np.uint16)
-                    rows["doc_id"], rows["chunk"], rows["ids"] = doc or 0, np.arange(n), whole.reshape(n, length)
-                    rows["count"] = np.minimum(len(ids) - length * np.arange(n), length) + (NO_ID if doc is None else 0)
-                    at = spread - 1 if doc is None else doc - low
-                    at = (at * 0x9E3779B97F4A7C15 % (2**64) if folded else at) % spread
-                    places.append((at * COPIES + copy % COPIES) * chunks + np.arange(n))
-                    ties += [tie] * n
-                    stride, data = kind.itemsize, rows.tobytes()
-                    records += [data[i * stride: (i + 1) * stride - len(END)] for i in range(n)]
+                n, sizes = part.num_rows, np.fromiter(map(len, found), np.int64, len(found))
+                ends = np.concatenate([[0], np.cumsum(2 * sizes)]).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(found))])
+                places = np.arange(pos, pos + n)
+                pos += n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(permuted(np.concatenate(places), size, key)), pa.array(ties, pa.int64()), pa.array(records, pa.binary())], ["place", "tie", "record"])
+                    [pa.array(np.full(n, pid, np.int32)), pa.array(places), part.column("doc_id"), part.column("tie"), pa.array(sizes), ids],
+                    ["pid", "pos", "doc_id", "tie", "n_ids", "ids"])
+
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie.alias("tie"))
+    stored = rows.mapInArrow(run, "pid int, pos long, doc_id long, tie long, n_ids long, ids binary")
+    name, buckets = f"tidewatch_ids_{uuid.uuid4().hex}", max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored.write.bucketBy(buckets, "pid").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option(
+        "path", scratch_path(spark, "token-ids")).saveAsTable(name)
+    return spark.table(name)
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"))
-    return rows.mapInArrow(run, schema), size
+def _numbered(stored: DataFrame, length: int) -> tuple[DataFrame, int]:
+    """(pid, firsts) and the number of all sequences: the dense number of the first sequence of each row of a task, by place.
 
+    Documents are numbered by (doc_id, hash of the text), null ids last, over value ranges; equal rows follow each other there, in any order,
+    since they are equal.
+    """
+    rows = stored.select("pid", "pos", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie").alias("at"),
+                         F.ceil(F.col("n_ids") / length).alias("n"))
+    in_task = Window.partitionBy("pid", "at").orderBy("pos")
+    rows = rows.withColumn("k", F.row_number().over(in_task) - 1)
+    per_task = rows.groupBy("at", "pid").agg(F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
+    before = Window.partitionBy("at").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    per_task = cut_lineage(per_task.withColumn("earlier", F.coalesce(F.sum("copies").over(before), F.lit(0))))
+    groups = per_task.groupBy("at").agg(F.sum(F.col("copies") * F.col("n")).alias("total"))
+    starts = cut_lineage(running_totals(groups, [], "at", ["total"]))
+    size = starts.agg(F.max(F.col("total_before") + F.col("total"))).first()[0] or 0
+    starts = per_task.join(starts.select("at", "total_before"), "at").select("pid", "at", "earlier", "total_before")
+    firsts = rows.join(starts, ["pid", "at"]).select("pid", "pos", (F.col("total_before") + (F.col("earlier") + F.col("k")) * F.col("n")).alias("first"))
+    return firsts.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "first"))), lambda x: x["first"]).alias("firsts")), size
+
+
+def _packs(rows: DataFrame, size: int, per_shard: int, length: int, key: int) -> DataFrame:
+    """(shard, records): finished records of (doc_id, ids, first), packed by shard and compressed, a bounded number of them at a time."""
+    kind = record_type(length)
 
-def write_shards(docs: DataFrame, path: str, length: int = LENGTH, key: int = KEY, vocabulary: str = VOCABULARY,
-                 shard_bytes: int = SHARD_BYTES) -> None:
-    """Writes the sequences of (doc_id, text) in the order of their places below ``path``.
+    def run(batches):
+        press, held, n = zstandard.ZstdCompressor(level=3), [], 0
+
+        def packed():
+            records = np.concatenate(held)
+            which = records["slot"] // per_shard
+            order = np.argsort(which, kind="stable")
+            cuts = np.flatnonzero(np.diff(which[order])) + 1
+            parts = np.split(order, cuts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([int(which[p[0]]) for p in parts], pa.int32()), pa.array([press.compress(records[p].tobytes()) for p in parts], pa.binary())],
+                ["shard", "records"])
 
-    Each range of places is one partition, sorted and written by one task as one shard of records of equal size, through Spark's
-    own writer and commit, so that a lost task leaves nothing behind and any store will do.
+        for batch in batches:
+            for doc, ids, first in zip(batch.column("doc_id"), batch.column("ids"), batch.column("first")):
+                ids, doc, first = np.frombuffer(ids.as_buffer(), "<u2"), doc.as_py(), first.as_py()
+                for start in range(0, len(ids), length * HELD):
+                    part = ids[start: start + length * HELD]
+                    count = -(-len(part) // length)
+                    chunks = start // length + np.arange(count)
+                    records = np.zeros(count, kind)
+                    whole = np.full(count * length, ids[-1], "<u2")
+                    whole[: len(part)] = part
+                    records["slot"], records["doc_id"], records["chunk"] = permuted(first + chunks, size, key), doc or 0, chunks
+                    records["count"] = np.minimum(len(part) - length * np.arange(count), length) + (NO_ID if doc is None else 0)
+                    records["ids"] = whole.reshape(count, length)
+                    held.append(records)
+                    n += count
+                    if n >= HELD:
+                        yield packed()
+                        held, n = [], 0
+        if n:
+            yield packed()
+
+    return rows.select("doc_id", "ids", "first").mapInArrow(run, "shard int, records binary")
+
+
+def write_shards(docs: DataFrame, path: str, length: int = LENGTH, key: int = KEY, vocabulary: str = VOCABULARY, shard_bytes: int = SHARD_BYTES) -> int:
+    """Writes the sequences of (doc_id, text) in training order below ``path``; returns how many records a shard has.
+
+    A document's ids and one closing id are cut into sequences of ``length`` ids, the last one filled up with closing ids. All sequences are
+    numbered densely, 0 to N - 1; the keyed permutation of that number is the sequence's slot. Slot ``s`` is record ``s % per_shard`` of shard
+    ``s // per_shard``: all shards but the last are equal, and a reader resumes by arithmetic. So the order depends on nothing but the rows and the
+    key, and repeated rows are spread like any others. Null ids come after all others before the permutation; null and empty texts are one
+    sequence without text. An empty table writes no record.
+
+    Records travel packed and compressed, and each range of slots is put in place by one task, which fails if a slot is missing or taken twice. It writes
+    through Spark's own writer and commit, so a lost task leaves nothing behind and any store will do. A task holds one shard.
     """
-    rows, size = sequences(docs, length, key, vocabulary)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
-    ranged = rows.repartitionById(shards, F.least(F.lit(shards - 1), F.floor(F.col("place") / F.lit(float(size)) * shards)).cast("int"))
-    ordered = ranged.sortWithinPartitions("place", "tie", "record")
-    ordered.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).text(path)
+    kind, per_shard = record_type(length), max(1, shard_bytes // record_type(length).itemsize)
+    stored = _stored_ids(docs, vocabulary)
+    firsts, size = _numbered(stored, length)
+    if not size:
+        docs.sparkSession.createDataFrame([], "value string").write.text(path)
+        return per_shard
+    placed = stored.join(firsts.hint("shuffle_hash"), "pid").select("doc_id", "ids", F.get("firsts", F.col("pos").cast("int")).alias("first"))
+    shards = -(-size // per_shard)
+
+    def settle(batches):
+        press, whole, shard, seen = zstandard.ZstdDecompressor(), None, None, 0
+        for batch in batches:
+            for number, packed in zip(batch.column("shard"), batch.column("records")):
+                if whole is None:
+                    shard = number.as_py()
+                    whole = np.zeros(min(per_shard, size - shard * per_shard), kind)
+                    taken = np.zeros(len(whole), bool)
+                records = np.frombuffer(press.decompress(packed.as_buffer()), kind)
+                at = (records["slot"] - shard * per_shard).astype(np.int64)
+                whole[at], taken[at] = records, True
+                seen += len(records)
+        if whole is not None:
+            if seen != len(whole) or not taken.all():
+                raise ValueError(f"shard {shard}: {seen} records for {len(whole)} slots")
+            for start in range(0, len(whole), WRITTEN):
+                yield pa.RecordBatch.from_arrays([pa.array([whole[start: start + WRITTEN].tobytes()[: -len(END)]], pa.binary())], ["value"])
+
+    ranged = _packs(placed, size, per_shard, length, key).repartitionById(shards, "shard")
+    ranged.mapInArrow(settle, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", END).text(path)
+    return per_shard
 
 
 def shards(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
-    """One row per shard: shard, path, first_slot and sequences, from the files' sizes alone. Slots count all sequences in order."""
+    """One row per shard: shard, path and sequences, from the files' sizes alone. A shard's first slot is its number times the records of a full shard."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
-    files = files.select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("shard"), "path", F.expr(f"length div {record_type(length).itemsize}").alias("sequences"))
-    found = sorted(files.collect())
-    ends = np.cumsum([r.sequences for r in found]).tolist()
-    return spark.createDataFrame([(r.shard, r.path, e - r.sequences, r.sequences) for r, e in zip(found, ends)],
-                                 "shard int, path string, first_slot long, sequences long")
+    return files.select(F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("shard"), "path", F.expr(f"length div {record_type(length).itemsize}").alias("sequences"))
 
 
-def read_shards(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
-    """(slot, shard, doc_id, chunk, count, ids) of every sequence, read back from the files, one shard after the other in a task."""
+def read_shards(spark: SparkSession, path: str, per_shard: int, length: int = LENGTH) -> DataFrame:
+    """(slot, shard, doc_id, chunk, count, ids) of every sequence, read back by ranges of records: no task holds a whole shard."""
     kind = record_type(length)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select(
-        F.regexp_extract("path", r"part-(\d+)-", 1).cast("int").alias("shard"), "content")
-    firsts = {r.shard: r.first_slot for r in shards(spark, path, length).collect()}
-    schema = T._parse_datatype_string("slot bigint, shard int, doc_id bigint, chunk bigint, count int, ids binary")
+
+    def joined(records):
+        while part := list(itertools.islice(records, WRITTEN)):
+            yield (bytearray(b"".join(part)),)
 
     def run(batches):
         for batch in batches:
-            for shard, content in zip(batch.column("shard"), batch.column("content")):
-                shard, rows = shard.as_py(), np.frombuffer(content.as_buffer(), kind)
-                for start in range(0, len(rows), 5_000):
-                    part = rows[start: start + 5_000]
-                    unknown = part["count"] >= NO_ID
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(firsts[shard] + start + np.arange(len(part))), pa.array(np.full(len(part), shard, np.int32)),
-                        pa.array(part["doc_id"].astype(np.int64), mask=unknown), pa.array(part["chunk"].astype(np.int64)),
-                        pa.array((part["count"] & (NO_ID - 1)).astype(np.int32)), pa.array([x.tobytes() for x in part["ids"]], pa.binary()),
-                    ], ["slot", "shard", "doc_id", "chunk", "count", "ids"])
-
-    return files.mapInArrow(run, schema)
+            for content in batch.column(0):
+                part = np.frombuffer(content.as_buffer(), kind)
+                ids = np.ascontiguousarray(part["ids"])
+                fixed = pa.Array.from_buffers(pa.binary(2 * length), len(part), [None, pa.py_buffer(ids)]).cast(pa.binary())
+                unknown = part["count"] >= NO_ID
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(part["slot"].astype(np.int64)), pa.array((part["slot"] // per_shard).astype(np.int32)),
+                    pa.array(part["doc_id"].astype(np.int64), mask=unknown), pa.array(part["chunk"].astype(np.int64)),
+                    pa.array((part["count"] & (NO_ID - 1)).astype(np.int32)), fixed,
+                ], ["slot", "shard", "doc_id", "chunk", "count", "ids"])
+
+    schema = "slot long, shard int, doc_id long, chunk long, count int, ids binary"
+    if not spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path").head(1):
+        return spark.createDataFrame([], schema)
+    records = spark.sparkContext.binaryRecords(f"{path}/part-*", kind.itemsize)
+    return spark.createDataFrame(records.mapPartitions(joined), "content binary", verifySchema=False).mapInArrow(run, schema)
 
 
 def materialise(docs: DataFrame, name: str) -> DataFrame:
     """Writes the shards into the shared folder and returns slot, shard, doc_id, chunk, count and a checksum of the ids of each sequence."""
     spark = docs.sparkSession
     path = scratch_path(spark, name)
-    write_shards(docs, path)
-    return read_shards(spark, path).select(
+    return read_shards(spark, path, write_shards(docs, path)).select(
         "slot", "shard", "doc_id", "chunk", "count", F.crc32("ids").alias("checksum"))
 
 
 @query("op3_tokens")
 def op3_tokens(spark, folder):
-    """Every sequence of every document by its slot in the training order; see :func:`sequences` for nulls, ties and repeats."""
+    """Every sequence of every document by its slot in the training order; see :func:`write_shards` for nulls, ties and repeats."""
     return materialise(table(spark, folder, "documents").select("doc_id", "text"), "shards")
