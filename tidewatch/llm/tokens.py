@@ -32,6 +32,8 @@ KEY = 0x5EED_2026
 ROUNDS = 6
 #: Records that a task packs at a time, and that are written or read at a time.
 HELD, WRITTEN = 32_768, 2_000
+#: Texts that a task encodes, or cuts into records, at a time; and how hard stored ids and packed records are compressed.
+ROWS, ZSTD = 500, 9
 #: Set in the count of a record whose document has no id.
 NO_ID = 1 << 31
 #: Before the ids: slot, doc_id, chunk and count; after them two zero bytes.
@@ -114,8 +116,8 @@ def _stored_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         encoding, pid, pos = _encoding(sent.value), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
                 found = [encoded(encoding, t or "") for t in part.column("text").to_pylist()]
                 for ids in found:
                     ids.append(last_id)
@@ -132,7 +134,7 @@ def _stored_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie.alias("tie"))
     stored = rows.mapInArrow(run, "pid int, pos long, doc_id long, tie long, n_ids long, ids binary")
     name, buckets = f"tidewatch_ids_{uuid.uuid4().hex}", max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    stored.write.bucketBy(buckets, "pid").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").option(
+    stored.write.bucketBy(buckets, "pid").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(ZSTD)).option(
         "path", scratch_path(spark, "token-ids")).saveAsTable(name)
     return spark.table(name)
 
@@ -162,8 +164,27 @@ def _packs(rows: DataFrame, size: int, per_shard: int, length: int, key: int) ->
     """(shard, records): finished records of (doc_id, ids, first), packed by shard and compressed, a bounded number of them at a time."""
     kind = record_type(length)
 
+    def finished(part):
+        """The records of some rows, all at once."""
+        ends = np.frombuffer(part.column("ids").buffers()[1], np.int32)[part.column("ids").offset:][: part.num_rows + 1] // 2
+        ids = np.frombuffer(part.column("ids").buffers()[2], "<u2")[ends[0]: ends[-1]]
+        sizes = np.diff(ends).astype(np.int64)
+        counts = -(-sizes // length)
+        starts = np.cumsum(counts) - counts
+        records = np.zeros(int(counts.sum()), kind)
+        whole = np.full(len(records) * length, ids[-1], "<u2")
+        whole[np.repeat(starts * length - (ends[:-1] - ends[0]), sizes) + np.arange(len(ids))] = ids
+        chunks = np.arange(len(records)) - np.repeat(starts, counts)
+        unknown = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+        docs = part.column("doc_id").fill_null(0).to_numpy()
+        firsts = part.column("first").to_numpy()
+        records["slot"], records["chunk"], records["doc_id"] = permuted(np.repeat(firsts, counts) + chunks, size, key), chunks, np.repeat(docs, counts)
+        records["count"] = np.minimum(np.repeat(sizes, counts) - length * chunks, length) + np.where(np.repeat(unknown, counts), NO_ID, 0)
+        records["ids"] = whole.reshape(-1, length)
+        return records
+
     def run(batches):
-        press, held, n = zstandard.ZstdCompressor(level=3), [], 0
+        press, held, n = zstandard.ZstdCompressor(level=ZSTD), [], 0
 
         def packed():
             records = np.concatenate(held)
@@ -176,23 +197,15 @@ def _packs(rows: DataFrame, size: int, per_shard: int, length: int, key: int) ->
                 ["shard", "records"])
 
         for batch in batches:
-            for doc, ids, first in zip(batch.column("doc_id"), batch.column("ids"), batch.column("first")):
-                ids, doc, first = np.frombuffer(ids.as_buffer(), "<u2"), doc.as_py(), first.as_py()
-                for start in range(0, len(ids), length * HELD):
-                    part = ids[start: start + length * HELD]
-                    count = -(-len(part) // length)
-                    chunks = start // length + np.arange(count)
-                    records = np.zeros(count, kind)
-                    whole = np.full(count * length, ids[-1], "<u2")
-                    whole[: len(part)] = part
-                    records["slot"], records["doc_id"], records["chunk"] = permuted(first + chunks, size, key), doc or 0, chunks
-                    records["count"] = np.minimum(len(part) - length * np.arange(count), length) + (NO_ID if doc is None else 0)
-                    records["ids"] = whole.reshape(count, length)
-                    held.append(records)
-                    n += count
-                    if n >= HELD:
-                        yield packed()
-                        held, n = [], 0
+            start = 0
+            while start < batch.num_rows:
+                part = batch.slice(start, ROWS)
+                start += ROWS
+                held.append(finished(part))
+                n += len(held[-1])
+                if n >= HELD:
+                    yield packed()
+                    held, n = [], 0
         if n:
             yield packed()
 
