@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
+    DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
     RandomForestClassifier,
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.models.boosting import OneVsRestBoosting
+from tidewatch.models.boosting import HistogramBoosting
 from tidewatch.models.extra_trees import ExtraTrees
 from tidewatch.operators.neighbors import nearest, vote, vote_shares
 
@@ -47,10 +47,8 @@ def linear_svm(classes: int = 2, iterations: int = SVM_ITERATIONS):
     return svm if classes == 2 else OneVsRest(classifier=svm, parallelism=4)
 
 
-def boosted_trees(classes: int = 2, rounds: int = 200, depth: int = 7, rate: float = 0.1, seed: int = 42):
-    if classes == 2:
-        return GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
-    return OneVsRestBoosting(classes, rounds, depth, rate, seed=seed)
+def boosted_trees(classes: int = 2, rounds: int = 200, depth: int = 7, rate: float = 0.1, seed: int = 42, **settings) -> HistogramBoosting:
+    return HistogramBoosting(classes, rounds, depth, rate, seed=seed, **settings)
 
 
 def dense_network(inputs: int, classes: int, kind: str = "vgg16", scale: float = 1.0, iterations: int = 100, seed: int = 42):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import fixed_values as fixed
-from tidewatch.models.boosting import OneVsRestBoosting
+from tidewatch.models.boosting import CategoryBoosting
 from tidewatch.models.training import Trained, train_all
 from tidewatch.operators import clean, labels, splits
 from tidewatch.operators.encode import fit_codes, fit_scaler
@@ -131,7 +131,7 @@ def run(prepared: Prepared, models: dict[str, object], average: str = "weighted"
     return train_all(models, scaled.part("train"), scaled.part("test"), prepared.dataset, average), scaled
 
 
-def boost_raw_categories(prepared: Prepared, rounds: int = 500, depth: int = 8, rate: float = 0.1, seed: int = 42):
+def boost_raw_categories(prepared: Prepared, rounds: int = 500, depth: int = 8, rate: float = 0.1, seed: int = 42, patience: int | None = None):
     """Boosted trees on numbers and raw categories; the validation rows pick the number of rounds.
 
     Returns the model and the scored test rows.
@@ -147,8 +147,8 @@ def boost_raw_categories(prepared: Prepared, rounds: int = 500, depth: int = 8,
         *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("Unknown")).alias(safe[c]) for c in categories],
     ).withColumn("held_out", F.col("split") == "val")
     slim = cut_lineage(slim)
-    booster = OneVsRestBoosting(
-        prepared.classes, rounds, depth, rate, [safe[c] for c in numbers], [safe[c] for c in categories], "held_out", seed=seed)
+    booster = CategoryBoosting(
+        prepared.classes, [safe[c] for c in numbers], [safe[c] for c in categories], "key", rounds, depth, rate, "held_out", patience, seed=seed)
     model = booster.fit(slim.where("split <> 'test'"))
     return model, model.transform(slim.where("split = 'test'"))
 
