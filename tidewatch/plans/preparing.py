@@ -8,7 +8,7 @@ from tidewatch.functions.clock import time_features
 from tidewatch.functions.network import address_features, port_features, same_subnet
 from tidewatch.functions.rowwise import interaction_features, power_features, ratio_features, row_statistics
 from tidewatch.functions.text import device_flags, text_length, word_count
-from tidewatch.operators import clean, encode, outliers, select, splits
+from tidewatch.operators import clean, encode, isolation, outliers, select, splits
 from tidewatch.operators.features import fit_log_features
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.plans import derived
@@ -246,6 +246,32 @@ def _clipped(spark, folder, method, threshold):
     return rounded(outliers.fit_clipper(df, _CLIP, method, threshold).transform(df), _CLIP, 4)
 
 
+_PLANTED = "l_orderkey % 251 = 3 AND l_linenumber = 1"
+
+
+@query("isolation_outliers", f"""
+    SELECT {_PLANTED} AS planted, true AS is_outlier, count(*) AS n FROM lineitem WHERE {_PLANTED} GROUP BY ALL""")
+def isolation_outliers(spark, folder):
+    """Line items of which a few had quantity and price blown up: all of those are among the hundredth that the forest calls outliers."""
+    blown = F.when(F.expr(_PLANTED), 40.0).otherwise(1.0)
+    df = table(spark, folder, "lineitem").withColumns({c: F.col(c) * blown for c in _CLIP}).withColumn("planted", F.expr(_PLANTED))
+    found = isolation.IsolationForest(_CLIP, share=0.01).fit(df).transform(df)
+    return found.where("planted").groupBy("planted", "is_outlier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("isolation_clip", f"""
+    WITH u AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem WHERE NOT ({_PLANTED}))
+    SELECT {_PLANTED} AS planted, count(*) AS n, true AS inside FROM lineitem, u GROUP BY ALL""")
+def isolation_clip(spark, folder):
+    """After clipping, every value lies in the range of the rows that were not blown up."""
+    source = table(spark, folder, "lineitem").withColumn("planted", F.expr(_PLANTED))
+    ends = source.where("NOT planted").agg(*[f(c).alias(f"{n}_{c}") for c in _CLIP for n, f in (("low", F.min), ("high", F.max))]).first()
+    blown = source.withColumns({c: F.col(c) * F.when(F.col("planted"), 40.0).otherwise(1.0) for c in _CLIP})
+    clipped = isolation.IsolationForest(_CLIP, share=0.01).fit(blown).clip(blown)
+    inside = [F.col(c).between(ends[f"low_{c}"], ends[f"high_{c}"]) for c in _CLIP]
+    return clipped.groupBy("planted").agg(F.count(F.lit(1)).alias("n"), F.bool_and(inside[0] & inside[1]).alias("inside"))
+
+
 @query("iqr_clip", _clip_sql(
     "({c}_1 - 0.1 * ({c}_3 - {c}_1))", "({c}_3 + 0.1 * ({c}_3 - {c}_1))",
     ", ".join(f"quantile_cont({c}, 0.25) AS {c}_1, quantile_cont({c}, 0.75) AS {c}_3" for c in _CLIP)))
