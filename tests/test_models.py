@@ -142,21 +142,52 @@ def test_runs_give_rows(spark, folder, name):
     assert catalog.QUERIES[name](spark, folder).count() > 0
 
 
-def test_extra_trees_do_not_depend_on_the_size_of_a_round(spark, monkeypatch):
-    from pyspark.ml.functions import array_to_vector
-
+def test_extra_trees_do_not_depend_on_layout_or_rounds(spark, monkeypatch):
     from tidewatch.models import extra_trees
 
-    rows = [([float(i * 7 % 31), float(i % 5), float(i * i % 17)], (i * 3 % 11) // 4) for i in range(300)]
+    rows = [([float(i * 7 % 31), float(i % 5), float(i * i % 17), 1.0, 2.0], (i * 3 % 11) // 4) for i in range(300)]
     df = spark.createDataFrame(rows, "x array<double>, label int").select(array_to_vector("x").alias("features"), "label")
 
-    def nodes():
-        found = extra_trees.ExtraTrees(5, 6, 1).fit(df).nodes
+    def nodes(parts):
+        found = extra_trees.ExtraTrees(5, 5, 1).fit(df.repartition(parts)).nodes
         return sorted(zip(found["tree"], found["feature"], found["threshold"], found["shares"].map(tuple)))
 
-    whole = nodes()
-    monkeypatch.setattr(extra_trees, "SLOTS_PER_ROUND", 3)
-    assert nodes() == whole and len(whole) > 50
+    whole = nodes(1)
+    monkeypatch.setattr(extra_trees, "SLOTS_PER_ROUND", 60)
+    monkeypatch.setattr(extra_trees, "STORED_EVERY", 2)
+    assert nodes(6) == whole and len(whole) > 40
+
+
+def test_extra_trees_equal_a_plain_version(spark, rows):
+    from tidewatch.models import extra_trees
+
+    train = part(rows, "train").select(vector_to_array("features").alias("x"), "label").collect()
+    x, y = np.array([r.x for r in train]), np.array([int(r.label) for r in train])
+    model = ExtraTrees(3, 6, 7).fit(part(rows, "train"))
+    tried = int(np.sqrt(x.shape[1]))
+
+    def grow(tree, place, at, depth):
+        counts = np.bincount(y[at], minlength=3)
+        if depth < 6 and np.count_nonzero(counts) > 1:
+            key = np.array([(tree << 32) | place])
+            order = np.argsort(extra_trees._draws(7, key, x.shape[1])[0], kind="stable")
+            for start in range(0, x.shape[1], tried):
+                best = None
+                for f in order[start: start + tried]:
+                    low, high = x[at, f].min(), x[at, f].max()
+                    if high > low:
+                        cut = low + extra_trees._draws(8, key, x.shape[1])[0][f] * (high - low)
+                        left = at[x[at, f] <= (low if cut >= high else cut)]
+                        right = np.setdiff1d(at, left)
+                        cost = sum(len(s) - (np.bincount(y[s], minlength=3) ** 2).sum() / len(s) for s in (left, right))
+                        if best is None or cost < best[0]:
+                            best = (cost, f, cut, left, right)
+                if best:
+                    return [(tree, int(best[1]), round(best[2], 9)), *grow(tree, 2 * place, best[3], depth + 1), *grow(tree, 2 * place + 1, best[4], depth + 1)]
+        return [(tree, -1, 0.0)]
+
+    expected = sorted(n for t in range(3) for n in grow(t, 1, np.arange(len(x)), 0))
+    assert sorted((int(t), int(f), round(float(c), 9)) for t, f, c in zip(model.nodes["tree"], model.nodes["feature"], model.nodes["threshold"])) == expected
 
 
 def test_samples_of_a_folder_are_exact_per_file(spark, tmp_path):

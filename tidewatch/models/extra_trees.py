@@ -1,16 +1,17 @@
 """Extremely randomised trees, grown level by level for all trees at once.
 
-Two aggregations per level: the value range of each candidate feature in each open
-node, from which the thresholds are drawn, and the class counts left of each
-threshold. Tasks aggregate their own rows first, Spark merges the partial results,
-and the driver keeps the trees only. Wide levels are handled in several rounds so
-that the statistics of one round stay small.
+A row carries the place of the node it is in, for every tree (1 is the root, 2p and 2p + 1 the children of p). Two aggregations
+per level: the value range of each candidate feature in each open node, from which the thresholds follow, and the class counts left
+of each threshold. Tasks aggregate their own rows first and Spark merges the partial results; what a node draws is a hash of
+the seed, the tree and its place, so the same rows give the same trees in any layout. Only the open nodes of a level are sent to the tasks,
+wide levels in several rounds, so that what is sent and held stays small.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,25 +19,17 @@ from pyspark.sql import functions as F
 from tidewatch.session import cut_lineage
 
 SLOTS_PER_ROUND = 400_000  # (node, candidate) pairs whose statistics are held at once
+STORED_EVERY = 4  # levels whose splits are applied on the fly before the places are stored again
 
 
-class _Tree:
-    """Parallel arrays; a node is a leaf while its feature is -1. ``place`` is 1 for the root, 2p and 2p + 1 for the children of p."""
-
-    def __init__(self, counts: np.ndarray):
-        self.feature, self.threshold, self.left, self.right, self.counts, self.place = [-1], [0.0], [-1], [-1], [counts], [1]
-
-    def split(self, node: int, feature: int, threshold: float, left: np.ndarray) -> tuple[int, int]:
-        kids = len(self.feature), len(self.feature) + 1
-        for side, counts in enumerate((left, self.counts[node] - left)):
-            self.place.append(2 * self.place[node] + side)
-            self.feature.append(-1), self.threshold.append(0.0), self.left.append(-1), self.right.append(-1)
-            self.counts.append(counts)
-        self.feature[node], self.threshold[node], self.left[node], self.right[node] = feature, threshold, *kids
-        return kids
-
-    def frozen(self):
-        return tuple(np.array(a) for a in (self.feature, self.threshold, self.left, self.right))
+def _draws(seed: int, keys: np.ndarray, width: int) -> np.ndarray:
+    """An even draw in [0, 1) for each node and feature."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        x += np.uint64((seed * 0x2545F4914F6CDD1D + 1) % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53)
 
 
 def _leaf(x: np.ndarray, feature, threshold, left, right) -> np.ndarray:
@@ -51,53 +44,11 @@ def _leaf(x: np.ndarray, feature, threshold, left, right) -> np.ndarray:
         node[open_rows] = np.where(goes_left, left[at], right[at])
 
 
-def _open_slots(x, trees, layout):
-    """Per tree with open nodes: row numbers, and the first slot of the node each row is in."""
-    for t, (first_slot, nodes) in layout.items():
-        node = _leaf(x, *trees[t])
-        lookup = np.full(len(trees[t][0]), -1, dtype=np.int64)
-        lookup[nodes] = first_slot
-        slot = lookup[node]
-        rows = np.nonzero(slot >= 0)[0]
-        if len(rows):
-            yield rows, slot[rows]
-
-
-def _range_job(shared, layout, candidates):
-    def run(batches):
-        trees = shared.value
-        low = np.full(candidates.size, np.inf)
-        high = np.full(candidates.size, -np.inf)
-        flat = candidates.ravel()
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), dtype=float)
-            for rows, slot in _open_slots(x, trees, layout) if len(x) else ():
-                for s in range(candidates.shape[1]):
-                    values = x[rows, flat[slot + s]]
-                    np.minimum.at(low, slot + s, values)
-                    np.maximum.at(high, slot + s, values)
-        seen = np.nonzero(np.isfinite(low))[0]
-        yield pd.DataFrame({"slot": seen, "low": low[seen], "high": high[seen]})
-
-    return run
-
-
-def _count_job(shared, layout, candidates, thresholds, classes):
-    def run(batches):
-        trees = shared.value
-        counts = np.zeros((candidates.size, classes), dtype=np.int64)
-        flat = candidates.ravel()
-        for pdf in batches:
-            x = np.array(pdf["x"].tolist(), dtype=float)
-            y = pdf["y"].to_numpy()
-            for rows, slot in _open_slots(x, trees, layout) if len(x) else ():
-                for s in range(candidates.shape[1]):
-                    goes_left = x[rows, flat[slot + s]] <= thresholds[slot + s]
-                    np.add.at(counts, ((slot + s)[goes_left], y[rows][goes_left]), 1)
-        slots, cls = np.nonzero(counts)
-        yield pd.DataFrame({"slot": slots, "cls": cls, "n": counts[slots, cls]})
-
-    return run
+def _found(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``keys`` are among the sorted ``known`` ones, and where."""
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    here = np.flatnonzero(known[at] == keys)
+    return here, at[here]
 
 
 def _gini(counts: np.ndarray) -> np.ndarray:
@@ -106,76 +57,177 @@ def _gini(counts: np.ndarray) -> np.ndarray:
     return total - (counts**2).sum(-1) / np.maximum(total, 1)
 
 
+class _Rows:
+    """What tasks do with the rows: read them, move them along the splits since they were stored, and add them up."""
+
+    def __init__(self, trees: int, width: int, splits: list[tuple]):
+        self.trees, self.width, self.splits = trees, width, splits
+
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values, classes, and the key (tree, place) of each row and tree, rows by rows."""
+        n = batch.num_rows
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, self.width)
+        keys = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.int64).copy()
+        for known, feature, threshold in self.splits:
+            here, at = _found(keys, known)
+            right = x[here // self.trees, feature[at]] > threshold[at]
+            tree, place = keys[here] >> 32, keys[here] & 0xFFFFFFFF
+            keys[here] = (tree << 32) | (2 * place + right)
+        return x, batch.column("y").to_numpy(), keys
+
+    def stored(self, state: DataFrame) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                _, _, keys = self.read(batch)
+                places = [r.tobytes() for r in keys.reshape(batch.num_rows, self.trees)]
+                yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(places, pa.binary())], ["x", "y", "places"])
+
+        return cut_lineage(state.mapInArrow(run, "x array<double>, y int, places binary"))
+
+    def ranges(self, state: DataFrame, known: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least and largest value of each candidate in each open node."""
+
+        def run(batches):
+            low, high = np.full(candidates.shape, np.inf), np.full(candidates.shape, -np.inf)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, _, keys = self.read(batch)
+                here, at = _found(keys, known)
+                for s in range(candidates.shape[1]):
+                    values = x[here // self.trees, candidates[at, s]]
+                    np.minimum.at(low[:, s], at, values)
+                    np.maximum.at(high[:, s], at, values)
+            seen = np.flatnonzero(np.isfinite(low.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(low.ravel()[seen]), pa.array(high.ravel()[seen])], ["slot", "low", "high"])
+
+        merged = state.mapInArrow(run, "slot long, low double, high double").groupBy("slot").agg(F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+        low, high = np.zeros(candidates.size), np.zeros(candidates.size)
+        slots = merged.column("slot").to_numpy()
+        low[slots], high[slots] = merged.column("low").to_numpy(), merged.column("high").to_numpy()
+        return low.reshape(candidates.shape), high.reshape(candidates.shape)
+
+    def left_counts(self, state: DataFrame, known: np.ndarray, candidates: np.ndarray, thresholds: np.ndarray, classes: int) -> np.ndarray:
+        """Rows of each class that go left at each candidate's threshold."""
+
+        def run(batches):
+            counts = np.zeros(candidates.size * classes, np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, y, keys = self.read(batch)
+                here, at = _found(keys, known)
+                row = here // self.trees
+                for s in range(candidates.shape[1]):
+                    left = x[row, candidates[at, s]] <= thresholds[at, s]
+                    slot = (at[left] * candidates.shape[1] + s) * classes + y[row[left]]
+                    counts += np.bincount(slot, minlength=len(counts))
+            seen = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["slot", "n"])
+
+        merged = state.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        left = np.zeros(candidates.size * classes, np.int64)
+        left[merged.column("slot").to_numpy()] = merged.column("n").to_numpy()
+        return left.reshape(*candidates.shape, classes)
+
+
 class ExtraTrees:
+    """``trees`` trees of at most ``depth`` levels without resampling; a node looks at the square root of the features and takes the best of one
+    random threshold each. Where all of them are constant it looks at the next ones. Rows without a label are left out."""
+
     def __init__(self, trees: int = 100, depth: int = 20, seed: int = 42):
+        if depth > 30:
+            raise ValueError("at most 30 levels")
         self.trees, self.depth, self.seed = trees, depth, seed
 
     def fit(self, df: DataFrame) -> "ExtraTreesModel":
-        data = cut_lineage(df.select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y")))
-        sizes = {r.y: r.n for r in data.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        data = df.where("label IS NOT NULL").select(vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"))
+        roots = (np.arange(self.trees, dtype=np.int64) << 32) | 1
+        start = roots.tobytes()
+        state = cut_lineage(data.withColumn("places", F.lit(bytearray(start))))
+        sizes = {r.y: r.n for r in state.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not sizes:
+            raise ValueError("no labelled rows")
         classes = max(sizes) + 1
         root = np.array([sizes.get(c, 0) for c in range(classes)], dtype=np.int64)
-        width = len(data.select("x").first()[0])
+        width = len(state.select("x").first()[0])
         tried = max(1, int(np.sqrt(width)))
-        forest = [_Tree(root) for _ in range(self.trees)]
-        flat: dict[tuple[int, int], set[int]] = {}  # features known to be constant in a node
+        nodes = [(roots, np.full(self.trees, -1), np.zeros(self.trees), np.tile(root, (self.trees, 1)))]
         importance = np.zeros(width)
-        frontier = [(t, 0, 0) for t in range(self.trees) if np.count_nonzero(root) > 1]
-        while frontier:
-            now, frontier = frontier[: SLOTS_PER_ROUND // tried], frontier[SLOTS_PER_ROUND // tried :]
-            frontier += self._grow(data, forest, now, flat, classes, width, tried, importance)
+        open_, counts = roots, np.tile(root, (self.trees, 1))
+        if np.count_nonzero(root) < 2:
+            open_ = open_[:0]
+        splits: list[tuple] = []
+        for level in range(self.depth):
+            if not len(open_):
+                break
+            if len(splits) == STORED_EVERY:
+                state, splits = _Rows(self.trees, width, splits).stored(state), []
+            found = self._level(state, _Rows(self.trees, width, splits), open_, counts, classes, width, tried, importance)
+            if found is None:
+                break
+            keys, feature, threshold, left, own = found
+            splits = [*splits, (keys, feature, threshold)]
+            nodes.append((keys, feature, threshold, own))
+            tree, place = keys >> 32, keys & 0xFFFFFFFF
+            kids = np.concatenate([(tree << 32) | (2 * place), (tree << 32) | (2 * place + 1)])
+            kid_counts = np.concatenate([left, own - left])
+            nodes.append((kids, np.full(len(kids), -1), np.zeros(len(kids)), kid_counts))
+            order = np.argsort(kids)
+            kids, kid_counts = kids[order], kid_counts[order]
+            mixed = (kid_counts > 0).sum(axis=1) > 1
+            open_, counts = kids[mixed], kid_counts[mixed]
         total = importance.sum()
-        return ExtraTreesModel.from_trees(df.sparkSession, forest, classes, importance / total if total else importance)
-
-    def _grow(self, data, forest, now, flat, classes, width, tried, importance) -> list[tuple[int, int, int]]:
-        """Split the given open nodes; returns the nodes to go on with."""
-        spark = data.sparkSession
-        candidates, draws = np.empty((len(now), tried), dtype=np.int64), np.empty((len(now), tried))
-        for i, (t, node, _) in enumerate(now):
-            left_over = [f for f in range(width) if f not in flat.get((t, node), ())]
-            # Neither the order of nodes nor the size of a round has a say in what a node draws.
-            rng = np.random.default_rng([self.seed, t, forest[t].place[node], width - len(left_over)])
-            candidates[i] = np.resize(rng.permutation(left_over)[:tried], tried)
-            draws[i] = rng.random(tried)
-        layout: dict[int, tuple[list, list]] = {}
-        for i, (t, node, _) in enumerate(now):
-            slots, nodes = layout.setdefault(t, ([], []))
-            slots.append(i * tried), nodes.append(node)
-        layout = {t: (np.array(s), np.array(n)) for t, (s, n) in layout.items()}
-        shared = spark.sparkContext.broadcast([tree.frozen() for tree in forest])
-        try:
-            ranges = data.mapInPandas(_range_job(shared, layout, candidates), "slot long, low double, high double").groupBy(
-                "slot").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
-            low, high = np.zeros(candidates.size), np.zeros(candidates.size)
-            low[ranges["slot"]], high[ranges["slot"]] = ranges["low"], ranges["high"]
-            thresholds = low + draws.ravel() * (high - low)
-            thresholds = np.where(thresholds >= high, low, thresholds)  # never send every row left
-            counted = data.mapInPandas(
-                _count_job(shared, layout, candidates, thresholds, classes), "slot long, cls int, n long"
-            ).groupBy("slot", "cls").agg(F.sum("n").alias("n")).toPandas()
-        finally:
-            shared.destroy()
-        left = np.zeros((candidates.size, classes), dtype=np.int64)
-        left[counted["slot"], counted["cls"]] = counted["n"]
-
-        following = []
-        for i, (t, node, depth) in enumerate(now):
-            slots = np.arange(i * tried, (i + 1) * tried)
-            varies = high[slots] > low[slots]
-            if not varies.any():
-                known = flat.setdefault((t, node), set())
-                known.update(candidates[i].tolist())
-                if len(known) < width:
-                    following.append((t, node, depth))  # other features may still vary
-                continue
-            counts = forest[t].counts[node]
-            impurity = _gini(left[slots]) + _gini(counts - left[slots])
-            best = slots[np.where(varies, impurity, np.inf).argmin()]
-            importance[candidates.ravel()[best]] += _gini(counts) - impurity.min(where=varies, initial=np.inf)
-            for kid in forest[t].split(node, int(candidates.ravel()[best]), float(thresholds[best]), left[best]):
-                if depth + 1 < self.depth and np.count_nonzero(forest[t].counts[kid]) > 1:
-                    following.append((t, kid, depth + 1))
-        return following
+        return ExtraTreesModel(df.sparkSession, _table(nodes), classes, importance / total if total else importance)
+
+    def _level(self, state, rows, open_, counts, classes, width, tried, importance):
+        """The splits of all open nodes of a level: keys, feature, threshold, counts left, own counts. Nodes without any varying feature get none."""
+        found = []
+        per_round = max(1, SLOTS_PER_ROUND // (tried * max(1, classes // 2)))
+        for start in range(0, len(open_), per_round):
+            known, own = open_[start: start + per_round], counts[start: start + per_round]
+            for attempt in range(-(-width // tried)):
+                draws = _draws(self.seed, known, width)
+                candidates = np.argsort(draws, axis=1, kind="stable")[:, attempt * tried: (attempt + 1) * tried]
+                low, high = rows.ranges(state, known, candidates)
+                varies = high > low
+                some = varies.any(axis=1)
+                if some.any():
+                    k, c, o, v = known[some], candidates[some], own[some], varies[some]
+                    step = _draws(self.seed + 1, k, width)
+                    thresholds = low[some] + np.take_along_axis(step, c, axis=1) * (high[some] - low[some])
+                    thresholds = np.where(thresholds >= high[some], low[some], thresholds)  # never send every row left
+                    left = rows.left_counts(state, k, c, thresholds, classes)
+                    impurity = np.where(v, _gini(left) + _gini(o[:, None, :] - left), np.inf)
+                    best = impurity.argmin(axis=1)
+                    at = np.arange(len(k))
+                    np.add.at(importance, c[at, best], _gini(o) - impurity[at, best])
+                    found.append((k, c[at, best], thresholds[at, best], left[at, best], o))
+                known, own = known[~some], own[~some]
+                if not len(known):
+                    break
+        if not found:
+            return None
+        parts = [np.concatenate(p) for p in zip(*found)]
+        order = np.argsort(parts[0])
+        return [p[order] for p in parts]
+
+
+def _table(nodes: list[tuple]) -> pd.DataFrame:
+    """(tree, node, feature, threshold, left, right, shares): a node that was split later replaces its entry as a leaf; a tree's nodes are numbered by place."""
+    keys, feature, threshold, counts = (np.concatenate(p) for p in zip(*nodes))
+    order = np.lexsort((feature < 0, keys))
+    keys, feature, threshold, counts = keys[order], feature[order], threshold[order], counts[order]
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    keys, feature, threshold, counts = keys[first], feature[first], threshold[first], counts[first]
+    tree, place = keys >> 32, keys & 0xFFFFFFFF
+    number = np.arange(len(keys)) - np.searchsorted(tree, tree)
+    kids = []
+    for side in (0, 1):
+        at = np.minimum(np.searchsorted(keys, (tree << 32) | (2 * place + side)), len(keys) - 1)
+        kids.append(np.where(feature >= 0, number[at], -1))
+    shares = (counts / counts.sum(axis=1, keepdims=True)).tolist()
+    return pd.DataFrame({"tree": tree, "node": number, "feature": feature, "threshold": threshold, "left": kids[0], "right": kids[1], "shares": shares})
 
 
 class ExtraTreesModel:
@@ -192,14 +244,6 @@ class ExtraTreesModel:
             ))
         self._shared = spark.sparkContext.broadcast(arrays)
 
-    @classmethod
-    def from_trees(cls, spark, forest: list[_Tree], classes: int, importances: np.ndarray) -> "ExtraTreesModel":
-        rows = [
-            (t, n, tree.feature[n], tree.threshold[n], tree.left[n], tree.right[n], (tree.counts[n] / tree.counts[n].sum()).tolist())
-            for t, tree in enumerate(forest) for n in range(len(tree.feature))
-        ]
-        return cls(spark, pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "shares"]), classes, importances)
-
     def transform(self, df: DataFrame) -> DataFrame:
         shared = self._shared
 
