@@ -108,12 +108,8 @@ def test_quotes_in_categories(spark):
     assert sorted(values(codes.transform(df), "code")) == [0, 1, 2]
 
 
-def test_one_hot_columns_are_bounded_and_codes_are_not(spark, monkeypatch):
+def test_codes_have_no_limit(spark):
     df = spark.range(50_000).select(F.format_string("v%05d", "id").alias("c"), (F.col("id") % 3).cast("string").alias("d"))
-    monkeypatch.setattr(encode, "WIDEST", 100)
-    with pytest.raises(ValueError):
-        encode.fit_onehot(df, ["c", "d"])
-    assert len(encode.fit_onehot(df, ["d"]).expressions) == 3
     coded = encode.fit_codes(df, ["c", "d"]).transform(df)
     assert coded.where("c_encoded <> cast(substr(c, 2) AS int) OR d_encoded <> cast(d AS int)").count() == 0
     assert coded.select("c_encoded").distinct().count() == coded.count() == 50_000
@@ -122,6 +118,25 @@ def test_one_hot_columns_are_bounded_and_codes_are_not(spark, monkeypatch):
     assert encode.encode_with_dictionary(df, "c", dictionary, "code").agg(F.sum("code")).first()[0] == 50_000 * 49_999 // 2
 
 
+def test_sparse_one_hot_of_many_values(spark):
+    df = spark.range(50_000).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("c"), (F.col("id") % 3).alias("d"))
+    found = encode.fit_sparse_onehot(df, ["c", "d"])
+    assert found.width == 50_003
+    other = spark.createDataFrame([("v00007", 2), ("v49999", 9), ("never", None), (None, 0)], "c string, d long")
+    rows = {(r.c, r.d): r.onehot for r in found.transform(other).collect()}
+    assert all(v.size == 50_003 for v in rows.values())
+    assert {k: v.indices.tolist() for k, v in rows.items()} == {("v00007", 2): [7, 50_002], ("v49999", 9): [49_999], ("never", None): [], (None, 0): [50_000]}
+    assert encode.fit_sparse_onehot(df.limit(0), ["c"]).transform(other).count() == 4
+    assert len(encode.fit_onehot(df, ["d"]).expressions) == 3
+    codes = encode.fit_codes(df, ["d"], unknown=-1)
+    from tidewatch.session import scratch_path
+
+    path = scratch_path(spark, "codes")
+    codes.save(path)
+    again = encode.JoinedCodes.load(spark, path).transform(other)
+    assert sorted((r.c or "", r.d_encoded) for r in again.collect()) == [("", 0), ("never", -1), ("v00007", 2), ("v49999", -1)]
+
+
 def test_variance_ratio_of_constant_and_shifted_columns(spark):
     from tidewatch.operators.select import anova_f
 

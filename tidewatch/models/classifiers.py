@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LinearSVC, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
-    RandomForestClassifier,
+    DecisionTreeClassifier, LinearSVC, NaiveBayes, OneVsRest, RandomForestClassifier,
 )
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.models.boosting import HistogramBoosting
+from tidewatch.models.dense import DenseNetwork
 from tidewatch.models.extra_trees import ExtraTrees
 from tidewatch.operators.neighbors import nearest, vote, vote_shares
 
@@ -22,6 +23,7 @@ TREE_DEPTH = 20
 FOREST_TREES = 100
 SVM_ITERATIONS = 1000
 SVM_TOLERANCE = 1e-3
+EPOCHS = 10
 
 
 def naive_bayes() -> NaiveBayes:
@@ -51,10 +53,9 @@ def boosted_trees(classes: int = 2, rounds: int = 200, depth: int = 7, rate: flo
     return HistogramBoosting(classes, rounds, depth, rate, seed=seed, **settings)
 
 
-def dense_network(inputs: int, classes: int, kind: str = "vgg16", scale: float = 1.0, iterations: int = 100, seed: int = 42):
-    """A stack of fully connected layers ending in a softmax; ``scale`` shrinks the hidden layers."""
-    hidden = [max(2, int(n * scale)) for n in DENSE_LAYERS[kind]]
-    return MultilayerPerceptronClassifier(layers=[inputs, *hidden, classes], maxIter=iterations, seed=seed)
+def dense_network(inputs: int, classes: int, kind: str = "vgg16", epochs: int = EPOCHS, seed: int = 42, **settings) -> DenseNetwork:
+    """A stack of fully connected layers ending in a softmax."""
+    return DenseNetwork([inputs, *DENSE_LAYERS[kind], classes], epochs, seed=seed, **settings)
 
 
 class NearestNeighbors:
@@ -69,16 +70,27 @@ class NearestNeighbors:
 
 class NearestNeighborsModel:
     def __init__(self, settings: NearestNeighbors, train: DataFrame):
-        from pyspark.ml.functions import vector_to_array
-
-        self.settings = settings
         key = settings.key
+        self.settings = settings
         self.train = train.select(F.col(key).cast("string").alias(key), vector_to_array("features").alias("__x"), F.col("label").cast("double").alias("__y"))
-        self.classes = [float(c) for c in range(int(train.agg(F.max("label")).first()[0]) + 1)]
+        self.classes = self._classes()
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
+    def _classes(self) -> list[float]:
+        return [float(c) for c in range(int(self.train.agg(F.max("__y")).first()[0]) + 1)]
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.train.write.mode("overwrite").parquet(f"{path}/rows")
+        spark.createDataFrame([(self.settings.key, self.settings.k)], "key string, k int").write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "NearestNeighborsModel":
+        found = spark.read.parquet(f"{path}/settings").first()
+        model = cls.__new__(cls)
+        model.settings, model.train = NearestNeighbors(found.key, found.k), spark.read.parquet(f"{path}/rows")
+        model.classes = model._classes()
+        return model
+
+    def transform(self, df: DataFrame) -> DataFrame:
         # Each distinct vector is asked for once, and rows find the answer by their vector: keys may repeat.
         key = self.settings.key
         asked = df.withColumn("__asked", F.md5(F.to_json(vector_to_array("features"))))
@@ -90,17 +102,15 @@ class NearestNeighborsModel:
         return asked.join(votes, "__asked").drop("__asked")
 
 
-def standard_models(classes: int, inputs: int, key: str = "key", seed: int = 42, small: bool = False) -> dict[str, object]:
-    """All models of a comparison run; ``small`` keeps the same kinds with fewer and shallower parts."""
-    trees, depth = (10, 5) if small else (FOREST_TREES, TREE_DEPTH)
-    scale, iterations = (0.02, 20) if small else (1.0, 100)
+def standard_models(classes: int, inputs: int, key: str = "key", seed: int = 42) -> dict[str, object]:
+    """All models of a comparison run at their documented settings."""
     return {
         "Naive Bayes": naive_bayes(),
-        "Decision Tree": decision_tree(depth, seed),
-        "Random Forest": random_forest(trees, depth, seed),
+        "Decision Tree": decision_tree(seed=seed),
+        "Random Forest": random_forest(seed=seed),
         "KNN": NearestNeighbors(key),
-        "SVM": linear_svm(classes, 20 if small else SVM_ITERATIONS),
-        "Extra Trees": extra_trees(trees, depth, seed),
-        "VGG16": dense_network(inputs, classes, "vgg16", scale, iterations, seed),
-        "VGG19": dense_network(inputs, classes, "vgg19", scale, iterations, seed),
+        "SVM": linear_svm(classes),
+        "Extra Trees": extra_trees(seed=seed),
+        "VGG16": dense_network(inputs, classes, "vgg16", seed=seed),
+        "VGG19": dense_network(inputs, classes, "vgg19", seed=seed),
     }

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,7 +29,7 @@ class KernelClassifier:
         linear = LogisticRegression(featuresCol="__lifted", regParam=self.penalty, maxIter=self.iterations)
         lifted = lift(df).select("__lifted", "label").persist()
         try:
-            return KernelModel(lift, linear.fit(lifted))
+            return KernelModel(lift, linear.fit(lifted), directions, offsets)
         finally:
             lifted.unpersist()
 
@@ -50,8 +50,19 @@ def _lift(spark, directions: np.ndarray, offsets: np.ndarray):
 
 
 class KernelModel:
-    def __init__(self, lift, linear):
-        self.lift, self.linear = lift, linear
+    def __init__(self, lift, linear, directions: np.ndarray, offsets: np.ndarray):
+        self.lift, self.linear, self.directions, self.offsets = lift, linear, directions, offsets
 
     def transform(self, df: DataFrame) -> DataFrame:
         return self.linear.transform(self.lift(df)).drop("__lifted")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.linear.write().overwrite().save(f"{path}/linear")
+        rows = [(self.directions.tolist(), self.offsets.tolist())]
+        spark.createDataFrame(rows, "directions array<array<double>>, offsets array<double>").write.mode("overwrite").parquet(f"{path}/lift")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "KernelModel":
+        row = spark.read.parquet(f"{path}/lift").first()
+        directions, offsets = np.array(row.directions), np.array(row.offsets)
+        return cls(_lift(spark, directions, offsets), LogisticRegressionModel.load(f"{path}/linear"), directions, offsets)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import finite_sql, quoted, sql_double, sql_string
@@ -11,9 +12,6 @@ from tidewatch.operators.fitted import FittedColumns
 from tidewatch.operators.prefix import numbered
 from tidewatch.session import cut_lineage
 
-#: A one-hot table has one column per value; a column with more values than this is refused.
-WIDEST = 10_000
-
 
 def _distinct(df: DataFrame, columns: list[str]) -> DataFrame:
     """(name, value): the distinct values of all columns, from one pass."""
@@ -47,6 +45,16 @@ class JoinedCodes:
             df = df.join(known, F.col(quoted(c)).cast("string") == F.col("__value"), "left").withColumn(output, code).drop("__value", "__code")
         return df
 
+    def save(self, path: str) -> None:
+        self.dictionary.write.mode("overwrite").parquet(f"{path}/dictionary")
+        notes = [(c, output, self.unknown) for c, output in self.outputs.items()]
+        self.dictionary.sparkSession.createDataFrame(notes, "name string, output string, unknown int").write.mode("overwrite").parquet(f"{path}/outputs")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "JoinedCodes":
+        notes = spark.read.parquet(f"{path}/outputs").collect()
+        return cls(spark.read.parquet(f"{path}/dictionary"), {r["name"]: r.output for r in notes}, notes[0].unknown if notes else None)
+
     def size(self, column: str) -> int:
         return self.dictionary.where(F.col("name") == column).count()
 
@@ -80,10 +88,7 @@ def clean_categories(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_onehot(df: DataFrame, columns: list[str], prefix: bool = True) -> FittedColumns:
-    """One 0/1 column per value; a value that was not seen gives only zeros."""
-    wide = [r.name for r in _distinct(df, columns).groupBy("name").count().where(F.col("count") > WIDEST).collect()]
-    if wide:
-        raise ValueError(f"more than {WIDEST} values in {wide}: use codes")
+    """One 0/1 column per value; a value that was not seen gives only zeros. For columns with many values take :func:`fit_sparse_onehot`."""
     levels = levels_of(df, columns)
     return FittedColumns(
         {
@@ -94,6 +99,36 @@ def fit_onehot(df: DataFrame, columns: list[str], prefix: bool = True) -> Fitted
     )
 
 
+class SparseOnehot:
+    """One sparse vector for all columns: a column's code by join, moved by the values of the columns before it, is the place of its 1."""
+
+    def __init__(self, codes: JoinedCodes, sizes: dict[str, int], output: str):
+        self.codes, self.sizes, self.output = codes, sizes, output
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        out = self.codes.transform(df)
+        places = [self.codes.outputs[c] for c in self.sizes]
+        # A value that was not seen has the place after the last one, which the encoder leaves out.
+        out = out.withColumns({p: F.coalesce(p, F.lit(n)).cast("double") for p, n in zip(places, self.sizes.values())})
+        vectors = [f"{p}__vector" for p in places]
+        known = spark.range(1).select(*[F.lit(float(max(n, 1) - 1)).alias(p) for p, n in zip(places, self.sizes.values())])
+        encoder = OneHotEncoder(inputCols=places, outputCols=vectors, handleInvalid="keep", dropLast=True).fit(known)
+        out = VectorAssembler(inputCols=vectors, outputCol=self.output).transform(encoder.transform(out))
+        return out.drop(*places, *vectors)
+
+    @property
+    def width(self) -> int:
+        return sum(max(n, 1) for n in self.sizes.values())
+
+
+def fit_sparse_onehot(df: DataFrame, columns: list[str], output: str = "onehot") -> SparseOnehot:
+    """Columns with any number of values as one sparse vector column; missing values and those not seen have no 1."""
+    codes = fit_codes(df, columns, {c: f"__place_{i}" for i, c in enumerate(columns)})
+    counted = {r["name"]: r["count"] for r in codes.dictionary.groupBy("name").count().collect()}
+    return SparseOnehot(codes, {c: counted.get(c, 0) for c in columns}, output)
+
+
 STATISTICS = {"n": "count", "mean": "avg", "std": "stddev_pop", "min": "min", "max": "max"}
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import fixed_values as fixed
 from tidewatch.models.boosting import CategoryBoosting
+from tidewatch.models.saved import Scorer
 from tidewatch.models.training import Trained, train_all
 from tidewatch.operators import clean, labels, splits
 from tidewatch.operators.encode import fit_codes, fit_scaler
@@ -98,9 +99,17 @@ class Scaled:
     def part(self, name: str) -> DataFrame:
         return self.rows.where(F.col("split") == name)
 
+    def steps(self) -> PipelineModel:
+        """Scaling and assembling of unscaled rows."""
+        return PipelineModel([self.scaler.stage(self.raw_columns), self.assembler])
+
     def scorer(self, model) -> PipelineModel:
-        """Scaling, assembling and the classifier as one saveable model for unscaled rows."""
-        return PipelineModel([self.scaler.stage(self.raw_columns), self.assembler, model])
+        """The steps and one of Spark's classifiers as one saveable model for unscaled rows."""
+        return PipelineModel([*self.steps().stages, model])
+
+    def any_scorer(self, model) -> Scorer:
+        """The steps and a model of any kind."""
+        return Scorer(self.steps(), model)
 
 
 def split_and_scale(prepared: Prepared, test_size: float = 0.2, val_size: float = 0.1, seed: int = 42) -> Scaled:
@@ -125,10 +134,14 @@ def split_and_scale(prepared: Prepared, test_size: float = 0.2, val_size: float
     return Scaled(rows, scaler, assembler, slim.columns)
 
 
-def run(prepared: Prepared, models: dict[str, object], average: str = "weighted") -> tuple[Trained, Scaled]:
-    """Fit all models on the training rows and compare them on the test rows."""
+def run(prepared: Prepared, models: dict[str, object], average: str = "weighted", save_to: str | None = None) -> tuple[Trained, Scaled]:
+    """Fit all models on the training rows and compare them on the test rows; the best one is saved with its steps if a path is given."""
     scaled = split_and_scale(prepared)
-    return train_all(models, scaled.part("train"), scaled.part("test"), prepared.dataset, average), scaled
+    scaled.rows = cut_lineage(scaled.rows)
+    trained = train_all(models, scaled.part("train"), scaled.part("test"), prepared.dataset, average)
+    if save_to and trained.best():
+        scaled.any_scorer(trained.models[trained.best()]).save(prepared.data.sparkSession, save_to)
+    return trained, scaled
 
 
 def boost_raw_categories(prepared: Prepared, rounds: int = 500, depth: int = 8, rate: float = 0.1, seed: int = 42, patience: int | None = None):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch import fixed_values as fixed
 from tidewatch.models import classifiers, ensembles, inspect, training
 from tidewatch.models.kernel_svm import KernelClassifier
+from tidewatch.models.saved import Scorer
 from tidewatch.operators import metrics, select, splits
 from tidewatch.operators.compare import published_gap
 from tidewatch.operators.encode import fit_scaler
@@ -22,7 +24,7 @@ from tidewatch.plans.evaluating import DETECTION, SUMMARY, detection_sql
 from tidewatch.plans.preparing import _HASH, PORT_SQL, SUBNET_SQL, TEXT_SQL, TIME_SQL, address_sql, split_sql
 from tidewatch.plans.neighborhood import KNN_VOTES
 from tidewatch.plans.registry import query, rounded, table
-from tidewatch.session import scratch_path
+from tidewatch.session import cut_lineage, scratch_path
 from tidewatch.sources.writers import load_model, save_model, save_results
 from tidewatch.streaming.detect import detections, read_new_files, write_available
 
@@ -169,6 +171,15 @@ def tested(scored, classes):
         F.count(F.lit(1)).alias("tested"), F.bool_and(known).alias("class_known"), F.bool_and(whole).alias("chances_add_up"))
 
 
+#: Rounds of boosting without a better one on the validation rows that end a fit.
+PATIENCE = 10
+
+
+def with_held_rows(scaled):
+    """Training and validation rows, the latter marked ``held``."""
+    return scaled.rows.where("split <> 'test'").withColumn("held", F.col("split") == "val")
+
+
 def tested_by(estimator, prepared, scaled):
     return tested(estimator.fit(scaled.part("train")).transform(scaled.part("test")), prepared.classes)
 
@@ -201,27 +212,29 @@ def kernel_svm(spark, folder):
 
 @query("extra_trees", TESTED_MULTI)
 def extra_trees(spark, folder):
-    return tested_by(classifiers.extra_trees(10, 8), *wsn_rows(spark, folder, binary=False))
+    return tested_by(classifiers.extra_trees(), *wsn_rows(spark, folder, binary=False))
 
 
 @query("boosted_trees", TESTED_BINARY)
 def boosted_trees(spark, folder):
-    return tested_by(classifiers.boosted_trees(2, 10, 4), *wsn_rows(spark, folder))
+    """Up to 200 rounds of depth 7; the validation rows choose the number and end the fit ``PATIENCE`` rounds after the best one."""
+    prepared, scaled = wsn_rows(spark, folder)
+    model = classifiers.boosted_trees(validation="held", patience=PATIENCE).fit(with_held_rows(scaled))
+    return tested(model.transform(scaled.part("test")), prepared.classes)
 
 
 @query("boosted_categories")
 def boosted_categories(spark, folder):
     """Raw categories next to numbers; validation rows decide how many rounds are kept."""
     prepared = experiments.prepare_cyber(spark, cleaning.write_cyber(spark, folder), cleaning.CYBER_SCHEMA, binary=False)
-    _, scored = experiments.boost_raw_categories(prepared, rounds=6, depth=4)
+    _, scored = experiments.boost_raw_categories(prepared, patience=PATIENCE)
     return rounded(metrics.summary_scores(metrics.confusion(scored, "label", "prediction")), SUMMARY)
 
 
 @query("mlp", TESTED_MULTI)
 def mlp(spark, folder):
     prepared, scaled = wsn_rows(spark, folder, binary=False)
-    network = classifiers.dense_network(len(prepared.features), prepared.classes, "vgg16", scale=0.05, iterations=40)
-    return tested_by(network, prepared, scaled)
+    return tested_by(classifiers.dense_network(len(prepared.features), prepared.classes, "vgg16"), prepared, scaled)
 
 
 @query("knn_model", KNN_VOTES)
@@ -287,16 +300,16 @@ def parameter_search(spark, folder):
 @query("forest_importance")
 def forest_importance(spark, folder):
     prepared, scaled = wsn_rows(spark, folder)
-    model = classifiers.random_forest(10, 6).fit(scaled.part("train"))
+    model = classifiers.random_forest().fit(scaled.part("train"))
     return inspect.importance_table(spark, model.featureImportances.toArray(), prepared.features, top=20)
 
 
 @query("training_history")
 def training_history(spark, folder):
-    """Loss per iteration of the dense network."""
+    """Loss and accuracy on training and validation rows after each epoch of the dense network."""
     prepared, scaled = wsn_rows(spark, folder)
-    model = classifiers.dense_network(len(prepared.features), 2, "vgg16", 0.02, 15).fit(scaled.part("train"))
-    return inspect.history_table(spark, model.summary().objectiveHistory)
+    model = classifiers.dense_network(len(prepared.features), 2, "vgg16", validation="held").fit(with_held_rows(scaled))
+    return rounded(inspect.history_table(spark, model.history), ["loss", "accuracy", "val_loss", "val_accuracy"])
 
 
 @query("recursive_elimination")
@@ -331,13 +344,13 @@ def pca(spark, folder):
 
 # --- whole runs --------------------------------------------------------------
 
-def _quick(classes, inputs):
-    kept = ("Naive Bayes", "Decision Tree", "SVM")
-    return {n: m for n, m in classifiers.standard_models(classes, inputs, small=True).items() if n in kept}
-
-
-def _run(prepared, average="weighted"):
-    return experiments.run(prepared, _quick(prepared.classes, len(prepared.features)), average)[0]
+def _run(prepared, average="weighted", save_to=None):
+    """All eight models at their documented settings; an error in one is an error of the run."""
+    models = classifiers.standard_models(prepared.classes, len(prepared.features))
+    trained = experiments.run(prepared, models, average, save_to)[0]
+    if trained.errors:
+        raise RuntimeError(str(trained.errors))
+    return trained
 
 
 def cicids_experiment(spark, folder, binary=True):
@@ -353,7 +366,13 @@ def wsn_experiment(spark, folder, binary=True):
 
 
 def cyber_experiment(spark, folder, binary=True):
-    return _run(experiments.prepare_cyber(spark, cleaning.write_cyber(spark, folder), cleaning.CYBER_SCHEMA, binary), "macro")
+    """The eight models, and boosting on raw categories."""
+    prepared = experiments.prepare_cyber(spark, cleaning.write_cyber(spark, folder), cleaning.CYBER_SCHEMA, binary)
+    trained = _run(prepared, "macro")
+    started = time.time()
+    model, scored = experiments.boost_raw_categories(prepared, patience=PATIENCE)
+    trained.add(prepared.dataset, "Category Boosting", model, scored, "macro", time.time() - started)
+    return trained
 
 
 def _timeless(df):
@@ -407,6 +426,41 @@ def saved_model_scores(spark, folder):
         F.count(F.lit(1)).alias("scored"), F.bool_and(F.col("prediction") == F.col("first")).alias("equal_answers"))
 
 
+def _one_of_each_kind(classes, inputs):
+    """An estimator of every kind that can be saved; what is tested is the way to disk and back, so they are small."""
+    members = {"tree": classifiers.decision_tree(4), "bayes": classifiers.naive_bayes()}
+    return {
+        "spark": classifiers.decision_tree(5), "extra trees": classifiers.extra_trees(3, 4), "neighbours": classifiers.NearestNeighbors("key", 5),
+        "kernel": KernelClassifier(32, iterations=10), "boosting": classifiers.boosted_trees(classes, 3, 3), "dense": classifiers.DenseNetwork([inputs, 16, classes], 1),
+        "voting": ensembles.VotingEnsemble(members, classes=classes),
+    }
+
+
+@query("saved_model_kinds", " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, target::int AS label, count(*) AS scored, true AS equal_answers FROM ({split_sql(_WSN_BINARY, 'id', 'target')}) WHERE split = 'test' GROUP BY target"
+    for kind in ("boosting", "dense", "extra trees", "kernel", "neighbours", "spark", "stacking", "voting")))
+def saved_model_kinds(spark, folder):
+    """A model of every kind, saved behind its scaler and loaded again, gives unscaled test rows the answers of the fitted one."""
+    prepared, scaled = wsn_rows(spark, folder)
+    train = cut_lineage(splits.folds(scaled.part("train"), "key", "label", 3))
+    raw = prepared.data.select("key", F.col("target").cast("double").alias("label"), F.lit("new").alias("split"),
+                               *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(prepared.features)])
+    test = cut_lineage(scaled.part("test"))
+    raw = cut_lineage(raw.join(test.select("key"), "key"))
+    kinds = _one_of_each_kind(2, len(prepared.features))
+    kinds["stacking"] = ensembles.StackingEnsemble({"tree": kinds["spark"], "bayes": classifiers.naive_bayes()}, "fold", 3, iterations=20)
+    out = None
+    for kind, estimator in kinds.items():
+        fitted = estimator.fit(train)
+        again = Scorer.load(spark, scaled.any_scorer(fitted).save(spark, scratch_path(spark, "scorer")))
+        first = fitted.transform(test).select("key", F.col("prediction").alias("first"))
+        both = again.transform(raw).join(first, "key").groupBy(F.col("label").cast("int").alias("label")).agg(
+            F.count(F.lit(1)).alias("scored"), F.bool_and(F.col("prediction") == F.col("first")).alias("equal_answers"))
+        both = both.withColumn("kind", F.lit(kind))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 @query("line_tree", tested_sql(split_sql(
     "SELECT row_number() OVER () AS id, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS target FROM lineitem", "id", "target", val=0.0)))
 def line_tree(spark, folder):
