@@ -74,6 +74,7 @@ def frame(spark, x, y):
 def test_equals_a_plain_version(spark, monkeypatch, classes, symmetric):
     monkeypatch.setattr(boosting, "BINS", 8)
     monkeypatch.setattr(boosting, "STORED_EVERY", 2)
+    monkeypatch.setattr(boosting, "CELLS", 400)
     x, y = sample(500, 3, classes)
     settings = dict(rounds=3, depth=3, rate=0.3, bins=8, l2=1.5, symmetric=symmetric)
     model = HistogramBoosting(classes, **settings).fit(frame(spark, x, y).repartition(3))
@@ -88,6 +89,7 @@ def test_layout_and_way_of_adding_change_nothing(spark, monkeypatch):
     settings = dict(rounds=4, depth=4, rows=0.7, columns=0.6)
     one = HistogramBoosting(3, **settings).fit(df.coalesce(1))
     monkeypatch.setattr(boosting, "DRIVER_BYTES", 0)
+    monkeypatch.setattr(boosting, "CELLS", 200)
     many = HistogramBoosting(3, **settings).fit(df.repartition(7))
     assert all((a.feature == b.feature).all() and (a.value == b.value).all() for a, b in zip(one.rounds, many.rounds))
 

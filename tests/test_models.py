@@ -137,11 +137,41 @@ def test_stream_equals_batch(spark, folder):
     assert all(0 <= r.attack_probability <= 1 and r.confidence >= 0.5 for r in batch)
 
 
-@pytest.mark.parametrize("name", ["cyber_run", "boosted_categories", "recursive_elimination", "training_history"])
+@pytest.mark.parametrize("name", ["recursive_elimination", "training_history"])
 def test_runs_give_rows(spark, folder, name):
     assert catalog.QUERIES[name](spark, folder).count() > 0
 
 
+def test_a_whole_run_has_a_row_for_each_model_and_saves_the_best(spark, folder, monkeypatch):
+    from tidewatch.models.saved import Scorer
+
+    few = {"Naive Bayes": classifiers.naive_bayes(), "Decision Tree": classifiers.decision_tree(5)}
+    monkeypatch.setattr(classifiers, "standard_models", lambda *a, **k: dict(few))
+    monkeypatch.setattr(modelling, "PATIENCE", 1)
+    rows = catalog.QUERIES["cyber_run"](spark, folder).collect()
+    assert {r.model for r in rows} == {*few, "Category Boosting"} and all(0 <= r.f1 <= 1 for r in rows)
+    assert sorted(catalog.QUERIES["cyber_run"](spark, folder).collect()) == sorted(rows)
+    modelling._run_rows.cache_clear()
+    prepared, _ = modelling.wsn_rows(spark, folder)
+    path = scratch_path(spark, "best")
+    trained, scaled = experiments.run(prepared, few, "macro", path)
+    test = scaled.part("test")
+    raw = prepared.data.select("key", F.col("target").cast("double").alias("label"), F.lit("new").alias("split"),
+                               *[F.col(c).cast("double").alias(f"f{i}") for i, c in enumerate(prepared.features)]).join(test.select("key"), "key")
+    best = trained.models[trained.best()].transform(test).select("key", "prediction").collect()
+    assert sorted(Scorer.load(spark, path).transform(raw).select("key", "prediction").collect()) == sorted(best)
+
+
+def test_a_run_raises_what_failed(spark, folder, monkeypatch):
+    class Broken:
+        def fit(self, df):
+            raise RuntimeError("no luck")
+
+    monkeypatch.setattr(classifiers, "standard_models", lambda *a, **k: {"Broken": Broken()})
+    with pytest.raises(RuntimeError, match="no luck"):
+        modelling.wsn_experiment(spark, folder)
+
+
 def test_extra_trees_do_not_depend_on_layout_or_rounds(spark, monkeypatch):
     from tidewatch.models import extra_trees
 

@@ -29,6 +29,8 @@ BINS = 64
 UNIT = 1 << 20
 #: Rounds whose trees are applied on the fly before the scores of all rows are stored again.
 STORED_EVERY = 10
+#: Rows x features that are worth a task of their own: every task returns sums of the same size.
+CELLS = 1 << 20
 #: Sums of all tasks that the driver may add itself; beyond it they are added in Spark first.
 DRIVER_BYTES = 64 << 20
 
@@ -145,7 +147,8 @@ class HistogramBoosting:
         share = np.array([counts.get(c, 0) + 1.0 for c in range(self.classes)])
         start = np.log(share[1:] / share[:1]) if self.classes == 2 else np.log(share / share.sum())
         self.scores = len(start)
-        state = self._stored(self._binned(rows, edges, start), [], width)
+        tasks = max(1, math.ceil(rows.count() * width / CELLS))
+        state = self._stored(self._binned(rows, edges, start).coalesce(tasks), [], width)
         model = BoostingModel(edges, start, [], self.classes, [])
         recent, best = [], None
         for number in range(self.rounds):

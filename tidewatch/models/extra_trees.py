@@ -186,26 +186,29 @@ class ExtraTrees:
         per_round = max(1, SLOTS_PER_ROUND // (tried * max(1, classes // 2)))
         for start in range(0, len(open_), per_round):
             known, own = open_[start: start + per_round], counts[start: start + per_round]
-            for attempt in range(-(-width // tried)):
-                draws = _draws(self.seed, known, width)
-                candidates = np.argsort(draws, axis=1, kind="stable")[:, attempt * tried: (attempt + 1) * tried]
-                low, high = rows.ranges(state, known, candidates)
-                varies = high > low
-                some = varies.any(axis=1)
-                if some.any():
-                    k, c, o, v = known[some], candidates[some], own[some], varies[some]
-                    step = _draws(self.seed + 1, k, width)
-                    thresholds = low[some] + np.take_along_axis(step, c, axis=1) * (high[some] - low[some])
-                    thresholds = np.where(thresholds >= high[some], low[some], thresholds)  # never send every row left
-                    left = rows.left_counts(state, k, c, thresholds, classes)
-                    impurity = np.where(v, _gini(left) + _gini(o[:, None, :] - left), np.inf)
-                    best = impurity.argmin(axis=1)
-                    at = np.arange(len(k))
-                    np.add.at(importance, c[at, best], _gini(o) - impurity[at, best])
-                    found.append((k, c[at, best], thresholds[at, best], left[at, best], o))
-                known, own = known[~some], own[~some]
-                if not len(known):
-                    break
+            order = np.argsort(_draws(self.seed, known, width), axis=1, kind="stable")
+            chosen = order[:, :tried]
+            low, high = rows.ranges(state, known, chosen)
+            # Where the first features are constant, the next ones are looked at, all that are left from one more pass.
+            stuck = np.flatnonzero(~(high > low).any(axis=1))
+            step = max(1, SLOTS_PER_ROUND // width)
+            for at in (stuck[i: i + step] for i in range(0, len(stuck), step)) if width > tried else ():
+                more_low, more_high = rows.ranges(state, known[at], order[at])
+                first = np.where((more_high > more_low).any(axis=1), (more_high > more_low).argmax(axis=1), 0) // tried * tried
+                place = np.minimum(first[:, None] + np.arange(tried), width - 1)
+                chosen[at] = np.take_along_axis(order[at], place, axis=1)
+                low[at], high[at] = np.take_along_axis(more_low, place, axis=1), np.take_along_axis(more_high, place, axis=1)
+            some = (high > low).any(axis=1)
+            if not some.any():
+                continue
+            known, own, chosen, low, high = known[some], own[some], chosen[some], low[some], high[some]
+            thresholds = low + np.take_along_axis(_draws(self.seed + 1, known, width), chosen, axis=1) * (high - low)
+            thresholds = np.where(thresholds >= high, low, thresholds)  # never send every row left
+            left = rows.left_counts(state, known, chosen, thresholds, classes)
+            impurity = np.where(high > low, _gini(left) + _gini(own[:, None, :] - left), np.inf)
+            best, at = impurity.argmin(axis=1), np.arange(len(known))
+            np.add.at(importance, chosen[at, best], _gini(own) - impurity[at, best])
+            found.append((known, chosen[at, best], thresholds[at, best], left[at, best], own))
         if not found:
             return None
         parts = [np.concatenate(p) for p in zip(*found)]
