@@ -33,7 +33,12 @@ def test_fuzzy_notices_equal_a_search_of_the_whole_text():
         for _ in range(pick.randint(0, 4)):
             parts += ["".join(pick.choice("the license underaby nc") for _ in range(pick.randint(0, 60))), changed(pick.choice(license_scan.NOTICES)[0], pick.randint(0, 6), pick)]
         words = " ".join(" ".join(parts).split())
-        expected = {label for notice, label in license_scan.NOTICES if regex.search(f"(?:{notice}){{e<={int(0.1 * len(notice))}}}", words)}
+        expected = set()
+        for notice, label, naming in license_scan.NOTICES:
+            for m in regex.finditer(f"(?e)(?:{notice}){{e<={int(0.1 * len(notice))}}}", words):
+                inside = iter((words[: m.start()].rpartition(" ")[2] + m.group() + words[m.end():].partition(" ")[0]).split())
+                if all(w in inside for w in naming.split()):
+                    expected.add(label)
         assert {s[0] for s in find(words)} == expected
 
 
@@ -41,6 +46,30 @@ def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
+@pytest.mark.parametrize("text,labels", [
+    ("licensed under cc by sa", {"cc-by-sa"}), ("licensed under cc by nd", {"cc-by-nd"}), ("released under the bsd license", set()),
+    ("released under the isc license", set()), ("released under the zlib license", set()), ("gnu general public license version 2", {"gpl-2"}),
+    ("mozilla public license version 1", set()), ("licensed under the apache license version 1", set()), ("relaesed under the mit licence", {"mit"}),
+    ("gnu generel public license version 3", set()), ("gnu general public licence version 3", {"gpl-3"}), ("gnu general public license version 33", set()),
+])
+def test_edits_never_fall_on_the_name_of_a_license(text, labels):
+    assert {found[0] for found in license_scan.FuzzyNotices()("some words " + text + " and more")} == labels
+
+
+def test_many_places_are_counted_in_linear_time(spark):
+    import time
+
+    text = "under the mit license " * 400_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    started = time.time()
+    words = license_scan.normalized(text)
+    places = license_scan.exact_places(words, license_scan.PHRASES)
+    at = license_scan._spaces(words).searchsorted([p for p, _ in places])
+    assert len(places) == 400_000 and time.time() - started < 10 and at.tolist() == list(range(0, 1_600_000, 4))
+    short = license_scan.scan(df.selectExpr("doc_id", "substr(text, 1, 2200) AS text"), ["doc_id"]).first()
+    assert [p.word for p in short.exact] == list(range(0, 400, 4))
+
+
 def test_exact_places_and_words(spark, edge, nothing):
     pick = random.Random(5)
     texts = ["".join(pick.choice(["The ", "MIT", " mit ", "License", " license", "-", "cc by", " by-", "nc", "CC-BY-NC", "apache license, version 2", "é", "0"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,17 +13,20 @@ from tidewatch.llm.registry import query, table
 
 #: Exact phrases and their labels.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-#: Notices searched with edits, and their labels.
+#: Notices searched with edits, their labels, and the words that name the license: those must stand unchanged, edits fall on the others.
 NOTICES = [
-    ("released under the mit license", "mit"),
-    ("licensed under the apache license version 2", "apache-2"),
-    ("licensed under cc by nc", "cc-by-nc"),
-    ("creative commons attribution noncommercial", "cc-by-nc"),
-    ("gnu general public license version 3", "gpl-3"),
-    ("gnu lesser general public license", "lgpl"),
-    ("mozilla public license version 2", "mpl-2"),
-    ("redistribution and use in source and binary forms", "bsd"),
-    ("this is free and unencumbered software", "unlicense"),
+    ("released under the mit license", "mit", "mit"),
+    ("licensed under the apache license version 2", "apache-2", "apache 2"),
+    ("licensed under cc by nc", "cc-by-nc", "cc by nc"),
+    ("licensed under cc by sa", "cc-by-sa", "cc by sa"),
+    ("licensed under cc by nd", "cc-by-nd", "cc by nd"),
+    ("creative commons attribution noncommercial", "cc-by-nc", "creative commons noncommercial"),
+    ("gnu general public license version 3", "gpl-3", "gnu general public 3"),
+    ("gnu general public license version 2", "gpl-2", "gnu general public 2"),
+    ("gnu lesser general public license", "lgpl", "gnu lesser general public"),
+    ("mozilla public license version 2", "mpl-2", "mozilla public 2"),
+    ("redistribution and use in source and binary forms", "bsd", "redistribution binary"),
+    ("this is free and unencumbered software", "unlicense", "unencumbered"),
 ]
 ERROR_RATE = 0.1
 #: A word is a run of these bytes once A-Z are small: digits, a-z and whatever is not ASCII.
@@ -48,7 +52,7 @@ def exact_places(words: bytes, phrases) -> list[tuple[int, str]]:
 
 
 class FuzzyNotices:
-    """Spans within ``int(rate * length)`` edits of a notice.
+    """Spans within ``int(rate * length)`` edits of a notice that hold its naming words unchanged, as whole words and in order.
 
     A notice is split into one piece more than its edits, so a span within the edits holds one piece unchanged. All pieces are sought
     in one pass; around each hit the bounded-error match runs on a window that holds any such span.
@@ -56,9 +60,9 @@ class FuzzyNotices:
 
     def __init__(self, notices=NOTICES, rate: float = ERROR_RATE):
         self.notices, self.pieces = [], ahocorasick.Automaton()
-        for number, (notice, label) in enumerate(notices):
+        for number, (notice, label, naming) in enumerate(notices):
             most = int(rate * len(notice))
-            self.notices.append((label, len(notice), most, regex.compile(f"(?e)(?:{regex.escape(notice, literal_spaces=True)}){{e<={most}}}")))
+            self.notices.append((label, naming.split(), len(notice), most, regex.compile(f"(?e)(?:{regex.escape(notice, literal_spaces=True)}){{e<={most}}}")))
             cuts = [len(notice) * i // (most + 1) for i in range(most + 2)]
             for start, end in zip(cuts, cuts[1:]):
                 known = self.pieces.get(notice[start:end], ())
@@ -70,19 +74,37 @@ class FuzzyNotices:
         windows: dict[int, list[list[int]]] = {}
         for end, (length, places) in self.pieces.iter(words):
             for number, offset in places:
-                _, size, most, _ = self.notices[number]
+                _, _, size, most, _ = self.notices[number]
                 start = end + 1 - length - offset - most
                 mine = windows.setdefault(number, [])
                 mine.append([max(0, start), start + size + 2 * most])
         out = []
         for number, spans in windows.items():
-            label, _, _, pattern = self.notices[number]
+            label, naming, _, _, pattern = self.notices[number]
             for start, end in _merged(spans):
                 for found in pattern.finditer(words, start, min(end, len(words))):
-                    out.append((label, found.start(), found.end(), sum(found.fuzzy_counts)))
+                    if _in_order(naming, _whole_words(words, found.start(), found.end())):
+                        out.append((label, found.start(), found.end(), sum(found.fuzzy_counts)))
         return sorted(out, key=lambda s: (s[1], s[2], s[0]))
 
 
+def _whole_words(words: str, start: int, end: int) -> list[str]:
+    """The words that a span touches."""
+    after = words.find(" ", end)
+    return words[words.rfind(" ", 0, start + 1) + 1: after if after >= 0 else len(words)].split()
+
+
+def _in_order(wanted: list[str], words: list[str]) -> bool:
+    rest = iter(words)
+    return all(w in rest for w in wanted)
+
+
+def _spaces(words: bytes | str) -> np.ndarray:
+    """Where the spaces are, by byte or by character: the number of a word is the number of spaces before it."""
+    codes = np.frombuffer(words, np.uint8) if isinstance(words, bytes) else np.frombuffer(words.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.flatnonzero(codes == 32)
+
+
 def _kept_with_length(pieces: ahocorasick.Automaton) -> ahocorasick.Automaton:
     whole = ahocorasick.Automaton()
     for piece, places in pieces.items():
@@ -104,8 +126,11 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
 def scan(docs: DataFrame, keep: list[str], text: str = "text", phrases=PHRASES, notices=NOTICES, rate: float = ERROR_RATE) -> DataFrame:
     """``keep``, n_words, ``exact`` (places of phrases) and ``fuzzy`` (spans of notices with their edits), both by word from 0.
 
-    Null and empty texts have no words and empty lists.
+    Null and empty texts have no words and empty lists; repeated rows are each answered. Spans may overlap, of one notice or of several, and all
+    are returned. ``keep`` must not hold a column named like a result.
     """
+    if clash := {"n_words", "exact", "fuzzy"} & set(keep):
+        raise ValueError(f"columns named like results: {sorted(clash)}")
 
     def make():
         fuzzy = FuzzyNotices(notices, rate)
@@ -115,10 +140,13 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", phrases=PHRASES,
             for t in texts:
                 words = normalized(t)
                 sizes.append(words.count(b" ") + 1 if words else 0)
-                exact.append([{"word": words.count(b" ", 0, at), "label": label} for at, label in exact_places(words, phrases)])
+                places = exact_places(words, phrases)
+                at = np.searchsorted(_spaces(words), [p for p, _ in places]) if places else []
+                exact.append([{"word": int(w), "label": label} for w, (_, label) in zip(at, places)])
                 plain = words.decode("utf-8", "surrogatepass")
-                spans.append([{"label": label, "first_word": plain.count(" ", 0, s), "last_word": plain.count(" ", 0, e), "edits": n}
-                              for label, s, e, n in fuzzy(plain)])
+                near = fuzzy(plain)
+                ends = np.searchsorted(_spaces(plain), [[s, e] for _, s, e, _ in near]) if near else []
+                spans.append([{"label": label, "first_word": int(a), "last_word": int(b), "edits": n} for (label, _, _, n), (a, b) in zip(near, ends)])
             return [sizes, exact, spans]
 
         return compute
