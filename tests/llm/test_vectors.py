@@ -72,3 +72,34 @@ def test_recall_on_the_given_vectors(spark):
     got = {r.vec_id: r.n_links for r in vectors.near_duplicates(frame).collect()}
     assert all(got[i] <= truth[i] for i in truth) and sum(got.values()) >= 0.97 * sum(truth.values())
     assert vectors.passes_for(10**9) > vectors.passes_for(10**4) >= vectors.LEAST_PASSES
+
+
+@pytest.mark.parametrize("common", [0.5, 0.8, 0.9])
+def test_recall_where_all_vectors_share_a_direction(spark, common):
+    pick = np.random.default_rng(int(common * 10))
+    size, count, pairs = 64, 6000, 300
+    base = np.zeros(size)
+    base[0] = np.sqrt(common)
+
+    def away(n):
+        x = pick.standard_normal((n, size - 1))
+        return x / np.linalg.norm(x, axis=1)[:, None]
+
+    rest = away(count)
+    x = np.hstack([np.full((count, 1), base[0]), rest * np.sqrt(1 - common)])
+    # The partner stands at a cosine of 0.982 from the first of its pair.
+    turn = (0.982 - common) / (1 - common)
+    side = away(pairs)
+    side -= (side * rest[:pairs]).sum(1)[:, None] * rest[:pairs]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    x[count - pairs:, 1:] = np.sqrt(1 - common) * (turn * rest[:pairs] + np.sqrt(1 - turn**2) * side)
+    rows = [(i, [float(v) for v in r], "one label") for i, r in enumerate(x)]
+    got = {r.vec_id: r.component_id for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    found = sum(got[count - pairs + i] == got[i] for i in range(pairs))
+    assert found >= 0.95 * pairs
+
+
+def test_very_large_and_very_small_numbers(spark):
+    rows = [(1, [1e200, 1e199], 1), (2, [2e200, 2e199], 1), (3, [1e-200, 1e-201], 1), (4, [-1e200, 1e200], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}

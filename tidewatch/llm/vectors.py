@@ -18,23 +18,62 @@ from tidewatch.session import cut_lineage
 COSINE = 0.98
 WINDOW = 32
 HASH_BITS = 48
-#: Share of pairs at the threshold that all passes together may miss, and the least number of passes.
-MISS, LEAST_PASSES = 0.002, 8
+#: Share of pairs at the threshold that all passes together may miss, and the least and largest number of passes.
+MISS, LEAST_PASSES, MOST_PASSES = 0.002, 8, 96
 BLOCK, PACK = 1024, 2000
 SEED = 17
 
 
-def passes_for(rows: int, window: int = WINDOW, cosine: float = COSINE) -> int:
-    """Passes after which a pair at the threshold is missed with a chance of ``MISS`` at most among ``rows`` random vectors.
+def passes_for(rows: int, window: int = WINDOW, cosine: float = COSINE, common: float = 0.0, bits: float | None = None) -> int:
+    """Passes after which a pair at the threshold is missed with a chance of ``MISS`` at most among ``rows`` vectors of a label.
 
-    A pair meets in a pass if its hashes agree in the first bits that tell a window from the rest.
+    A pair meets in a pass if its hashes agree in the first ``bits`` that tell a window from the rest: log2(rows / window) for
+    vectors in all directions, more where they crowd. ``common`` is the mean cosine of two vectors: hashes are taken from the label's mean, from
+    where the same pair stands at a wider angle.
     """
-    meet = (1 - math.acos(cosine) / math.pi) ** max(0.0, math.log2(max(rows, 1) / window))
-    return max(LEAST_PASSES, math.ceil(math.log(MISS) / math.log(1 - min(meet, 0.99))))
+    there = max(-1.0, min(1.0, (cosine - common) / (1 - common) if common < 1 else 1.0))
+    least = max(0.0, math.log2(max(rows, 1) / window))
+    meet = (1 - math.acos(there) / math.pi) ** max(least, bits or 0.0)
+    wanted = math.log(MISS) / math.log(1 - min(max(meet, 1e-9), 0.99))
+    return max(LEAST_PASSES, min(MOST_PASSES, math.ceil(wanted)))
+
+
+def label_means(points: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(label, size, n, middle, common) of labels with more points than a window: the mean of the unit vectors and the mean cosine of two of them.
+
+    Every task sums its own points, then one row a label, length and component is shuffled.
+    """
+    most = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    scaled = points.select("label", "size", F.transform("embedding", lambda x: x.cast("double") / most).alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    parts = scaled.select("label", "size", F.posexplode(F.transform("v", lambda x: x / length)).alias("at", "x"))
+    sums = parts.groupBy("label", "size", "at").agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("n")).where(F.col("n") > window)
+    rows = sums.groupBy("label", "size").agg(F.max("n").alias("n"), F.sum(F.col("x") * F.col("x")).alias("square"), F.array_sort(F.collect_list(F.struct("at", "x"))).alias("all"))
+    common = (F.col("square") - F.col("n")) / (F.col("n") * (F.col("n") - 1))
+    return rows.select("label", "size", "n", F.transform("all", lambda e: e["x"] / F.col("n")).alias("middle"), F.greatest(F.lit(0.0), common).alias("common"))
+
+
+def crowding(points: DataFrame, window: int = WINDOW) -> float:
+    """The leading bits after which a row shares them with no more than a window of others, on average over the worst label of the first pass."""
+    keys = hashed(points, 1).select("label", "size", F.explode(F.array(*map(F.lit, range(0, HASH_BITS, 4)))).alias("bits"), "key")
+    keys = keys.groupBy("label", "size", "bits", F.expr(f"shiftright(key, {HASH_BITS} - bits)").alias("first")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    mean = keys.groupBy("label", "size", "bits").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("company"))
+    worst = {r.bits: r.company for r in mean.groupBy("bits").agg(F.max("company").alias("company")).collect()}
+    crowded = [b for b, company in sorted(worst.items()) if company > window]
+    if not crowded:
+        return 0.0
+    last = crowded[-1]
+    low = worst.get(last + 4, 1.0)
+    return last + 4 * (math.log(worst[last] / window) / math.log(worst[last] / low) if worst[last] > low else 1.0)
 
 
 def _unit(values: pa.Array, size: int) -> np.ndarray:
-    x = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+    return _normed(values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size))
+
+
+def _normed(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1. They are first scaled by a power of two, which changes no digit and keeps squares of very large numbers finite."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
@@ -44,7 +83,10 @@ def _runs(keys: np.ndarray):
 
 
 def hashed(points: DataFrame, passes: int) -> DataFrame:
-    """(pass, key, node, label, size, embedding): the key is a row of signs of random projections, the first as the highest bit."""
+    """(pass, key, node, label, size, embedding): the key is a row of signs of random projections, the first as the highest bit.
+
+    Projections are taken from ``middle``, the mean direction of the label, where there is one: signs from the origin would hardly split vectors that share a direction.
+    """
     schema = T.StructType([*points.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))])
     powers = (1 << np.arange(HASH_BITS - 1, -1, -1)).astype(np.int64)
 
@@ -58,6 +100,10 @@ def hashed(points: DataFrame, passes: int) -> DataFrame:
                 if size not in planes:
                     planes = {size: np.random.default_rng([SEED, int(size)]).standard_normal((passes, int(size), HASH_BITS))}
                 x = _unit(batch.column("embedding").take(pa.array(at)), int(size))
+                middle = batch.column("middle").take(pa.array(at))
+                known = np.flatnonzero(middle.is_valid().to_numpy(zero_copy_only=False))
+                if len(known):
+                    x[known] -= middle.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, int(size))
                 for p in range(passes):
                     keys[at, p] = (x @ planes[size][p] > 0) @ powers
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys), pa.list_(pa.int64()))], [*batch.schema.names, "keys"])
@@ -128,8 +174,7 @@ def link_counts(members: DataFrame, cosine: float = COSINE) -> DataFrame:
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, part in rows.groupby("root"):
-            x = np.array(part["embedding"].tolist(), np.float64)
-            x /= np.linalg.norm(x, axis=1)[:, None]
+            x = _normed(np.array(part["embedding"].tolist(), np.float64))
             n, side, nodes = part["n"].to_numpy(), part["side"].to_numpy(), part["node"].to_numpy()
             if part["i"].iloc[0] == part["j"].iloc[0]:
                 linked = x @ x.T >= cosine
@@ -156,9 +201,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, window: int = WI
     sound = F.forall("embedding", lambda v: F.coalesce(v == v, F.lit(False)) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     sound = cut_lineage(one.where(F.col("label").isNotNull() & (F.size("embedding") > 0) & sound))
     points = cut_lineage(sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")))
-    most = points.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    dealt = points.select("node", F.col("label").cast("long").alias("label"), F.size("embedding").alias("size"), "embedding")
-    found = components(window_links(dealt, passes_for(most, window, cosine), window, cosine))
+    whole = isinstance(points.schema["label"].dataType, T.IntegralType)
+    dealt = points.select("node", (F.col("label").cast("long") if whole else F.xxhash64("label")).alias("label"), F.size("embedding").alias("size"), "embedding")
+    means = cut_lineage(label_means(dealt, window))
+    seen = means.agg(F.max("n").alias("most"), F.max("common").alias("common")).first()
+    dealt = cut_lineage(dealt.join(means.select("label", "size", "middle"), ["label", "size"], "left"))
+    passes = LEAST_PASSES if seen.most is None else passes_for(seen.most, window, cosine, seen.common, crowding(dealt, window))
+    found = components(window_links(dealt, passes, window, cosine))
     linked = cut_lineage(link_counts(found.join(points, "node").select("root", "node", "n", "embedding"), cosine).join(found, "node"))
     nodes = points.join(linked, "node", "left").select(
         "label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
