@@ -27,6 +27,23 @@ def dataset_profile(df: DataFrame, label: str) -> DataFrame:
     )
 
 
+def full_profile(df: DataFrame, label: str) -> DataFrame:
+    """(item, name, n): samples, features and classes as :func:`dataset_profile` counts them, the columns of each type, and the rows of each class, null as its own.
+
+    One pass over the label column; the rest comes from its counts and the schema.
+    """
+    spark = df.sparkSession
+    classes = df.groupBy(F.col(label).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    classes = classes.select(F.lit("class").alias("item"), "name", "n")
+    totals = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("samples"), F.count("name").alias("classes"))
+    totals = totals.unpivot([], ["samples", "classes"], "item", "n").select("item", F.lit(None).cast("string").alias("name"), "n")
+    kinds: dict[str, int] = {}
+    for field in df.schema.fields:
+        kinds[field.dataType.simpleString()] = kinds.get(field.dataType.simpleString(), 0) + 1
+    fixed = [("features", None, len(df.columns) - 2), *(("type", kind, n) for kind, n in sorted(kinds.items()))]
+    return totals.unionByName(spark.createDataFrame(fixed, "item string, name string, n long")).unionByName(classes)
+
+
 def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
     count = F.approx_count_distinct if approximate else F.count_distinct
     row = df.agg(*[count(quoted(c)).alias(c) for c in columns])

@@ -444,6 +444,17 @@ def label_codes_mapped(spark, folder):
 
 # --- profiles ---------------------------------------------------------------
 
+@query("full_profile", """
+    WITH t AS (SELECT CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp'
+                      WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS kind FROM (DESCRIBE SELECT * FROM events))
+    SELECT 'samples' AS item, NULL::varchar AS name, count(*) AS n FROM events UNION ALL SELECT 'classes', NULL, count(DISTINCT event_type) FROM events UNION ALL
+    SELECT 'features', NULL, count(*) - 2 FROM t UNION ALL SELECT 'type', kind, count(*) FROM t GROUP BY kind UNION ALL
+    SELECT 'class', event_type::varchar, count(*) FROM events GROUP BY event_type""")
+def full_profile(spark, folder):
+    """Size, types and distribution of a table in one answer."""
+    return profile.full_profile(table(spark, folder, "events"), "event_type")
+
+
 @query("column_profile", """
     SELECT count(*) AS n_samples, 4 AS n_features, count(DISTINCT event_type) AS n_classes FROM events""")
 def column_profile(spark, folder):
