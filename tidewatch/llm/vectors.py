@@ -54,17 +54,16 @@ def label_means(points: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def crowding(points: DataFrame, window: int = WINDOW) -> float:
-    """The leading bits after which a row shares them with no more than a window of others, on average over the worst label of the first pass."""
-    keys = hashed(points, 1).select("label", "size", F.explode(F.array(*map(F.lit, range(0, HASH_BITS, 4)))).alias("bits"), "key")
-    keys = keys.groupBy("label", "size", "bits", F.expr(f"shiftright(key, {HASH_BITS} - bits)").alias("first")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    mean = keys.groupBy("label", "size", "bits").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("company"))
-    worst = {r.bits: r.company for r in mean.groupBy("bits").agg(F.max("company").alias("company")).collect()}
-    crowded = [b for b, company in sorted(worst.items()) if company > window]
-    if not crowded:
-        return 0.0
-    last = crowded[-1]
-    low = worst.get(last + 4, 1.0)
-    return last + 4 * (math.log(worst[last] / window) / math.log(worst[last] / low) if worst[last] > low else 1.0)
+    """The leading bits after which half the rows of each label share them with no more than a window of others, in the first pass.
+
+    Half, because rows of large groups of near copies never part, and need not: they are linked with each other anyway.
+    """
+    keys = hashed(points, 1).select("label", "size", F.explode(F.array(*map(F.lit, range(0, HASH_BITS, 2)))).alias("bits"), "key")
+    keys = keys.groupBy("label", "size", "bits", F.expr(f"shiftright(key, {HASH_BITS} - bits)").alias("first")).agg(F.count(F.lit(1)).alias("n"))
+    crowded = F.coalesce(F.sum(F.when(F.col("n") > window, F.col("n"))), F.lit(0)) / F.sum("n")
+    worst = keys.groupBy("label", "size", "bits").agg(crowded.alias("share")).groupBy("bits").agg(F.max("share").alias("share")).where("share > 0.5")
+    last = worst.agg(F.max("bits")).first()[0]
+    return 0.0 if last is None else last + 2.0
 
 
 def _unit(values: pa.Array, size: int) -> np.ndarray:
