@@ -9,9 +9,8 @@ from tidewatch.llm import decontaminate, mixing, simhash, tokens, toxicity
 from tidewatch.llm.registry import table
 from tidewatch.session import cut_lineage
 
-#: Near copies: texts with this Jaccard similarity of five-word shingles. Fingerprints with at most this many of 64 bits apart, searched through
-#: four segments, and shared MinHash bands say which texts are compared.
-SHINGLE, RADIUS, SEGMENTS, SIMILARITY = 5, 7, 4, 0.8
+#: Near copies: fingerprints of three-word shingles that differ in three bits at most, the parameters of ``op1_simhash``.
+SHINGLE, RADIUS = 3, 3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id, and of equal ids the smallest hash of the text."""
-    return simhash.one_per_similar_group(docs, SHINGLE, RADIUS, SEGMENTS, SIMILARITY)
+    """One document of each group of near copies: the one with the smallest id, and of equal ids the smallest hash of the text.
+
+    Null and empty texts have one fingerprint, so one of them stays; a null id is the largest; of equal rows one stays.
+    """
+    return simhash.one_per_group(docs, SHINGLE, RADIUS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
