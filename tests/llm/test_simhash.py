@@ -100,38 +100,34 @@ def test_one_row_of_each_group_stays(spark, edge, nothing):
     assert simhash.one_per_group(spark.createDataFrame(rows([(None, "a b", None), (None, "a b", None)]), edge.schema)).count() == 1
 
 
-def shingle_sets(text, size=5):
-    words = (text or "").lower().split()
-    return {tuple(words[i:i + size]) for i in range(len(words) - size + 1)} or {tuple(words)}
-
-
-@pytest.mark.parametrize("crowded,block", [(16, 256), (2, 3)])
-def test_near_copies_equal_all_similarities(spark, monkeypatch, crowded, block):
-    monkeypatch.setattr(simhash, "CROWDED", crowded)
-    monkeypatch.setattr(simhash, "NEAR_BLOCK", block)
-    pick, texts = random.Random(crowded), [None, "", "a b", "A  b", "a c"]
-    for _ in range(40):
-        base = [f"w{pick.randrange(5000)}" for _ in range(pick.randint(30, 200))]
+def test_the_pipeline_keeps_the_first_of_each_group(spark):
+    pick, texts = random.Random(3), [None, "", "a b", "A  b", "a c"]
+    for _ in range(25):
+        base = [f"w{pick.randrange(5000)}" for _ in range(pick.choice([40, 200, 900]))]
         texts.append(" ".join(base))
-        for _ in range(5):
-            cut = pick.randrange(len(base) // 3)
-            texts.append(" ".join(base[cut // 2:] + [f"v{pick.randrange(5000)}" for _ in range(pick.randrange(1 + len(base) // 4))]))
-    sets, parent = [shingle_sets(t) for t in texts], list(range(len(texts)))
+        for changed in (0, 1, 1, 2, 3, 20):
+            copy = list(base)
+            for at in pick.sample(range(len(base)), changed):
+                copy[at] = f"v{pick.randrange(5000)}"
+            texts.append(" ".join(copy).title())
+    prints, parent = [brute(t, 3) & (1 << 64) - 1 for t in texts], list(range(len(texts)))
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    apart = 0
+    apart = linked = 0
     for i in range(len(texts)):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            share = both / (len(sets[i]) + len(sets[j]) - both)
-            if share >= 0.8:
+            bits = (prints[i] ^ prints[j]).bit_count()
+            if bits <= 3:
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
-            apart += 0.55 < share < 0.8
+            linked += 0 < bits <= 3
+            apart += 3 < bits < 16
     frame = spark.createDataFrame(rows([(i, t, "a") for i, t in enumerate(texts)]), "doc_id long, text string, lang string, source string, n_chars long, fp long, score double, size long, key long, tie long, first_id long, copies int, rejected boolean, y int")
-    got = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect())
-    assert got == [i for i in range(len(texts)) if find(i) == i] and len(got) < len(texts) and apart > 20
+    kept = corpus_pipeline.drop_near_copies(spark, frame, "")
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if find(i) == i]
+    assert linked > 10 and apart > 10

@@ -18,9 +18,6 @@ SEED = 42
 BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: A bucket with more fingerprints than this, or many times the mean, is searched in blocks by tasks of their own.
 CROWDED, CROWDED_TIMES_MEAN, BLOCK = 16, 8, 1024
-#: MinHash bands beside the fingerprints, and the texts of a block where many share one.
-BANDS, ROWS, NEAR_BLOCK = 20, 5, 256
-_XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
 
 def simhash(text: str | None, size: int) -> int:
@@ -158,118 +155,6 @@ def one_per_group(docs: DataFrame, size: int = 3, radius: int = 3, parts: int =
     return stay.withColumn("__tie", tie).dropDuplicates(["doc_id", "__tie"]).drop("__tie")
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``size`` words, as :func:`simhash` takes them; a shorter text is one run."""
-    parts, carry = [], []
-    for words in word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
-        words = carry + words
-        runs = [b" ".join(words[i:i + size]) for i in range(len(words) - size + 1)]
-        parts.append(np.frombuffer(b"".join(map(xxhash.xxh64_digest, runs, repeat(SEED))), ">u8"))
-        carry = words[max(0, len(words) - size + 1):]
-    if not any(map(len, parts)):
-        parts = [np.array([xxhash.xxh64_intdigest(b" ".join(carry), SEED)], np.uint64)]
-    return np.unique(np.concatenate(parts).astype("<u8"))
-
-
-def bands(hashes: np.ndarray) -> list[int]:
-    """Signed keys of the bands of a MinHash signature: texts of similarity s share one with a chance of 1 - (1 - s^ROWS)^BANDS."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), 2048):
-        least = np.minimum(least, ((hashes[None, start:start + 2048] ^ _XOR[:, None]) * _ODD[:, None]).min(1))
-    return [int.from_bytes(xxhash.xxh64_digest(row.tobytes(), i), "little", signed=True) for i, row in enumerate(least.reshape(BANDS, ROWS))]
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted arrays of distinct hashes."""
-    if min(len(a), len(b)) == 0:
-        return 0.0
-    at = np.searchsorted(a, b)
-    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
-    return both / (len(a) + len(b) - both)
-
-
-def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs (later, earlier) of at least ``similarity`` that connect all that such pairs connect. Pairs in one group already are not compared."""
-    groups, out = [], []
-    for i, mine in enumerate(sets):
-        joined, apart = [i], []
-        for group in groups:
-            near = next((j for j in group if jaccard(sets[j], mine) >= similarity), None)
-            if near is None:
-                apart.append(group)
-            else:
-                out.append((i, near))
-                joined = group + joined
-        groups = [*apart, joined]
-    return out
-
-
-def similar_links(docs: DataFrame, texts: DataFrame, size: int, radius: int, parts: int, similarity: float) -> DataFrame:
-    """Links (a, b) between ties whose texts have a Jaccard similarity of ``similarity`` at least, by runs of ``size`` words.
-
-    ``texts`` has a row (tie, first, fp, bands) for each distinct text, ``docs`` the rows (doc_id, tie, text). Texts are compared when their
-    fingerprints are equal or within the radius, or when they share a band. Buckets of common size are joined into distinct pairs; crowded ones
-    are cut into blocks, and a pair of blocks returns a forest of links. No link is made without comparing the whole sets of both texts.
-    """
-    heads = cut_lineage(texts.groupBy("fp").agg(F.min("tie").alias("head")))
-    near = links(heads.select("fp"), radius, parts)
-    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
-    same = texts.join(heads, "fp").select(F.col("tie").alias("x"), F.col("head").alias("y"))
-    buckets = texts.select("tie", F.explode("bands").alias("key"))
-    sizes = cut_lineage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = cut_lineage(buckets.join(sizes, "key"))
-    usual = shared.where(F.col("n") <= CROWDED).select("key", "tie")
-    usual = usual.withColumnRenamed("tie", "x").join(usual.withColumnRenamed("tie", "y"), "key").where("x < y").select("x", "y")
-    pairs = near.select("x", "y").union(same).union(usual).where("x <> y")
-    pairs = cut_lineage(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    crowded = shared.where(F.col("n") > CROWDED).withColumn("blocks", F.ceil(F.col("n") / NEAR_BLOCK))
-
-    wanted = pairs.select(F.col("x").alias("tie")).union(pairs.select("y")).union(crowded.select("tie")).distinct()
-    wanted = texts.join(wanted, "tie", "left_semi").select("tie", F.col("first.doc_id").alias("__id"))
-    chosen = docs.join(wanted, "tie").where(F.col("doc_id").eqNullSafe(F.col("__id")))
-    sets = cut_lineage(map_texts(chosen, ["tie"], "text", [("shingles", "binary")], lambda: lambda found: [[shingles(t, size).tobytes() for t in found]])
-                       .dropDuplicates(["tie"]))
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(a, b)], dtype=float)
-
-    both = pairs.join(sets.select(F.col("tie").alias("x"), F.col("shingles").alias("of_x")), "x").join(
-        sets.select(F.col("tie").alias("y"), F.col("shingles").alias("of_y")), "y")
-    usual = both.where(alike("of_x", "of_y") >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    # A task has the texts of two blocks and finds the links inside them too; one block alone is its own cell.
-    block = F.expr("pmod(xxhash64(tie), blocks)")
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: (o != F.col("block")) | (F.col("blocks") == 1))
-    cells = crowded.withColumn("block", block).select("key", "tie", "block", F.explode(others).alias("other"))
-    cells = cells.select("key", "tie", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).join(sets, "tie")
-
-    def forest(rows: pd.DataFrame) -> pd.DataFrame:
-        ties = rows["tie"].to_numpy()
-        found = np.array(similar_forest([np.frombuffer(x, "<u8") for x in rows["shingles"]], similarity), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": ties[found[:, 0]], "b": ties[found[:, 1]]})
-
-    return usual.union(cells.groupBy("key", "i", "j").applyInPandas(forest, "a long, b long"))
-
-
-def one_per_similar_group(docs: DataFrame, size: int = 5, radius: int = 7, parts: int = 4, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that have the smallest (doc_id, hash of the text) among texts linked by :func:`similar_links`; null ids are the largest.
-
-    Equal texts are one text, and so are null and empty ones. One row of equal ones stays.
-    """
-    tie = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select("doc_id", tie.alias("tie"), "text")
-    prints = map_texts(rows, ["doc_id", "tie"], "text", [("fp", "bigint"), ("bands", "array<bigint>")], lambda: lambda texts: [
-        [simhash(t, size) for t in texts], [bands(shingles(t, size)) for t in texts]])
-    texts = cut_lineage(cut_lineage(prints).groupBy("tie").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")))
-    linked = components(similar_links(rows, texts, size, radius, parts, similarity)).withColumnRenamed("node", "tie")
-    kept = texts.join(linked, "tie", "left").groupBy(F.coalesce("root", "tie").alias("group")).agg(F.min(F.struct("first", "tie")).alias("least"))
-    kept = kept.select(F.col("least.first.doc_id").alias("__id"), F.col("least.tie").alias("__tie"))
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (tie == F.col("__tie")), "left_semi")
-    return stay.withColumn("__tie", tie).dropDuplicates(["doc_id", "__tie"]).drop("__tie")
-
-
 @query("op1_simhash")
 def op1_simhash(spark, folder):
     """doc_id, fingerprint and component of every document, by three-word shingles and three bits.
