@@ -105,6 +105,49 @@ SEARCH_SPACES = {
     "linear_svm": {"regParam": [10.0, 1.0, 0.1, 0.01]},
 }
 
+# Declared search spaces of six kinds of models, by the names that the builders of models/search.py take. A depth without a limit is the largest one
+# given here; settings that the models here do not have (rows needed to split, leaves, absolute penalties, other kernels) are left out.
+SETTING_SPACES = {
+    "random_forest": {
+        "trees": [100, 200, 300],
+        "depth": [10, 20, 30],
+        "least": [1, 2, 4],
+        "features": ["sqrt", "log2"],
+        "weights": ["balanced", None],
+    },
+    "boosted_trees": {
+        "rounds": [100, 200, 300],
+        "depth": [3, 5, 7, 9],
+        "rate": [0.01, 0.05, 0.1],
+        "rows": [0.7, 0.8, 0.9, 1.0],
+        "columns": [0.7, 0.8, 0.9, 1.0],
+        "l2": [0.0, 0.1, 1.0],
+    },
+    "boosted_leaves": {
+        "rounds": [100, 200, 300],
+        "depth": [5, 7, 10],
+        "rate": [0.01, 0.05, 0.1],
+        "rows": [0.7, 0.8, 0.9, 1.0],
+        "columns": [0.7, 0.8, 0.9, 1.0],
+    },
+    "symmetric_trees": {
+        "rounds": [100, 200, 300],
+        "depth": [4, 6, 8, 10],
+        "rate": [0.01, 0.05, 0.1],
+        "l2": [1.0, 3.0, 5.0, 7.0],
+    },
+    "gradient_boosting": {
+        "rounds": [50, 100, 200, 300],
+        "rate": [0.01, 0.05, 0.1, 0.2],
+        "depth": [3, 5, 7, 10],
+        "rows": [0.6, 0.8, 1.0],
+    },
+    "kernel_svm": {
+        "penalty": [10.0, 1.0, 0.1, 0.01],
+        "gamma": ["scale", "auto", 0.001, 0.01, 0.1, 1.0],
+    },
+}
+
 
 def label_to_category(categories: dict[str, list[str]]) -> dict[str, str]:
     return {label: category for category, labels in categories.items() for label in labels}

@@ -339,6 +339,10 @@ class BoostingModel:
         self.edges, self.start, self.rounds, self.classes, self.history = edges, start, rounds, classes, history
         self._shared = None
 
+    def first(self, rounds: int) -> "BoostingModel":
+        """The model as it was after this many rounds: draws depend on the round only, so a fit of that many gives the same one."""
+        return BoostingModel(self.edges, self.start, self.rounds[:rounds], self.classes, self.history[:rounds])
+
     def trees_used(self) -> int:
         """Rounds kept."""
         return len(self.rounds)
