@@ -241,3 +241,39 @@ def test_repeated_sensor_ids_do_not_multiply_rows(spark, tmp_path):
     (tmp_path / "w.csv").write_text(",".join(names) + "\n" + rows)
     prepared = experiments.prepare_wsn(spark, str(tmp_path / "w.csv"))
     assert prepared.data.count() == 60 == prepared.data.select("key").distinct().count()
+
+
+def test_headers_come_from_one_job_that_reads_the_starts(spark, tmp_path):
+    from tidewatch.sources import readers
+
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    for i in range(60):
+        (folder / f"f {i}.csv").write_text(f'"a, {i % 3}",b\n' if i else "\n  \n" * 40 + "x,y\n1,2\n")
+    (folder / "blank.csv").write_text("\n \n")
+    (folder / "other.txt").write_text("no,csv\n")
+    (folder / "long.csv").write_text("p,q\n" + "1,2\n" * 400_000)
+    context = spark.sparkContext
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    context.setJobGroup("headers", "headers")
+    try:
+        found = readers.csv_headers(spark, str(folder))
+        jobs = context.statusTracker().getJobIdsForGroup("headers")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    headers = {p.rsplit("/", 1)[1]: (h, problem) for p, h, problem in found}
+    assert len(jobs) == 1 and len(found) == 62
+    assert headers["blank.csv"] == (None, "empty") and headers["f 0.csv"] == (("x", "y"), "") and headers["f 7.csv"] == (("a, 1", "b"), "")
+    assert headers["long.csv"] == (("p", "q"), "")
+    assert before == {k: spark.conf.get(k) for k in before}
+    whole = readers.read_csv_folder(spark, str(folder), default_type="string")
+    assert whole.count() == 400_001 and set(whole.columns) == {"a,_0", "a,_1", "a,_2", "b", "x", "y", "p", "q"}
+
+
+def test_a_file_that_cannot_be_read_is_an_error(spark, tmp_path):
+    from tidewatch.sources import readers
+
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv.gz").write_bytes(b"\x1f\x8b\x08\x00broken")
+    with pytest.raises(Exception):
+        readers.csv_headers(spark, str(tmp_path), "*.csv*")

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch import fixed_values as fixed
-from tidewatch.models import classifiers, ensembles, inspect, training
+from tidewatch.models import classifiers, ensembles, inspect, search, training
 from tidewatch.models.kernel_svm import KernelClassifier
 from tidewatch.models.saved import Scorer
 from tidewatch.operators import metrics, select, splits
@@ -296,15 +296,26 @@ def cross_validation(spark, folder):
     return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("tested")).join(scores, "fold")
 
 
-@query("parameter_search")
+#: Settings drawn for the registered search, folds, and the least rows of a sample.
+SEARCH_DRAWS, SEARCH_FOLDS, SEARCH_LEAST = 9, 2, 500
+
+
+@query("parameter_search", f"""
+    WITH t AS (SELECT target, count(*) AS n FROM ({split_sql(_WSN_BINARY, 'id', 'target')}) WHERE split = 'train' GROUP BY target),
+    r AS (SELECT * FROM (VALUES (0, {SEARCH_DRAWS}, 3), (1, 3, 1)) AS v(rung, settings, part)),
+    s AS (SELECT rung, settings, least(1.0::double, greatest(1.0::double / part, {SEARCH_LEAST}.0::double / (SELECT sum(n) FROM t))) AS share FROM r)
+    SELECT rung, settings, cast(sum(round_even(share * n, 0)) AS bigint) AS sampled, true AS sound, true AS learnt FROM s, t GROUP BY rung, settings""")
 def parameter_search(spark, folder):
-    """Two random settings of the forest's search space, shallow enough for a check."""
-    _, scaled = wsn_rows(spark, folder)
-    rows = splits.folds(scaled.part("train"), "key", "label", 2)
-    estimator = classifiers.random_forest(5, 5)
-    space = {k: v for k, v in fixed.SEARCH_SPACES["random_forest"].items() if k in ("minInstancesPerNode", "featureSubsetStrategy")}
-    _, tried = training.search(estimator, training.parameter_grid(estimator, space, draws=2), rows, "fold", 2)
-    return spark.createDataFrame([(str(sorted(s.items())), float(m)) for s, m in tried], "setting string, f1 double")
+    """Halving over settings drawn from the whole space of the forest: what each rung tried, and whether its best beats the largest class."""
+    prepared, scaled = wsn_rows(spark, folder)
+    train = cut_lineage(scaled.part("train"))
+    found = search.halving_search(
+        "random_forest", search.settings_of("random_forest", SEARCH_DRAWS), train, 2, len(prepared.features), folds=SEARCH_FOLDS, least=SEARCH_LEAST)
+    share = F.max("n") / F.sum("n")
+    largest = train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(2 * share * share / (1 + share)).first()[0]
+    rungs = found.table(spark).groupBy("rung").agg(
+        F.count(F.lit(1)).cast("int").alias("settings"), F.max("sampled").alias("sampled"), F.bool_and(F.col("f1").between(0, 1)).alias("sound"), F.max("f1").alias("best"))
+    return rungs.select("rung", "settings", "sampled", "sound", (F.col("best") > largest).alias("learnt"))
 
 
 @query("forest_importance")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from csv import reader as csv_fields
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,10 @@ from tidewatch.operators import splits
 from tidewatch.session import cut_lineage
 from tidewatch.sources.columns import clean_name, clean_names, keep_first_names, rename_variants
 
-HEADER_THREADS = 16
+#: A scan for headers takes a file below this size as one task's work, whatever the session's settings.
+WHOLE_FILE = 1 << 44
+#: Lines that such a task reads at once; it ends with the first one that is not blank.
+HEADER_LINES = 16
 
 
 def nsl_kdd_schema() -> T.StructType:
@@ -40,24 +44,32 @@ def read_csv(spark: SparkSession, path: str, schema=None, encoding: str = "UTF-8
     return (scan.schema(schema) if schema else scan.option("inferSchema", True)).csv(path)
 
 
-def _csv_paths(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return sorted(r.path for r in listing.select("path").collect())
-
-
-def _header(spark: SparkSession, path: str, encoding: str) -> tuple[str, tuple[str, ...] | None, str]:
-    """(path, header, problem); a file without a header has none."""
-    try:
-        first = spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="").head()
-        return (path, tuple(next(csv_fields([first[0]]))), "") if first and first[0] else (path, None, "empty")
-    except Exception as problem:  # noqa: BLE001 - reported, and the other files are still wanted
-        return path, None, f"{type(problem).__name__}: {str(problem).splitlines()[0]}"
+def _first_lines(batches):
+    """The path of the task's file and its first line that is not blank; reading ends there."""
+    path = header = None
+    for batch in batches:
+        if header is None and batch.num_rows:
+            path = batch.column("path")[0].as_py()
+            header = next((line for line in batch.column("line").to_pylist() if line.strip()), None)
+        if header is not None:
+            break
+    if path is not None:
+        yield pa.RecordBatch.from_pydict({"path": [path], "header": pa.array([header], pa.string())})
 
 
 def csv_headers(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> list[tuple[str, tuple[str, ...] | None, str]]:
-    """(path, header, problem) of every matching file; only the start of a file is read."""
-    with ThreadPoolExecutor(HEADER_THREADS) as pool:
-        return list(pool.map(lambda p: _header(spark, p, encoding), _csv_paths(spark, folder, pattern)))
+    """(path, header, problem) of every matching file, from one job with a task per file that reads its start only.
+
+    A file of blank lines has no header. A file that cannot be read is an error, as it may be readable the next time.
+    """
+    scan = spark.newSession()  # settings of its own, so that the caller's stay as they are
+    scan.conf.set("spark.sql.files.maxPartitionBytes", WHOLE_FILE)
+    scan.conf.set("spark.sql.files.openCostInBytes", WHOLE_FILE)
+    scan.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", HEADER_LINES)
+    lines = scan.read.option("pathGlobFilter", pattern).option("encoding", encoding).text(folder)
+    firsts = lines.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).mapInArrow(_first_lines, "path string, header string")
+    found = sorted((unquote(r.path), r.header) for r in firsts.collect())
+    return [(path, tuple(next(csv_fields([line]))), "") if line else (path, None, "empty") for path, line in found]
 
 
 def skipped_files(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "UTF-8") -> DataFrame:
@@ -79,9 +91,9 @@ def read_csv_folder(
     """Every matching file, combined by cleaned column name; a column a file lacks is null there.
 
     Files are grouped by header so that each group is one scan. With ``types`` or
-    ``default_type`` nothing is inferred and the data is read once. Empty and
-    unreadable files are left out and named by ``skipped_files``; rows that do not
-    fit give nulls. ``sample_frac`` keeps exactly that share of each file.
+    ``default_type`` nothing is inferred and the data is read once. Files without a
+    header are left out and named by ``skipped_files``; a file that cannot be read is
+    an error; rows that do not fit give nulls. ``sample_frac`` keeps exactly that share of each file.
     """
     groups: dict[tuple[str, ...], list[str]] = {}
     for path, header, _ in csv_headers(spark, folder, pattern, encoding):
