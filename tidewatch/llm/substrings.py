@@ -14,12 +14,41 @@ from tidewatch.session import cut_lineage
 
 #: A run starts or ends at any sentence and takes the fewest sentences that reach both bounds.
 LEAST_SENTENCES, LEAST_WORDS = 2, 15
-_SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
+# Marks that end a sentence, and letters of scripts written without spaces.
+ENDS = ".!?\n。！？｡؟।॥"
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+#: A sentence of more words than this is cut on, after each word where the hash of it and the word before is divisible by ``CUT_EVERY``.
+LONG_SENTENCE, CUT_EVERY = 24, 8
+_SENTENCE = re.compile(f"[^{ENDS}]*[{ENDS}]+|[^{ENDS}]+")
+_WORD = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
+
+
+def n_words(text: str) -> int:
+    """Words between white space; of scripts without spaces each letter is one."""
+    return len(text.split()) if text.isascii() else len(_WORD.findall(text))
 
 
 def sentences(text: str | None) -> list[str]:
-    """A text cut after each run of sentence ends and line ends; the pieces together are the text."""
-    return _SENTENCE.findall(text or "")
+    """A text cut after each run of sentence ends and line ends; the pieces together are the text.
+
+    Long sentences are cut on at places that depend on the two words there only, in small letters. A passage inside one is therefore cut alike wherever it
+    stands, and equal sentences are always cut alike.
+    """
+    out = []
+    for sentence in _SENTENCE.findall(text or ""):
+        if n_words(sentence) <= LONG_SENTENCE:
+            out.append(sentence)
+            continue
+        before, start, due = "", 0, False
+        for word in _WORD.finditer(sentence):
+            if due:
+                out.append(sentence[start:word.start()])
+                start = word.start()
+            now = word[0].lower()
+            due = xxhash.xxh3_64_intdigest(f"{before} {now}".encode("utf-8", "surrogatepass")) % CUT_EVERY == 0
+            before = now
+        out.append(sentence[start:])
+    return out
 
 
 def runs(text: str | None, least_sentences: int, least_words: int, ends: bool = False) -> list[tuple[bytes, int, int]]:
@@ -30,7 +59,7 @@ def runs(text: str | None, least_sentences: int, least_words: int, ends: bool =
     """
     pieces = [(i, words) for i, words in enumerate(s.lower().split() for s in sentences(text)) if words]
     lines = [" ".join(words).encode("utf-8", "surrogatepass") for _, words in pieces]
-    sizes = [len(words) for _, words in pieces]
+    sizes = [len(words) if line.isascii() else n_words(line.decode("utf-8", "surrogatepass")) for (_, words), line in zip(pieces, lines)]
     digest = lambda a, b: (xxhash.xxh3_128_digest(b"\n".join(lines[a:b + 1])), pieces[a][0], pieces[b][0])
     out, closed, end, held = [], set(), 0, 0
     for start in range(len(pieces)):
