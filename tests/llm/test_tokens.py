@@ -1,8 +1,11 @@
+import glob
+import os
+
 import numpy as np
 import pytest
 
 from tidewatch.llm import tokens
-from tidewatch.session import scratch_path
+from tidewatch.session import scratch_path, shared_folder
 
 from .conftest import EDGE
 
@@ -26,6 +29,27 @@ def encoding():
         return tokens._encoding(f.read())
 
 
+@pytest.mark.parametrize("size", [1, 191, 192, 193, 300, 16_320, 16_321, 50_257, 65_536])
+def test_ids_come_back_from_their_bytes(size):
+    draw = np.random.default_rng(size)
+    order, ids = draw.permutation(size).astype("<u2"), np.concatenate([np.arange(size), draw.integers(0, size, 1000)]).astype("<u2")
+    leads, tails, more = tokens._bytes_of(order)(ids)
+    assert len(leads) == len(ids) and more.sum() == len(tails) and (tokens._ids_of(order, leads, tails) == ids).all()
+    assert (tokens._bytes_of(order)(order)[2] == [(place >= 192) + (place >= 16_320) for place in range(size)]).all()
+
+
+def test_ids_are_stored_and_travel_in_less_than_a_byte(spark, folder, monkeypatch):
+    docs, packs, real = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), [], tokens._packs
+    monkeypatch.setattr(tokens, "_packs", lambda *a: packs.append(real(*a)) or packs[-1])
+    monkeypatch.setattr(tokens, "scratch_path", lambda spark, name: scratch_path(spark, f"test-{name}"))
+    before = set(glob.glob(f"{shared_folder(spark)}/tidewatch/test-token-ids-*"))
+    path = scratch_path(spark, "test-shards")
+    n_ids = tokens.read_shards(spark, path, tokens.write_shards(docs, path)).agg({"count": "sum"}).first()[0]
+    (stored,) = set(glob.glob(f"{shared_folder(spark)}/tidewatch/test-token-ids-*")) - before
+    moved = sum(len(x) for r in packs[0].collect() for x in r if isinstance(x, (bytes, bytearray)))
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{stored}/*.parquet")) < n_ids and moved < n_ids
+
+
 def test_long_texts_are_cut_where_ids_do_not_change():
     text = " ".join(["a\n b  c", "döner", "  ", "x\ty", " q"] * 50)
     assert list(tokens.encoded(encoding(), text, 7)) == encoding().encode_ordinary(text)

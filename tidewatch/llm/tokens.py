@@ -9,6 +9,7 @@ import os
 import re
 import uuid
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.registry import query, table
-from tidewatch.operators.prefix import running_totals
 from tidewatch.session import cut_lineage, scratch_path
 
 #: Byte-level vocabulary as ranks; the id after the last rank is free and ends a document.
@@ -34,11 +34,16 @@ ROUNDS = 6
 HELD, WRITTEN = 32_768, 2_000
 #: Texts that a task encodes, or cuts into records, at a time; and how hard stored ids and packed records are compressed.
 ROWS, ZSTD = 500, 9
+#: So many of the most frequent ids take one byte where ids are stored or travel. Their order is counted on the first characters of the first rows
+#: of each task and of every so many further ones; it decides how many bytes an id takes and nothing else.
+NEAR, FIRST_ROWS, EVERY_ROWS, COUNTED_CHARS = 192, 64, 256, 2_000
 #: Set in the count of a record whose document has no id.
 NO_ID = 1 << 31
 #: Before the ids: slot, doc_id, chunk and count; after them two zero bytes.
 HEADER = [("slot", "<i8"), ("doc_id", "<i8"), ("chunk", "<u4"), ("count", "<u4")]
 END = "\0\0"
+#: What travels of a record beside its ids: its place in the shard and the numbers after the slot.
+TRAVELLING = np.dtype([("at", "<u4"), *HEADER[1:]])
 
 
 def record_type(length: int) -> np.dtype:
@@ -98,8 +103,79 @@ def encoded(encoding: tiktoken.Encoding, text: str, block: int = 1 << 20) -> arr
     return out
 
 
-def _stored_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """A stored table (pid, pos, doc_id, tie, n_ids, ids): the ids of each text and one closing id, by task and place in the task.
+def _frequent_first(docs: DataFrame, sent, last_id: int) -> np.ndarray:
+    """All ids, the frequent ones first, by their counts in some texts; ids without a count follow by number."""
+
+    def run(batches):
+        encoding, n = _encoding(sent.value), np.zeros(last_id + 1, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                n += np.bincount(encoded(encoding, text), minlength=last_id + 1)
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], ["id", "n"])
+
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    heads = docs.select("text", place.alias("place")).where(f"(place < {FIRST_ROWS} OR place % {EVERY_ROWS} = 0) AND text <> ''")
+    counted = heads.select(F.substring("text", 1, COUNTED_CHARS)).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    n = np.zeros(last_id + 1, np.int64)
+    n[[r.id for r in counted]] = [r.n for r in counted]
+    n[last_id] += 1
+    return np.argsort(-n, kind="stable").astype("<u2")
+
+
+def _bytes_of(order: np.ndarray) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """From ids to (leads, tails, sizes): a byte for each id, the further bytes of the less frequent ones, and how many those are for each id.
+
+    The place of an id in ``order`` is its lead if below ``NEAR``. Leads up to 254 give the high part of the place and the tail is its low byte;
+    after lead 255 the tail is the low byte and the high part.
+    """
+    lead, low, high = (np.zeros(1 << 16, np.uint8) for _ in range(3))
+    places = np.arange(len(order))
+    far = np.maximum(places - NEAR, 0)
+    lead[order] = np.where(places < NEAR, places, np.minimum(NEAR + (far >> 8), 255))
+    low[order], high[order] = far & 255, far >> 8
+    n_more = (lead >= NEAR).astype(np.uint8) + (lead == 255)
+
+    def run(ids):
+        sizes = n_more[ids]
+        less = ids[sizes > 0]
+        return lead[ids], np.stack([low[less], high[less]], 1)[n_more[less][:, None] > np.arange(2)], sizes
+
+    return run
+
+
+def _ids_of(order: np.ndarray, leads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """The ids that :func:`_bytes_of` turned into these bytes."""
+    ids = np.resize(order, 256)[leads]
+    at = np.flatnonzero(leads >= NEAR)
+    two = leads[at] == 255
+    starts = np.cumsum(1 + two) - (1 + two)
+    high = leads[at].astype(np.int64) - NEAR
+    high[two] = tails[starts[two] + 1]
+    ids[at] = order[NEAR + (high << 8) + tails[starts]]
+    return ids
+
+
+def _likeness(leads: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The mean lead of each piece: pieces in one language have similar ones, and are compressed better side by side."""
+    return np.add.reduceat(leads, starts, dtype=np.int64) / sizes
+
+
+def _binaries(content: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive pieces of some bytes as a binary column."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(content))])
+
+
+def _content(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column without nulls."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0]: ends[-1]]
+
+
+def _stored_ids(docs: DataFrame, vocabulary: str) -> tuple[DataFrame, np.ndarray]:
+    """A stored table (pid, pos, doc_id, tie, n_ids, leads, tails): the ids of each text and one closing id, by task and place in the task; and the order
+    of ids that their bytes refer to.
 
     Texts are encoded once; whatever follows reads this table. It is bucketed by ``pid``, so that joining by it moves no ids.
     """
@@ -112,9 +188,11 @@ def _stored_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
     if last_id >= 1 << 16:
         raise ValueError("ids are written in two bytes")
     sent = spark.sparkContext.broadcast(content)
+    order = _frequent_first(docs, sent, last_id)
+    ordered = spark.sparkContext.broadcast(order)
 
     def run(batches):
-        encoding, pid, pos = _encoding(sent.value), TaskContext.get().partitionId(), 0
+        encoding, bytes_of, pid, pos = _encoding(sent.value), _bytes_of(ordered.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
@@ -122,79 +200,103 @@ def _stored_ids(docs: DataFrame, vocabulary: str) -> DataFrame:
                 for ids in found:
                     ids.append(last_id)
                 n, sizes = part.num_rows, np.fromiter(map(len, found), np.int64, len(found))
-                ends = np.concatenate([[0], np.cumsum(2 * sizes)]).astype(np.int32)
-                ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(found))])
+                leads, tails, more = bytes_of(np.frombuffer(b"".join(found), "<u2"))
+                starts = np.cumsum(sizes) - sizes
+                more = np.add.reduceat(more, starts, dtype=np.int64)
                 places = np.arange(pos, pos + n)
                 pos += n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, pid, np.int32)), pa.array(places), part.column("doc_id"), part.column("tie"), pa.array(sizes), ids],
-                    ["pid", "pos", "doc_id", "tie", "n_ids", "ids"])
+                whole = pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, pid, np.int32)), pa.array(places), part.column("doc_id"), part.column("tie"), pa.array(sizes),
+                     _binaries(leads, sizes), _binaries(tails, more)],
+                    ["pid", "pos", "doc_id", "tie", "n_ids", "leads", "tails"])
+                yield whole.take(pa.array(np.argsort(_likeness(leads, starts, sizes), kind="stable")))
 
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie.alias("tie"))
-    stored = rows.mapInArrow(run, "pid int, pos long, doc_id long, tie long, n_ids long, ids binary")
+    stored = rows.mapInArrow(run, "pid int, pos long, doc_id long, tie long, n_ids long, leads binary, tails binary")
     name, buckets = f"tidewatch_ids_{uuid.uuid4().hex}", max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     stored.write.bucketBy(buckets, "pid").option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(ZSTD)).option(
         "path", scratch_path(spark, "token-ids")).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), order
 
 
 def _numbered(stored: DataFrame, length: int) -> tuple[DataFrame, int]:
     """(pid, firsts) and the number of all sequences: the dense number of the first sequence of each row of a task, by place.
 
-    Documents are numbered by (doc_id, hash of the text), null ids last, over value ranges; equal rows follow each other there, in any order,
-    since they are equal.
+    Documents are numbered by (doc_id, hash of the text), null ids last, over value ranges; equal rows follow each other by task and place, which
+    spreads many of them over ranges. A range adds up its own counts while it is stored; what lies before it is a number a range.
     """
-    rows = stored.select("pid", "pos", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie").alias("at"),
-                         F.ceil(F.col("n_ids") / length).alias("n"))
-    in_task = Window.partitionBy("pid", "at").orderBy("pos")
-    rows = rows.withColumn("k", F.row_number().over(in_task) - 1)
-    per_task = rows.groupBy("at", "pid").agg(F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
-    before = Window.partitionBy("at").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    per_task = cut_lineage(per_task.withColumn("earlier", F.coalesce(F.sum("copies").over(before), F.lit(0))))
-    groups = per_task.groupBy("at").agg(F.sum(F.col("copies") * F.col("n")).alias("total"))
-    starts = cut_lineage(running_totals(groups, [], "at", ["total"]))
-    size = starts.agg(F.max(F.col("total_before") + F.col("total"))).first()[0] or 0
-    starts = per_task.join(starts.select("at", "total_before"), "at").select("pid", "at", "earlier", "total_before")
-    firsts = rows.join(starts, ["pid", "at"]).select("pid", "pos", (F.col("total_before") + (F.col("earlier") + F.col("k")) * F.col("n")).alias("first"))
+    at = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("tie"), F.col("pid"), F.col("pos")]
+    rows = stored.select("pid", "pos", "doc_id", "tie", F.ceil(F.col("n_ids") / length).alias("n"))
+
+    def run(batches):
+        part, total = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            before = total + np.cumsum(n) - n
+            total += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("pid"), batch.column("pos"), pa.array(np.full(len(n), part, np.int32)), pa.array(before), batch.column("n")],
+                ["pid", "pos", "part", "before", "n"])
+
+    ranged = rows.repartitionByRange(*at).sortWithinPartitions(*at).select("pid", "pos", "n")
+    ranged = cut_lineage(ranged.mapInArrow(run, "pid int, pos long, part int, before long, n long"))
+    totals = ranged.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("total"))
+    # One row per range.
+    ends = cut_lineage(totals.withColumn("end", F.sum("total").over(Window.partitionBy(F.lit(0)).orderBy("part"))))
+    size = ends.agg(F.max("end")).first()[0] or 0
+    firsts = ranged.join(ends, "part").select("pid", "pos", (F.col("end") - F.col("total") + F.col("before")).alias("first"))
     return firsts.groupBy("pid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "first"))), lambda x: x["first"]).alias("firsts")), size
 
 
-def _packs(rows: DataFrame, size: int, per_shard: int, length: int, key: int) -> DataFrame:
-    """(shard, records): finished records of (doc_id, ids, first), packed by shard and compressed, a bounded number of them at a time."""
+def _packs(rows: DataFrame, size: int, per_shard: int, length: int, key: int, ordered) -> DataFrame:
+    """(shard, heads, leads, tails): records of (doc_id, leads, tails, n_ids, first) without what fills them up, packed by shard and compressed, a bounded
+    number of them at a time."""
     kind = record_type(length)
 
     def finished(part):
-        """The records of some rows, all at once."""
-        ends = np.frombuffer(part.column("ids").buffers()[1], np.int32)[part.column("ids").offset:][: part.num_rows + 1] // 2
-        ids = np.frombuffer(part.column("ids").buffers()[2], "<u2")[ends[0]: ends[-1]]
-        sizes = np.diff(ends).astype(np.int64)
+        """The records of some rows, all at once, and their likeness."""
+        leads = _content(part.column("leads"))
+        ids = _ids_of(ordered.value, leads, _content(part.column("tails")))
+        sizes = part.column("n_ids").to_numpy()
         counts = -(-sizes // length)
         starts = np.cumsum(counts) - counts
         records = np.zeros(int(counts.sum()), kind)
-        whole = np.full(len(records) * length, ids[-1], "<u2")
-        whole[np.repeat(starts * length - (ends[:-1] - ends[0]), sizes) + np.arange(len(ids))] = ids
+        whole, first_ids = np.zeros(len(records) * length, "<u2"), np.cumsum(sizes) - sizes
+        whole[np.repeat(starts * length - first_ids, sizes) + np.arange(len(ids))] = ids
         chunks = np.arange(len(records)) - np.repeat(starts, counts)
         unknown = part.column("doc_id").is_null().to_numpy(zero_copy_only=False)
         docs = part.column("doc_id").fill_null(0).to_numpy()
         firsts = part.column("first").to_numpy()
         records["slot"], records["chunk"], records["doc_id"] = permuted(np.repeat(firsts, counts) + chunks, size, key), chunks, np.repeat(docs, counts)
-        records["count"] = np.minimum(np.repeat(sizes, counts) - length * chunks, length) + np.where(np.repeat(unknown, counts), NO_ID, 0)
+        n_ids = np.minimum(np.repeat(sizes, counts) - length * chunks, length)
+        records["count"] = n_ids + np.where(np.repeat(unknown, counts), NO_ID, 0)
         records["ids"] = whole.reshape(-1, length)
-        return records
+        return records, _likeness(leads, np.repeat(first_ids, counts) + length * chunks, n_ids)
 
     def run(batches):
-        press, held, n = zstandard.ZstdCompressor(level=ZSTD), [], 0
+        press, bytes_of, held, n = zstandard.ZstdCompressor(level=ZSTD), _bytes_of(ordered.value), [], 0
 
         def packed():
-            records = np.concatenate(held)
+            records, like = map(np.concatenate, zip(*held))
+            records = records[np.lexsort([like, records["slot"] // per_shard])]
             which = records["slot"] // per_shard
-            order = np.argsort(which, kind="stable")
-            cuts = np.flatnonzero(np.diff(which[order])) + 1
-            parts = np.split(order, cuts)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(which)) + 1])
+            heads = np.empty(len(records), TRAVELLING)
+            heads["at"] = records["slot"] - which * per_shard
+            for name, _ in HEADER[1:]:
+                heads[name] = records[name]
+            sizes = (records["count"] & (NO_ID - 1)).astype(np.int64)
+            leads, tails, more = bytes_of(records["ids"][np.arange(length) < sizes[:, None]])
+            more = np.add.reduceat(more, np.cumsum(sizes) - sizes, dtype=np.int64)
+
+            def pressed(content, sizes):
+                ends = np.concatenate([[0], np.cumsum(np.add.reduceat(sizes, cuts))])
+                return pa.array([press.compress(np.ascontiguousarray(content[a:b]).tobytes()) for a, b in zip(ends, ends[1:])], pa.binary())
+
             return pa.RecordBatch.from_arrays(
-                [pa.array([int(which[p[0]]) for p in parts], pa.int32()), pa.array([press.compress(records[p].tobytes()) for p in parts], pa.binary())],
-                ["shard", "records"])
+                [pa.array(which[cuts].astype(np.int32)), pressed(heads, np.ones(len(heads), np.int64)), pressed(leads, sizes), pressed(tails, more)],
+                ["shard", "heads", "leads", "tails"])
 
         for batch in batches:
             start = 0
@@ -202,14 +304,14 @@ def _packs(rows: DataFrame, size: int, per_shard: int, length: int, key: int) ->
                 part = batch.slice(start, ROWS)
                 start += ROWS
                 held.append(finished(part))
-                n += len(held[-1])
+                n += len(held[-1][0])
                 if n >= HELD:
                     yield packed()
                     held, n = [], 0
         if n:
             yield packed()
 
-    return rows.select("doc_id", "ids", "first").mapInArrow(run, "shard int, records binary")
+    return rows.select("doc_id", "leads", "tails", "n_ids", "first").mapInArrow(run, "shard int, heads binary, leads binary, tails binary")
 
 
 def write_shards(docs: DataFrame, path: str, length: int = LENGTH, key: int = KEY, vocabulary: str = VOCABULARY, shard_bytes: int = SHARD_BYTES) -> int:
@@ -221,37 +323,53 @@ def write_shards(docs: DataFrame, path: str, length: int = LENGTH, key: int = KE
     key, and repeated rows are spread like any others. Null ids come after all others before the permutation; null and empty texts are one
     sequence without text. An empty table writes no record.
 
-    Records travel packed and compressed, and each range of slots is put in place by one task, which fails if a slot is missing or taken twice. It writes
-    through Spark's own writer and commit, so a lost task leaves nothing behind and any store will do. A task holds one shard.
+    Ids are stored and travel in one to three bytes, frequent ids in one, compressed; what fills up a record does not travel. Each range of slots is
+    put in place by one task, which fails if a slot is missing or taken twice. It writes through Spark's own writer and commit, so a lost task leaves
+    nothing behind and any store will do. A task holds one shard.
     """
     kind, per_shard = record_type(length), max(1, shard_bytes // record_type(length).itemsize)
-    stored = _stored_ids(docs, vocabulary)
+    stored, order = _stored_ids(docs, vocabulary)
     firsts, size = _numbered(stored, length)
     if not size:
         docs.sparkSession.createDataFrame([], "value string").write.text(path)
         return per_shard
-    placed = stored.join(firsts.hint("shuffle_hash"), "pid").select("doc_id", "ids", F.get("firsts", F.col("pos").cast("int")).alias("first"))
+    placed = stored.join(firsts.hint("shuffle_hash"), "pid").select(
+        "doc_id", "leads", "tails", "n_ids", F.get("firsts", F.col("pos").cast("int")).alias("first"))
     shards = -(-size // per_shard)
+    ordered, closing = docs.sparkSession.sparkContext.broadcast(order), len(order) - 1
 
     def settle(batches):
-        press, whole, shard, seen = zstandard.ZstdDecompressor(), None, None, 0
+        press, whole, shard, seen, held, n = zstandard.ZstdDecompressor(), None, None, 0, [], 0
+
+        def put():
+            heads, leads, tails = (np.frombuffer(b"".join(x), k) for x, k in zip(zip(*held), (TRAVELLING, np.uint8, np.uint8)))
+            ids = np.full((len(heads), length), closing, "<u2")
+            ids[np.arange(length) < (heads["count"] & (NO_ID - 1))[:, None]] = _ids_of(ordered.value, leads, tails)
+            whole["ids"][heads["at"]], taken[heads["at"]] = ids, True
+            for name, _ in HEADER[1:]:
+                whole[name][heads["at"]] = heads[name]
+
         for batch in batches:
-            for number, packed in zip(batch.column("shard"), batch.column("records")):
+            for number, *packed in zip(*(batch.column(c) for c in ("shard", "heads", "leads", "tails"))):
                 if whole is None:
                     shard = number.as_py()
                     whole = np.zeros(min(per_shard, size - shard * per_shard), kind)
-                    taken = np.zeros(len(whole), bool)
-                records = np.frombuffer(press.decompress(packed.as_buffer()), kind)
-                at = (records["slot"] - shard * per_shard).astype(np.int64)
-                whole[at], taken[at] = records, True
-                seen += len(records)
+                    whole["slot"], taken = shard * per_shard + np.arange(len(whole)), np.zeros(len(whole), bool)
+                held.append([press.decompress(x.as_buffer()) for x in packed])
+                n += len(held[-1][0]) // TRAVELLING.itemsize
+                if n >= WRITTEN:
+                    put()
+                    held, seen, n = [], seen + n, 0
+        if n:
+            put()
+            seen += n
         if whole is not None:
             if seen != len(whole) or not taken.all():
                 raise ValueError(f"shard {shard}: {seen} records for {len(whole)} slots")
             for start in range(0, len(whole), WRITTEN):
                 yield pa.RecordBatch.from_arrays([pa.array([whole[start: start + WRITTEN].tobytes()[: -len(END)]], pa.binary())], ["value"])
 
-    ranged = _packs(placed, size, per_shard, length, key).repartitionById(shards, "shard")
+    ranged = _packs(placed, size, per_shard, length, key, ordered).repartitionById(shards, "shard")
     ranged.mapInArrow(settle, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", END).text(path)
     return per_shard
 
