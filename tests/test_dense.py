@@ -66,3 +66,22 @@ def test_it_learns_and_keeps_a_history(spark):
     path = scratch_path(spark, "dense")
     model.save(spark, path)
     assert sorted(DenseModel.load(spark, path).transform(df).select("key", "prediction").collect()) == sorted(model.transform(df).select("key", "prediction").collect())
+
+
+def test_an_epoch_is_a_few_jobs_however_many_steps_it_takes(spark):
+    context = spark.sparkContext
+    context.setJobGroup("dense", "dense")
+    try:
+        model = DenseNetwork([4, 8, 3], epochs=2, batch=10, rate=0.01).fit(frame(spark, 600))
+        jobs = context.statusTracker().getJobIdsForGroup("dense")
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 20 and len(model.history) == 2
+
+
+def test_a_batch_with_many_copies_is_taken_in_pieces(spark, monkeypatch):
+    df = frame(spark, 60).unionByName(frame(spark, 1).crossJoin(spark.range(300)).drop("id"))
+    whole = DenseNetwork([4, 8, 3], epochs=3, batch=40, rate=0.01).fit(df)
+    monkeypatch.setattr(dense, "ROWS_AT_ONCE", 7)
+    pieces = DenseNetwork([4, 8, 3], epochs=3, batch=40, rate=0.01).fit(df.repartition(6))
+    assert np.allclose(whole.flat, pieces.flat, atol=1e-9)
