@@ -188,6 +188,27 @@ def test_extra_trees_do_not_depend_on_layout_or_rounds(spark, monkeypatch):
     assert nodes(6) == whole and len(whole) > 40
 
 
+@pytest.mark.parametrize("width", [2, 7])
+def test_extra_trees_grown_by_tasks_alone_are_those_grown_by_levels(spark, monkeypatch, width):
+    from tidewatch.models import extra_trees
+
+    pick = np.random.default_rng(width)
+    x = np.round(pick.normal(size=(500, width)), 1)
+    x[:, 0] = 1.0
+    y = (x[:, 1] > 0.2).astype(int) + (pick.random(500) < 0.2)
+    df = spark.createDataFrame([(r.tolist(), int(c)) for r, c in zip(x, y)], "x array<double>, label int").select(array_to_vector("x").alias("features"), "label")
+    context = spark.sparkContext
+    context.setJobGroup("alone", "alone")
+    try:
+        alone = ExtraTrees(6, 9, 3).fit(df)
+        assert len(context.statusTracker().getJobIdsForGroup("alone")) < 18
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(extra_trees, "LOCAL_VALUES", 0)
+    levels = ExtraTrees(6, 9, 3).fit(df.repartition(4))
+    assert len(alone.nodes) > 100 and alone.nodes.equals(levels.nodes) and np.allclose(alone.importances, levels.importances)
+
+
 def test_extra_trees_equal_a_plain_version(spark, rows):
     from tidewatch.models import extra_trees
 
