@@ -94,6 +94,25 @@ def test_layout_and_way_of_adding_change_nothing(spark, monkeypatch):
     assert all((a.feature == b.feature).all() and (a.value == b.value).all() for a, b in zip(one.rounds, many.rounds))
 
 
+@pytest.mark.parametrize("classes,symmetric", [(2, False), (4, False), (4, True), (2, True)])
+def test_one_task_gives_the_trees_of_a_job_a_level(spark, monkeypatch, classes, symmetric):
+    x, y = sample(700, 11, classes)
+    x[:20, 1] = np.nan
+    df = frame(spark, x, y).withColumn("held", F.col("key") % 5 == 0)
+    settings = dict(rounds=8, depth=6, rate=0.4, bins=16, rows=0.8, columns=0.7, symmetric=symmetric, validation="held", patience=4)
+    context = spark.sparkContext
+    context.setJobGroup(f"alone {classes} {symmetric}", "alone")
+    try:
+        alone = HistogramBoosting(classes, **settings).fit(df)
+        assert len(context.statusTracker().getJobIdsForGroup(f"alone {classes} {symmetric}")) < 40
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(boosting, "LOCAL_BYTES", 0)
+    levels = HistogramBoosting(classes, **settings).fit(df.repartition(5))
+    assert len(alone.rounds) == len(levels.rounds) > 0 and alone.history == levels.history
+    assert all((a.feature == b.feature).all() and (a.bin == b.bin).all() and (a.value == b.value).all() for a, b in zip(alone.rounds, levels.rounds))
+
+
 def test_held_out_rows_choose_the_rounds_and_teach_nothing(spark):
     x, y = sample(600, 8, 2)
     noise = np.random.default_rng(1).integers(0, 2, 600)

@@ -198,10 +198,10 @@ def test_extra_trees_grown_by_tasks_alone_are_those_grown_by_levels(spark, monke
     y = (x[:, 1] > 0.2).astype(int) + (pick.random(500) < 0.2)
     df = spark.createDataFrame([(r.tolist(), int(c)) for r, c in zip(x, y)], "x array<double>, label int").select(array_to_vector("x").alias("features"), "label")
     context = spark.sparkContext
-    context.setJobGroup("alone", "alone")
+    context.setJobGroup(f"alone {width}", "alone")
     try:
         alone = ExtraTrees(6, 9, 3).fit(df)
-        assert len(context.statusTracker().getJobIdsForGroup("alone")) < 18
+        assert len(context.statusTracker().getJobIdsForGroup(f"alone {width}")) < 18
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
     monkeypatch.setattr(extra_trees, "LOCAL_VALUES", 0)

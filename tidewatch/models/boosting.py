@@ -4,12 +4,17 @@ Features are cut into bins once. Each level of a round's trees takes one aggrega
 derivatives of its rows per open node, feature and bin, and the driver picks the splits from the sums. What the driver and the tasks hold depends on
 nodes, features, bins and classes, never on rows. Derivatives are rounded to a fixed fraction and added as integers, so the same
 rows give the same trees in any order and any number of partitions.
+
+A binned table of up to ``LOCAL_BYTES`` goes to one task, which takes all rounds without a job for each level; its features are shared by as many threads as an
+executor has cores, and only the smaller child of a node is added up. Both ways give the same trees.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import pickle
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -20,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.prefix import running_totals
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, executor_cores
 
 # Settings of the run with raw categories.
 ROUNDS, DEPTH, RATE = 500, 8, 0.1
@@ -31,6 +36,8 @@ UNIT = 1 << 20
 STORED_EVERY = 10
 #: Rows x features that are worth a task of their own: every task returns sums of the same size.
 CELLS = 1 << 20
+#: What a task that takes all rounds may hold: per row a byte for each feature, its scores with their derivatives, and its place.
+LOCAL_BYTES = 640 << 20
 #: Sums of all tasks that the driver may add itself; beyond it they are added in Spark first.
 DRIVER_BYTES = 64 << 20
 
@@ -147,27 +154,44 @@ class HistogramBoosting:
         share = np.array([counts.get(c, 0) + 1.0 for c in range(self.classes)])
         start = np.log(share[1:] / share[:1]) if self.classes == 2 else np.log(share / share.sum())
         self.scores = len(start)
-        tasks = max(1, math.ceil(rows.count() * width / CELLS))
-        state = self._stored(self._binned(rows, edges, start).coalesce(tasks), [], width)
-        model = BoostingModel(edges, start, [], self.classes, [])
-        recent, best = [], None
+        total = rows.count()
+        binned_rows = self._binned(rows, edges, start)
+        if total * (width + 64 + 48 * self.scores) <= LOCAL_BYTES:
+            found, history = self._alone(cut_lineage(binned_rows), total, width)
+            return BoostingModel(edges, start, found, self.classes, history)
+        tasks = max(1, math.ceil(total * width / CELLS))
+        by_levels = _ByLevels(self, self._stored(binned_rows.coalesce(tasks), [], width), width)
+        try:
+            found, history = self._rounds(by_levels)
+        finally:
+            by_levels.state.unpersist()
+        return BoostingModel(edges, start, found, self.classes, history)
+
+    def _rounds(self, grower) -> tuple[list[Trees], list[tuple]]:
+        """The trees of the rounds kept, and the history; ``grower`` gives the trees of a round and how the model did before it, and adds them to the scores."""
+        model, best = BoostingModel([], np.zeros(self.scores), [], self.classes, []), None
         for number in range(self.rounds):
-            trees, seen = self._grow(state, recent, width, number)
+            trees, seen = grower.grow(number)
             best = self._judge(model, seen, best)
             if best is not None and self.patience is not None and number - best[1] >= self.patience:
                 break
             model.rounds.append(trees)
-            recent.append(trees)
-            if len(recent) == STORED_EVERY:
-                state, recent, old = self._stored(state, recent, width), [], state
-                old.unpersist()
+            grower.add(trees)
         if len(model.history) == len(model.rounds):
-            _, _, seen = self._sums(state, recent, None, [], np.arange(width), width, 0)
-            best = self._judge(model, seen, best)
-        state.unpersist()
-        if best is not None:
-            model.rounds = model.rounds[: best[1]]
-        return model
+            best = self._judge(model, grower.seen(), best)
+        return model.rounds if best is None else model.rounds[: best[1]], model.history
+
+    def _alone(self, state: DataFrame, total: int, width: int) -> tuple[list[Trees], list[tuple]]:
+        """All rounds in one task."""
+        threads, settings = executor_cores(state.sparkSession), self
+
+        def run(batches):
+            grower = _Alone(settings, total, width, threads)
+            for batch in batches:
+                grower.read(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(settings._rounds(grower))], pa.binary())], ["model"])
+
+        return pickle.loads(state.coalesce(1).mapInArrow(run, "model binary").toArrow().column("model")[0].as_py())
 
     def _judge(self, model, seen, best):
         """Notes loss and accuracy after the rounds so far; returns the least loss on the held-out rows and its number of rounds."""
@@ -217,9 +241,7 @@ class HistogramBoosting:
         """The trees of a round, and how the model did before it."""
         count = 1 if self.symmetric else self.scores
         trees, seen = Trees(count, self.depth, self.scores), None
-        chosen = np.arange(width)
-        if self.columns < 1:
-            chosen = np.sort(np.random.default_rng([self.seed, number]).permutation(width)[: max(1, math.ceil(self.columns * width))])
+        chosen = self._chosen(width, number)
         open_ = [(t, 0) for t in range(count)]
         for level in range(self.depth):
             if not open_:
@@ -244,6 +266,12 @@ class HistogramBoosting:
                     open_.append((t, child))
         return trees, seen
 
+    def _chosen(self, width: int, number: int) -> np.ndarray:
+        """The features that a round draws."""
+        if self.columns < 1:
+            return np.sort(np.random.default_rng([self.seed, number]).permutation(width)[: max(1, math.ceil(self.columns * width))])
+        return np.arange(width)
+
     def _value(self, trees: Trees, t: int, node: int, sums: np.ndarray) -> None:
         step = -self.rate * sums[:, 0] / (sums[:, 1] + self.l2 * UNIT)
         if self.symmetric:
@@ -271,11 +299,7 @@ class HistogramBoosting:
                 for earlier in recent:
                     earlier.add_to(scores, bins)
                 if level == 0:
-                    p = chances(scores)
-                    loss = np.rint(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)) * UNIT).astype(np.int64)
-                    right = p.argmax(axis=1) == y
-                    for at, mine in ((0, ~held), (3, held)):
-                        seen[at: at + 3] += np.array([loss[mine].sum(), mine.sum(), right[mine].sum()])
+                    seen += _seen(scores, y, held)
                 used = ~held
                 if drawn < 1:
                     used &= _mixed(batch.column("draw").to_numpy(), number) < drawn
@@ -310,6 +334,140 @@ class HistogramBoosting:
         return [open_[i] for i in order], np.array([found[i].reshape(shape[1:]) for i in order], float).reshape(len(order), *shape[1:]), told
 
 
+def _seen(scores: np.ndarray, y: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Loss, rows and right answers of training and held-out rows."""
+    p, seen = chances(scores), np.zeros(6, np.int64)
+    loss = np.rint(-np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)) * UNIT).astype(np.int64)
+    right = p.argmax(axis=1) == y
+    for at, mine in ((0, ~held), (3, held)):
+        seen[at: at + 3] = loss[mine].sum(), mine.sum(), right[mine].sum()
+    return seen
+
+
+class _ByLevels:
+    """Rounds with a job for each level; the scores are stored again every few rounds."""
+
+    def __init__(self, settings: HistogramBoosting, state: DataFrame, width: int):
+        self.settings, self.state, self.width, self.recent = settings, state, width, []
+
+    def grow(self, number: int) -> tuple[Trees, np.ndarray]:
+        return self.settings._grow(self.state, self.recent, self.width, number)
+
+    def add(self, trees: Trees) -> None:
+        self.recent.append(trees)
+        if len(self.recent) == STORED_EVERY:
+            self.state, self.recent, old = self.settings._stored(self.state, self.recent, self.width), [], self.state
+            old.unpersist()
+
+    def seen(self) -> np.ndarray:
+        return self.settings._sums(self.state, self.recent, None, [], np.arange(self.width), self.width, 0)[2]
+
+
+class _Alone:
+    """Rounds by one task that holds all rows, feature by feature."""
+
+    def __init__(self, settings: HistogramBoosting, total: int, width: int, threads: int):
+        self.settings, self.total, self.width, self.rows = settings, total, width, 0
+        self.pool, self.threads = ThreadPoolExecutor(threads), threads
+        self.bins, self.scores = np.zeros((width, total), np.uint8), np.zeros((total, settings.scores))
+        self.y, self.held, self.draw = np.zeros(total, np.int32), np.zeros(total, bool), np.zeros(total, np.int64)
+
+    def read(self, batch: pa.RecordBatch) -> None:
+        at = slice(self.rows, self.rows + batch.num_rows)
+        self.bins[:, at] = _matrix(batch.column("bins"), np.uint8, self.width).T
+        self.scores[at] = _matrix(batch.column("scores"), "<f8", self.settings.scores)
+        self.y[at], self.draw[at] = batch.column("y").to_numpy(), batch.column("draw").to_numpy()
+        self.held[at] = batch.column("held").to_numpy(zero_copy_only=False)
+        self.rows = at.stop
+
+    def _pieces(self, run) -> list:
+        """``run`` for consecutive pieces of the rows, by all threads."""
+        ends = np.linspace(0, self.total, self.threads * 4 + 1).astype(int)
+        return list(self.pool.map(lambda at: run(slice(*at)), zip(ends, ends[1:])))
+
+    def seen(self) -> np.ndarray:
+        return sum(self._pieces(lambda at: _seen(self.scores[at], self.y[at], self.held[at])))
+
+    def add(self, trees: Trees) -> None:
+        def run(at: slice) -> None:
+            bins, rows = self.bins[:, at], np.arange(at.stop - at.start)
+            for t in range(len(trees.feature)):
+                node = np.zeros(len(rows), np.int64)
+                for _ in range(trees.depth):
+                    feature = trees.feature[t][node]
+                    right = bins[np.maximum(feature, 0), rows] > trees.bin[t][node]
+                    node = np.where(feature >= 0, 2 * node + 1 + right, node)
+                self.scores[at] += trees.value[t][node]
+
+        self._pieces(run)
+
+    def grow(self, number: int) -> tuple[Trees, np.ndarray]:
+        settings, seen = self.settings, self.seen()
+        used = ~self.held
+        if settings.rows < 1:
+            used &= _mixed(self.draw, number) < settings.rows
+        used = np.flatnonzero(used)
+        g, h = derivatives(self.scores[used], self.y[used])
+        chosen, count = settings._chosen(self.width, number), 1 if settings.symmetric else settings.scores
+        trees = Trees(count, settings.depth, settings.scores)
+        for t in range(count):
+            mine = slice(None) if settings.symmetric else slice(t, t + 1)
+            self._tree(trees, t, used, np.ascontiguousarray(g[:, mine].T), np.ascontiguousarray(h[:, mine].T), chosen)
+        return trees, seen
+
+    def _tree(self, trees: Trees, t: int, used: np.ndarray, g: np.ndarray, h: np.ndarray, chosen: np.ndarray) -> None:
+        """One tree. A level's rows (places in ``used``) lie node by node."""
+        settings = self.settings
+        rows, sizes, places = np.arange(len(used)), np.array([len(used)]), [0]
+        sums = self._sums(used, g, h, rows, sizes, chosen)
+        for level in range(settings.depth):
+            filled = sums[:, :, 0, :, 1].any(axis=(1, 2))
+            rows, sizes, sums, places = rows[np.repeat(filled, sizes)], sizes[filled], sums[filled], [p for p, f in zip(places, filled) if f]
+            if not places:
+                return
+            if level == 0:
+                settings._value(trees, t, 0, sums[0][:, 0].sum(axis=1))
+            feature, last, gain = best_splits(sums, settings.l2, settings.least, settings.symmetric)
+            split = gain > 1e-9
+            for i in np.flatnonzero(split):
+                f, b, p = int(feature[i]), int(last[i]), places[i]
+                trees.feature[t, p], trees.bin[t, p] = chosen[f], b
+                left = sums[i][:, f, : b + 1].sum(axis=1)
+                settings._value(trees, t, 2 * p + 1, left)
+                settings._value(trees, t, 2 * p + 2, sums[i][:, f].sum(axis=1) - left)
+            if level == settings.depth - 1 or not split.any():
+                return
+            rows, sizes, parents, places = rows[np.repeat(split, sizes)], sizes[split], sums[split], [p for p, s in zip(places, split) if s]
+            right = self.bins[np.repeat(chosen[feature[split]], sizes), used[rows]] > np.repeat(last[split], sizes)
+            child = np.repeat(2 * np.arange(len(places)), sizes) + right
+            rows = rows[np.argsort(child.astype(np.uint16), kind="stable")]
+            sizes = np.bincount(child, minlength=2 * len(places))
+            # The smaller child of each node is added up; the other one is what is left of the node.
+            smaller = sizes[1::2] < sizes[::2]
+            wanted = np.stack([~smaller, smaller], axis=1).ravel()
+            own = self._sums(used, g, h, rows[np.repeat(wanted, sizes)], sizes[wanted], chosen)
+            sums = np.empty((2 * len(places), *own.shape[1:]))
+            sums[wanted], sums[~wanted] = own, parents - own
+            places = [c for p in places for c in (2 * p + 1, 2 * p + 2)]
+
+    def _sums(self, used: np.ndarray, g: np.ndarray, h: np.ndarray, rows: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Sums (node, score, feature, bin, 2) of rows that lie node by node."""
+        bins_n, at = self.settings.bins, used[rows]
+        sums = np.zeros((len(sizes), len(g), len(chosen), bins_n, 2))
+        base, values = np.repeat(np.arange(len(sizes)) * bins_n, sizes), [(s, d, v[s][rows]) for s in range(len(g)) for d, v in enumerate((g, h))]
+
+        def run(t: int) -> None:
+            bins, index = np.empty(len(at), np.uint8), np.empty(len(at), np.int64)  # once a thread: new memory for each feature would cost more than the sums
+            for j in range(t, len(chosen), self.threads):
+                np.take(self.bins[chosen[j]], at, out=bins, mode="clip")
+                np.add(base, bins, out=index)
+                for s, d, v in values:
+                    sums[:, s, j, :, d] = np.bincount(index, v, len(sizes) * bins_n).reshape(-1, bins_n)
+
+        list(self.pool.map(run, range(self.threads)))
+        return sums
+
+
 def _added(parts: DataFrame, *more: str) -> DataFrame:
     """Packed sums added up by slot."""
 
