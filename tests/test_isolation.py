@@ -65,3 +65,19 @@ def test_edges(spark):
     model.save(spark, path)
     answers = [sorted(m.transform(df).select("key", "outlier_score", "is_outlier").collect()) for m in (model, IsolationForestModel.load(spark, path))]
     assert answers[0] == answers[1]
+
+
+def test_a_fit_works_the_scores_out_once(spark):
+    from pyspark.sql import functions as F
+
+    df, _ = frame(spark, 2000, 20)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    read = df.withColumn("a", counted.asNondeterministic()("a"))
+    model = IsolationForest(["a", "b", "c d"], trees=10, share=0.01).fit(read)
+    assert seen.value <= 2 * 2000 and model.limit > 0.5

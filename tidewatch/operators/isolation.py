@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.numeric import quoted
 from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.session import cut_lineage
 
 # Usual settings.
 TREES, SAMPLE = 100, 256
@@ -53,6 +54,17 @@ def grow(x: np.ndarray, seed: list[int]) -> tuple[np.ndarray, np.ndarray, np.nda
     return feature, cut, ends
 
 
+def _filled(feature: np.ndarray, cut: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree whose leaves above the last level hand their depth on to all that would lie below them, so every row takes the same steps."""
+    ends = ends.copy()
+    leaf = feature < 0
+    for place in range(len(ends) // 2):  # a parent's number is smaller than its children's
+        if leaf[place]:
+            ends[2 * place + 1: 2 * place + 3] = ends[place]
+            leaf[2 * place + 1: 2 * place + 3] = True
+    return np.maximum(feature, 0), cut, ends
+
+
 class IsolationForest:
     """``trees`` trees over samples of ``sample`` rows each, and the score above which a row is an outlier.
 
@@ -74,7 +86,7 @@ class IsolationForest:
             drawn = np.sort(np.random.default_rng([self.seed, t]).permutation(len(x))[: self.sample])
             forest.append(grow(x[drawn], [self.seed, t]))
         model = IsolationForestModel(self.columns, forest, min(self.sample, len(x)), 0.5, {})
-        scored = model.scored(df)
+        scored = cut_lineage(model.scored(values.toDF(*self.columns)))  # scores are worked out once, then read by every pass
         if self.share is not None and len(x):
             model.limit = exact_quantiles(scored, ["outlier_score"], [1 - self.share])["outlier_score"][0]
         usual = scored.where(F.col("outlier_score") <= model.limit)
@@ -93,18 +105,21 @@ class IsolationForestModel:
         forest, usual, width = self.forest, float(mean_depth(self.sample)) or 1.0, len(self.columns)
 
         @F.pandas_udf("double")
-        def score(rows: pd.Series) -> pd.Series:
-            x = np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(len(rows), width)
-            total = np.zeros(len(x))
-            for feature, cut, ends in forest:
-                at = np.zeros(len(x), np.int64)
-                while (going := feature[at] >= 0).any():
-                    here = at[going]
-                    at[going] = 2 * here + 2 - (x[going, feature[here]] <= cut[here])
-                total += ends[at]
-            return pd.Series(np.round(2.0 ** (-total / max(1, len(forest)) / usual), 12))
-
-        return df.withColumn("outlier_score", score(F.array(*[F.col(quoted(c)).cast("double") for c in self.columns])))
+        def score(*columns: pd.Series) -> pd.Series:
+            x = np.array([c.to_numpy(dtype=float, na_value=np.nan) for c in columns]).reshape(width, -1)
+            rows, total, values = np.arange(x.shape[1]), np.zeros(x.shape[1]), x.ravel()
+            for feature, cut, ends in trees:
+                at, starts = np.zeros(x.shape[1], np.int64), feature * x.shape[1]
+                for _ in range(int(math.log2(len(ends) + 1)) - 1):
+                    left = values.take(starts.take(at) + rows) <= cut.take(at)
+                    at *= 2
+                    at += 2
+                    at -= left
+                total += ends.take(at)
+            return pd.Series(np.round(2.0 ** (-total / max(1, len(trees)) / usual), 12))
+
+        trees = [_filled(*t) for t in forest]
+        return df.withColumn("outlier_score", score(*[F.col(quoted(c)).cast("double") for c in self.columns]))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Adds ``outlier_score`` and ``is_outlier``."""
