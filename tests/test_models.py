@@ -106,6 +106,20 @@ def test_one_failing_model_does_not_stop_the_others(rows):
     assert trained.best() == "bayes"
 
 
+def test_models_of_a_run_are_fitted_side_by_side(rows):
+    import threading
+
+    both = threading.Barrier(2, timeout=60)
+
+    class Meeting:
+        def fit(self, df):
+            both.wait()
+            return classifiers.naive_bayes().fit(df)
+
+    trained = training.train_all({"a": Meeting(), "b": Meeting()}, part(rows, "train", 2), part(rows, "test", 2), "blobs")
+    assert not trained.errors and [(r[1], r[8]) for r in trained.rows] == [("a", 0), ("b", 1)]
+
+
 def test_a_model_scoring_zero_is_never_best():
     trained = training.Trained(rows=[("d", "m", 0.0, 0.0, 0.0, 0.0, 0.0, None, 0)])
     assert trained.best() is None
