@@ -85,3 +85,17 @@ def test_a_batch_with_many_copies_is_taken_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(dense, "ROWS_AT_ONCE", 7)
     pieces = DenseNetwork([4, 8, 3], epochs=3, batch=40, rate=0.01).fit(df.repartition(6))
     assert np.allclose(whole.flat, pieces.flat, atol=1e-9)
+
+
+def test_a_history_with_held_rows_takes_two_jobs_an_epoch(spark):
+    df = frame(spark, 500).withColumn("held", F.col("key") % 5 == 0)
+    context, jobs = spark.sparkContext, []
+    for epochs in (1, 4):
+        context.setJobGroup(f"history {epochs}", "history")
+        try:
+            model = DenseNetwork([4, 8, 3], epochs=epochs, batch=20, rate=0.01, validation="held").fit(df)
+            jobs.append(len(context.statusTracker().getJobIdsForGroup(f"history {epochs}")))
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] - jobs[0] <= 3 * 4 and len(model.history) == 4
+    assert all(0 < h[3] < 5 and 0 <= h[4] <= 1 for h in model.history)
