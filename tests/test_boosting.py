@@ -182,3 +182,18 @@ def test_categories_are_learnt_and_survive_saving(spark, visits):
     strange = test.withColumn("place", F.lit("never seen"))
     assert model.transform(strange).where("prediction IS NULL").count() == 0
     assert isinstance(BoostingModel.load(spark, path), BoostingModel)
+
+
+def test_all_categories_share_one_table_of_ranges(visits, monkeypatch):
+    from tidewatch.operators import prefix
+
+    calls, real = [], prefix.in_ranges
+
+    def counted(df, *order):
+        calls.append(order)
+        return real(df, *order)
+
+    for module in (prefix, boosting):
+        monkeypatch.setattr(module, "in_ranges", counted, raising=False)
+    CategoryBoosting(3, ["a"], ["place", "other"], rounds=1, depth=2).fit(visits)
+    assert calls == [("__order",)]
